@@ -25,9 +25,18 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import quality_rules
+
+    judged = quality_rules.judge(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_byte_bpe,)}
+    return {f.__name__: f for f in (op3_byte_bpe, op4_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from cartulary.llm import oracles
+
+    return {"op4_quality_rules": oracles.quality_rules_sql()}
