@@ -36,7 +36,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm import pii
 
     found = pii.find(table(spark, sf_dir, "documents", "doc_id", "text").withColumn("text", F.coalesce("text", F.lit(""))))
-    counts = [F.size(F.filter("base_spans", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.expr(f"CAST(size(filter(base_spans, x -> x.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.concat("base_spans", "added_spans")).alias("spans"))
 
 
