@@ -40,7 +40,28 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.concat("base_spans", "added_spans")).alias("spans"))
 
 
-QUERIES = (op3_byte_bpe, op4_quality_rules, op9_pii)
+def _scored(spark: SparkSession, sf_dir: str, operator, limit: float) -> DataFrame:
+    from cartulary.llm import labelled
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = operator.train(docs, table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(labelled.fold() == 1, F.lit(False))
+    return operator.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import quality_classifier
+
+    return _scored(spark, sf_dir, quality_classifier, 0.5)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import toxicity
+
+    return _scored(spark, sf_dir, toxicity, 0.7)
+
+
+QUERIES = (op3_byte_bpe, op4_quality_rules, op6_quality_classifier, op7_toxicity, op9_pii)
 
 
 def queries() -> dict:
