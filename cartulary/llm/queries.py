@@ -32,6 +32,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import minhash
+
+    return minhash.classes(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "class_id", "kept")
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm import pii
 
@@ -61,7 +67,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, toxicity, 0.7)
 
 
-QUERIES = (op3_byte_bpe, op4_quality_rules, op6_quality_classifier, op7_toxicity, op9_pii)
+QUERIES = (op3_byte_bpe, op4_quality_rules, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii)
 
 
 def queries() -> dict:
