@@ -67,7 +67,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir, toxicity, 0.7)
 
 
-QUERIES = (op3_byte_bpe, op4_quality_rules, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii)
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import html_text
+
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = (op3_byte_bpe, op4_quality_rules, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text)
 
 
 def queries() -> dict:
