@@ -17,6 +17,12 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import embedding_dedup
+
+    return embedding_dedup.classes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm import byte_bpe
 
@@ -73,7 +79,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = (op3_byte_bpe, op4_quality_rules, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text)
+QUERIES = (op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text)
 
 
 def queries() -> dict:
