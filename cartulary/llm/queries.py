@@ -52,6 +52,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base_spans")), 256).alias("base_sha256"), pii.joined(F.concat("base_spans", "added_spans")).alias("spans"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import mixing
+
+    mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return mixed.select("doc_id", "source", "block", "slot", "release", "due", "place")
+
+
 def _scored(spark: SparkSession, sf_dir: str, operator, limit: float) -> DataFrame:
     from cartulary.llm import labelled
 
@@ -79,7 +86,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = (op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text)
+QUERIES = (op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text)
 
 
 def queries() -> dict:

@@ -24,7 +24,7 @@ from cartulary.llm.common import per_slice
 from cartulary.llm.labelled import sample
 
 #: Labelled documents that training reads at most.
-BOUND = 6000
+BOUND = 5000
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 18, 12, 5, (3, 4, 5)
 ROUNDS, STEPS, RATE, PUSH, SEED = 16, 25, 0.03, 0.1, 11
 CACHED = 300_000
@@ -141,12 +141,19 @@ def fit(texts: list[str], labels: list[int]) -> Model | None:
     def learn(words: np.ndarray, owner: np.ndarray, target: np.ndarray, w: np.ndarray, steps: int) -> None:
         """Bags of words (owner: their row) against targets, all rows at once; moves embeddings, softmax and bias."""
         nonlocal bias, step, embed, soft
-        share = 1 / np.bincount(owner, minlength=len(target))[owner]
-        used, local = np.unique(words, return_inverse=True)
-        which = np.repeat(np.arange(len(used)), sizes[used])
-        at = np.arange(len(which)) - np.repeat(np.cumsum(sizes[used]) - sizes[used], sizes[used]) + starts[used][which]
-        buckets, places = np.unique(ids[at], return_inverse=True)
-        per = 1 / sizes[used][which]
+        owner = owner.astype(np.int32)
+        share = (1 / np.bincount(owner, minlength=len(target)))[owner].astype(np.float32)
+        present = np.zeros(len(sizes), dtype=bool)
+        present[words] = True
+        used = np.flatnonzero(present)
+        local = (np.cumsum(present, dtype=np.int32) - 1)[words]
+        which = np.repeat(np.arange(len(used), dtype=np.int32), sizes[used])
+        at = np.arange(len(which), dtype=np.int32) + np.repeat((starts[used] - np.cumsum(sizes[used]) + sizes[used]).astype(np.int32), sizes[used])
+        touched = np.zeros(BUCKETS, dtype=bool)
+        touched[ids[at]] = True
+        buckets, places = np.flatnonzero(touched), (np.cumsum(touched, dtype=np.int32) - 1)[ids[at]]
+        del at, touched, present
+        per = (1 / sizes[used]).astype(np.float32)[which]
         for _ in range(steps):
             step += 1
             part, diff = embed[buckets].astype(np.float64), soft[:, 1] - soft[:, 0]
