@@ -29,11 +29,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """The document with the smallest id of each class of near duplicates; of rows that share an id the first by text."""
     rows = docs.select(*COLUMNS)
     classes = minhash.classes(rows.select("doc_id", "text"))
-    gone = classes.where(~F.col("kept")).select("doc_id").distinct()
-    again = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    repeated = rows.join(again.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
-    single = rows.join(again.select("doc_id"), "doc_id", "left_anti")
-    return single.unionByName(repeated).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    ids = classes.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    first = F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("first")
+    kept = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "first.*")
+    return kept.select(*COLUMNS).unionByName(rows.where("doc_id IS NULL"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
