@@ -17,6 +17,13 @@ def vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import suffix_dedup
+
+    left = suffix_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm import embedding_dedup
 
@@ -86,7 +93,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = (op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text)
+QUERIES = (op1_suffix_dedup, op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text)
 
 
 def queries() -> dict:
