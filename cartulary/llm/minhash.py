@@ -209,7 +209,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     outside = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("home")).alias("n_rest")).where("n_rest > 0 AND n > 2")
     mixed = placed.join(outside, "bucket").where("id <> least").join(nodes.select("id", "sketch"), "id")
     more = _rest_pairs(mixed).join(stars, ["u", "v"], "left_anti")
-    final = components(links.unionByName(verified(more, texts)))
+    added = cut(verified(more, texts))
+    final = components(links.unionByName(added)) if added.limit(1).count() else found
     # a row's node is the smallest id with its words, and an id stands for one document
     alias = named.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     linked = alias.join(final, alias.v == final.id, "left").select(F.col("u").alias("id"), F.coalesce("component", "v").alias("component"))
