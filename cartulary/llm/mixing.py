@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents in a block; rows that one task ranks within a source, about.
-BLOCK, RANKED = 16, 20_000
+BLOCK, RANKED = 16, 2_000
 #: Sources up to which their table is broadcast.
 FEW = 50_000
 POWER, TOTAL = 0.5, 1000
