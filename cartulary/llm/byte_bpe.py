@@ -26,7 +26,7 @@ from cartulary.llm.common import per_slice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Matches held by one Python worker's cache; later ones are encoded each time they occur.
-CACHED = 500_000
+CACHED = 150_000
 
 
 def byte_characters() -> list[str]:

@@ -31,7 +31,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Registers that must agree before a pair of a mixed bucket is verified: far below what chance leaves to similar pairs.
 ESTIMATE, BLOCK = 0.62, 512
-CACHED = 300_000
+CACHED = 100_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _hashes: dict[str, int] = {}
 

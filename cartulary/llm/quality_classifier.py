@@ -28,7 +28,7 @@ from cartulary.llm.labelled import sample
 BOUND = 6000
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 15, 1 << 12, 48, 6, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 64, 0.003, 1e-4, 5
-CACHED = 400_000
+CACHED = 150_000
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[0-9]+")
 
 

@@ -27,7 +27,7 @@ from cartulary.llm.labelled import sample
 BOUND = 5000
 BUCKETS, DIM, WINDOW, NGRAMS = 1 << 18, 12, 5, (3, 4, 5)
 ROUNDS, STEPS, RATE, PUSH, SEED = 16, 25, 0.03, 0.1, 11
-CACHED = 300_000
+CACHED = 100_000
 _PARTS = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
