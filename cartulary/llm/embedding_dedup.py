@@ -5,7 +5,7 @@ hyperplanes; vectors that share a table's signature are verified by cosine in do
 what the tables bring together and nothing below the limit.  Bit for bit equal vectors of one label stand for each other,
 by a count.  A bucket is cut into blocks and compared block by block in matrix products; a pair counts in the first table
 that brings it together, so links are counted without writing pairs, and of the links only some go on to the components:
-each vector's link to the smallest vector it is linked with in the block.
+each vector's with the smallest one that it reaches within the blocks compared.
 
 Defined results: null, zero, non-finite or partly null vectors and those with a null label link with nothing; vectors of
 unlike lengths have no cosine and do not link; rows of one id are one vector, their first by value counting; a null id
@@ -62,8 +62,21 @@ def _unpacked(data: list[bytes], width: int) -> np.ndarray:
     return np.array([np.frombuffer(x, dtype="<f8" if len(x) == 8 * width else "<f4") for x in data], dtype=np.float64)
 
 
+def _reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest of n nodes that each reaches by the links a - b."""
+    least = np.arange(n)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, least[b])
+        np.minimum.at(new, b, least[a])
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
 def _linked(table: pa.Table) -> pa.Table:
-    """Some pairs of blocks -> (u, v, n): links counted at u; v: the smallest vector linked in that pair of blocks."""
+    """Some pairs of blocks -> (u, v, n): links counted at u; v: the smallest vector that u reaches in that pair of blocks."""
     names = ("label", "width", "t", "code", "l", "r")
     columns = {c: table[c].to_pylist() for c in (*names, "vector", "codes")} | {c: table[c].to_numpy(zero_copy_only=False) for c in ("node", "right", "many")}
     groups: dict[tuple, list[int]] = {}
@@ -81,10 +94,10 @@ def _linked(table: pa.Table) -> pa.Table:
         sound = (node[a] != node[b]) & (codes[a, :t] != codes[b, :t]).all(axis=1)
         a, b = a[sound], b[sound]
         if len(a):
-            u, at = np.unique(node[a], return_inverse=True)
-            least = np.full(len(u), np.iinfo(np.int64).max)
-            np.minimum.at(least, at, node[b])
-            for column, x in zip(out, (u, least, np.bincount(at, many[b], minlength=len(u)).astype(np.int64)), strict=True):
+            ids, at = np.unique(np.concatenate((node[a], node[b])), return_inverse=True)
+            left, other = at[: len(a)], at[len(a) :]
+            count = np.bincount(left, many[b], minlength=len(ids)).astype(np.int64)
+            for column, x in zip(out, (ids, ids[_reached(left, other, len(ids))], count), strict=True):
                 column.append(x)
     return pa.table({c: pa.array(np.concatenate(x) if x else [], pa.int64()) for c, x in zip("uvn", out, strict=True)})
 
