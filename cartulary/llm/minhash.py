@@ -214,8 +214,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     # a row's node is the smallest id with its words, and an id stands for one document
     alias = named.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     linked = alias.join(final, alias.v == final.id, "left").select(F.col("u").alias("id"), F.coalesce("component", "v").alias("component"))
-    lookup = final.unionByName(linked).groupBy("id").agg(F.min("component").alias("class_id"))
+    lookup = final.unionByName(linked).groupBy(F.col("id").alias("_key")).agg(F.min("component").alias("_class"))
     rest = [c for c in df.columns if c not in ("class_id", "kept")]
-    out = df.select(*rest, F.col(doc_id).cast("long").alias("_key")).join(lookup, F.col("_key") == lookup.id, "left").drop("id")
-    class_id = F.coalesce("class_id", "_key")
+    out = df.select(*rest, F.col(doc_id).cast("long").alias("_key")).join(lookup, "_key", "left")
+    class_id = F.coalesce("_class", "_key")
     return out.select(*rest, class_id.alias("class_id"), F.coalesce(class_id == F.col("_key"), F.lit(True)).alias("kept"))
