@@ -7,8 +7,8 @@ in a whole band are candidates; candidates are verified by the exact similarity,
 
 Texts with the same words are one node from the start.  In a bucket every member is compared with the smallest one; where a
 bucket still holds several classes after that, the members outside the smallest one's class are compared, in bounded
-blocks, with all members, by a byte of each register first and exactly then.  So no bucket's pairs are written out, and
-none are left out.
+blocks, with all members, by a byte of each register first and exactly then, within the task: only links that join classes
+come out of it.  So no bucket's pairs are written out, and none are left out.
 
 Defined results: null, empty and white-space texts have no shingles and are classes of their own; fewer than five words
 are one shingle; a repeated id stands for one document, so its rows share a class; rows without an id take part in no class
@@ -30,7 +30,7 @@ from cartulary.llm.components import components
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Registers that must agree before a pair of a mixed bucket is verified: far below what chance leaves to similar pairs.
-ESTIMATE, BLOCK = 0.62, 512
+ESTIMATE, BLOCK = 0.62, 256
 CACHED = 100_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _hashes: dict[str, int] = {}
@@ -99,22 +99,32 @@ def signatures(keys: np.ndarray, weights: np.ndarray, owner: np.ndarray, n: int,
     return held.reshape(n, size)
 
 
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Exact probability Jaccard similarity of two lists of shingles."""
-    if not len(a) or not len(b):
+def profile(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles, sorted, and how often each occurs."""
+    return np.unique(hashes, return_counts=True)
+
+
+def alike(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Exact probability Jaccard similarity of two profiles."""
+    (ka, ca), (kb, cb) = a, b
+    if not len(ka) or not len(kb):
         return 0.0
-    (ka, ca), (kb, cb) = (np.unique(x, return_counts=True) for x in (a, b))
-    keys = np.union1d(ka, kb)
-    x, y = np.zeros(len(keys)), np.zeros(len(keys))
-    x[np.searchsorted(keys, ka)], y[np.searchsorted(keys, kb)] = ca, cb
-    with np.errstate(divide="ignore"):
-        ratio = np.where(x > 0, y / np.where(x > 0, x, 1), np.inf)
+    common, i, j = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
+    if ca.max() == 1 == cb.max():
+        return len(common) / (len(ka) + len(kb) - len(common))
+    # a shingle of ratio r = y / x stands against the x of ratios up to r and the y of larger ones; one side's own have 0 and infinity
+    ratio = cb[j] / ca[i]
     order = np.argsort(ratio, kind="stable")
-    x, y, ratio = x[order], y[order], ratio[order]
+    x, y, ratio = ca[i][order], cb[j][order], ratio[order]
     upto = np.searchsorted(ratio, ratio, side="right")
-    below, above = np.append(0, np.cumsum(x))[upto], y.sum() - np.append(0, np.cumsum(y))[upto]
-    both = (x > 0) & (y > 0)
-    return float((1 / (below[both] / x[both] + above[both] / y[both])).sum())
+    below = ca.sum() - x.sum() + np.append(0, np.cumsum(x))[upto]
+    above = cb.sum() - np.append(0, np.cumsum(y))[upto]
+    return float((1 / (below / x + above / y)).sum())
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Exact probability Jaccard similarity of two lists of shingles."""
+    return alike(profile(a), profile(b))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -152,41 +162,73 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left, right = texts.select(F.col("id").alias("u"), F.col("text").alias("t")), texts.select(F.col("id").alias("v"), F.col("text").alias("s"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: dict[str, np.ndarray] = {}
+        seen: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
-        def of(t: str) -> np.ndarray:
+        def of(t: str) -> tuple[np.ndarray, np.ndarray]:
             if t not in seen:
                 if len(seen) > 64:
                     seen.clear()
-                seen[t] = shingles(word_ids(t))
+                seen[t] = profile(shingles(word_ids(t)))
             return seen[t]
 
-        ok = [similarity(of(t), of(s)) >= SIMILARITY for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        ok = [alike(of(t), of(s)) >= SIMILARITY for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(left, "u").join(right, "v").select("u", "v", "t", "s").mapInArrow(per_slice(run, 2), "u long, v long")
 
 
-def _rest_pairs(members: DataFrame) -> DataFrame:
-    """members: (bucket, id, component, sketch, smallest's component, n, n_rest) of mixed buckets -> likely pairs (u, v)."""
+def _rest_links(members: DataFrame) -> DataFrame:
+    """Members of mixed buckets -> links (u, v) that join their classes.
+
+    members: bucket, id, component, sketch, bands, text; home: the class of the bucket's smallest member, which all have been
+    compared with; n and n_rest: how many are in the bucket, and how many of them are of other classes than home.
+    A pair is looked at in the first bucket that it shares, most alike by sketch first, and verified exactly unless links
+    found in these blocks join it already; only links that join something are returned.
+    """
     blocks = lambda n: F.greatest(F.ceil(F.col(n) / BLOCK), F.lit(1)).cast("int")
     here = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), blocks(n)).cast("int")
-    common = ("bucket", "id", "component", "sketch")
+    common = ("bucket", "id", "component", "sketch", "bands", "text")
     rest = members.where("component <> home").select(*common, here("n_rest", 1).alias("l"), F.explode(F.sequence(F.lit(0), blocks("n") - 1)).alias("r"), F.lit(True).alias("rest"))
     every = members.select(*common, F.explode(F.sequence(F.lit(0), blocks("n_rest") - 1)).alias("l"), here("n", 2).alias("r"), F.lit(False).alias("rest"))
 
-    def pairs(table: pa.Table) -> pa.Table:
-        ids, comp, rest = (table[c].to_numpy() for c in ("id", "component", "rest"))
+    def links(table: pa.Table) -> pa.Table:
+        ids, comp, rest = (table[c].to_numpy(zero_copy_only=False) for c in ("id", "component", "rest"))
         codes = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        out = []
+        bands = np.array(table["bands"].to_pylist(), dtype=np.int64).reshape(len(ids), -1)
+        bucket, texts = table["bucket"][0].as_py(), table["text"].to_pylist()
         i, j = np.flatnonzero(rest), np.flatnonzero(~rest)
+        found = []
         for k in i:
-            like = (codes[j] == codes[k]).mean(axis=1) >= ESTIMATE
-            for o in j[like & (comp[j] != comp[k])]:
-                out.append((max(ids[k], ids[o]), min(ids[k], ids[o])))
+            estimate = (codes[j] == codes[k]).mean(axis=1)
+            o = np.flatnonzero((estimate >= ESTIMATE) & (comp[j] != comp[k]))
+            if len(o):
+                first = (bands[j[o]] == bands[k]).argmax(axis=1)
+                o = o[bands[k][first] == bucket]
+                found += zip(estimate[o].tolist(), [k] * len(o), j[o].tolist(), strict=True)
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        profiles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def of(k: int) -> tuple[np.ndarray, np.ndarray]:
+            if k not in profiles:
+                profiles[k] = profile(shingles(word_ids(texts[k])))
+            return profiles[k]
+
+        out = []
+        for _, k, o in sorted(found, key=lambda x: -x[0]):
+            a, b = top(int(comp[k])), top(int(comp[o]))
+            if a != b and alike(of(k), of(o)) >= SIMILARITY:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(max(ids[k], ids[o])), int(min(ids[k], ids[o]))))
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 
-    return rest.unionByName(every).groupBy("bucket", "l", "r").applyInArrow(pairs, "u long, v long").distinct()
+    return rest.unionByName(every).groupBy("bucket", "l", "r").applyInArrow(links, "u long, v long").distinct()
 
 
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -207,9 +249,8 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     home = found.select(F.col("id").alias("least"), F.col("component").alias("home"))
     placed = of(members).join(home, "least", "left").withColumn("home", F.coalesce("home", "least"))
     outside = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("home")).alias("n_rest")).where("n_rest > 0 AND n > 2")
-    mixed = placed.join(outside, "bucket").where("id <> least").join(nodes.select("id", "sketch"), "id")
-    more = _rest_pairs(mixed).join(stars, ["u", "v"], "left_anti")
-    added = cut(verified(more, texts))
+    mixed = placed.join(outside, "bucket").where("id <> least").join(nodes, "id").join(texts, "id")
+    added = cut(_rest_links(mixed))
     final = components(links.unionByName(added)) if added.limit(1).count() else found
     # a row's node is the smallest id with its words, and an id stands for one document
     alias = named.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))

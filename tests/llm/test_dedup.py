@@ -185,11 +185,14 @@ def test_minhash_classes_equal_brute_force(spark):
 
 
 def test_members_of_mixed_buckets_are_compared(spark):
-    """Two members alike, the bucket's smallest unlike both: blocks bring them together."""
-    like, unlike = bytes(range(150)), bytes([255] * 150)
-    rows = [(1, 5, 5, like, 2, 3, 2), (1, 6, 6, like, 2, 3, 2), (1, 7, 7, unlike, 2, 3, 2)]
-    frame = spark.createDataFrame(rows, "bucket long, id long, component long, sketch binary, home long, n long, n_rest long")
-    assert [tuple(r) for r in minhash._rest_pairs(frame).collect()] == [(6, 5)]
+    """Of the bucket's members outside the smallest one's class two are alike, one only by its sketch."""
+    like, far = bytes(range(150)), bytes([255] * 150)
+    words = " ".join(f"w{i}" for i in range(50))
+    rows = [(5, 5, like, words), (6, 6, like, words + " more"), (7, 7, far, words), (8, 8, like, "nothing like the others at all")]
+    frame = spark.createDataFrame([(0, i, c, s, [0, 1, 2], t, 2, 4, 4) for i, c, s, t in rows], "bucket long, id long, component long, sketch binary, bands array<long>, text string, home long, n long, n_rest long")
+    assert [tuple(r) for r in minhash._rest_links(frame).collect()] == [(6, 5)]
+    elsewhere = frame.withColumn("bucket", frame.bucket + 1)
+    assert minhash._rest_links(elsewhere).count() == 0
 
 
 def test_minhash_edges(spark):
