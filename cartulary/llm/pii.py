@@ -60,7 +60,7 @@ def is_card(s: str) -> bool:
 
 def is_ip(s: str) -> bool:
     parts = s.split(".")
-    return len(parts) == 4 and all(p and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
+    return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in parts)
 
 
 def base_spans(text: str) -> list[Span]:

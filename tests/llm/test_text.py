@@ -180,6 +180,15 @@ def test_field_adds_and_keeps(spark):
     assert pii.find(odd(spark)).count() == len(ODD) + 2 and pii.find(odd(spark).limit(0)).count() == 0
 
 
+def test_checks_take_any_text():
+    rng = random.Random(2)
+    for _ in range(3000):
+        s = "".join(rng.choice(["1", "22", ".", "& ", "[", "]", "²", "x", "@", "(at)", " ", "+", "-"]) for _ in range(rng.randint(0, 12)))
+        for kind in range(4):
+            assert pii._passes(kind, s) in (True, False)
+        pii.all_spans([s, s + " " + s], pii.field())
+
+
 def test_spans_are_joined_by_start_then_kind(spark):
     span = "array<struct<kind:string,start:int,end:int>>"
     row = spark.createDataFrame([([("phone", 5, 9), ("card", 5, 8), ("email", 7, 9), ("ip", 1, 2)],), ([],)], f"s {span}")
