@@ -181,10 +181,14 @@ def _compare_slices(shards: int):
         c = x["c"].astype(np.uint64) | (x["c1"].astype(np.uint64) << np.uint64(32))
         order = np.lexsort((x["p"], x["th"], x["d"], c, x["g"]))
         x, c = {f: v[order] for f, v in x.items()}, c[order]
-        new_g = np.concatenate(([True], x["g"][1:] != x["g"][:-1])) if len(order) else np.zeros(0, bool)
-        first = np.concatenate(([True], c[1:] != c[:-1])) | new_g if len(order) else new_g
-        slices = np.bincount(np.cumsum(new_g)[first] - 1, minlength=int(new_g.sum())) if len(order) else np.zeros(0, np.int64)
-        mixed = slices[np.cumsum(new_g) - 1] > 1 if len(order) else new_g
+        # rows alike in id and text that different batches read are one document: their slices count once
+        alike = np.zeros(len(order), dtype=bool)
+        alike[1:] = (c[1:] == c[:-1]) & np.logical_and.reduce([x[f][1:] == x[f][:-1] for f in ("g", "d", "th", "p")])
+        x, c = {f: v[~alike] for f, v in x.items()}, c[~alike]
+        new_g = np.concatenate(([True], x["g"][1:] != x["g"][:-1])) if len(c) else np.zeros(0, bool)
+        first = np.concatenate(([True], c[1:] != c[:-1])) | new_g if len(c) else new_g
+        slices = np.bincount(np.cumsum(new_g)[first] - 1, minlength=int(new_g.sum())) if len(c) else np.zeros(0, np.int64)
+        mixed = slices[np.cumsum(new_g) - 1] > 1 if len(c) else new_g
         lo, hi = x["p"].astype(np.int64) - x["a"], x["p"].astype(np.int64) - x["b"] + WINDOW
         spans = {f: np.concatenate((known[f], v[~first])) for f, v in {"d": x["d"], "th": x["th"], "s": lo, "e": hi}.items()}
         left = {f: v[first & mixed] for f, v in {"g": x["g"], "d": x["d"], "th": x["th"], "s": lo, "e": hi}.items()}

@@ -79,6 +79,16 @@ def test_suffix_dedup_edges(spark):
     assert suffix_dedup.dedup(frame.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_repeated_rows_in_other_partitions(spark):
+    rng = random.Random(8)
+    one, two = ("".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(2))
+    docs = [(1, one), (2, one[:250] + two[:150]), (3, two + two[50:300])]
+    rows = spark.sparkContext.parallelize(docs * 4, 12).toDF(DOC)
+    got = suffix_dedup.dedup(rows).collect()
+    want = repeats(docs)
+    assert len(got) == 12 and all((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]] for r in got)
+
+
 # ---- connected components --------------------------------------------------------------------------------------------
 
 
