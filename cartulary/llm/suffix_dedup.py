@@ -35,7 +35,8 @@ SLICE, SHARD, SORT = 2_000_000, 16_000_000, 1_500_000
 _M24 = np.uint64((1 << 24) - 1)
 _ODD = 0x9E3779B97F4A7C15
 _NULL = -(1 << 63)
-_TABLE = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Bytes as numbers, for the two hashes that slices are told apart by.
+_TABLE, _TABLE2 = np.random.default_rng(17).integers(1, 1 << 63, 256, dtype=np.uint64), np.random.default_rng(18).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: list[np.ndarray] = []
 
 
@@ -54,7 +55,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 FIELDS = {
-    "anchor": (("g", "<u8"), ("c", "<u4"), ("c1", "u1"), ("d", "<i8"), ("th", "<u2"), ("p", "<u4"), ("a", "u1"), ("b", "u1")),
+    "anchor": (("g", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("d", "<i8"), ("th", "<u2"), ("p", "<u4"), ("a", "u1"), ("b", "u1")),
     "span": (("d", "<i8"), ("th", "<u2"), ("s", "<u4"), ("e", "<u4")),
     "open": (("g", "<u8"), ("d", "<i8"), ("th", "<u2"), ("s", "<u4"), ("e", "<u4")),
 }
@@ -87,7 +88,7 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     data = np.frombuffer(b"".join(texts), dtype=np.uint8)
     n, sizes = len(data), np.array([len(t) for t in texts], dtype=np.int64)
     if n < WINDOW:
-        return {k: np.zeros(0, dtype=np.int64) for k in ("t", "p", "a", "b", "g", "c")}
+        return {k: np.zeros(0, dtype=np.int64) for k in ("t", "p", "a", "b", "g", "c", "c2")}
     up, down = powers(n)
     with np.errstate(over="ignore"):
         sums = np.concatenate((np.zeros(1, np.uint64), (_TABLE[data] * up).cumsum(dtype=np.uint64)))
@@ -107,8 +108,10 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     lo, hi, p = i[begin], i[end], at[begin]
     with np.errstate(over="ignore"):
         c = mix((sums[hi + WINDOW] - sums[lo]) * down[lo] + mix((p - lo).astype(np.uint64)))
+        sums[1:] = (_TABLE2[data] * up).cumsum(dtype=np.uint64)
+        c2 = mix((sums[hi + WINDOW] - sums[lo]) * down[lo])
     t = owner[lo]
-    return {"t": t, "p": p - first[t], "a": p - lo, "b": p - hi, "g": h[p], "c": c}
+    return {"t": t, "p": p - first[t], "a": p - lo, "b": p - hi, "g": h[p], "c": c, "c2": c2}
 
 
 def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
@@ -153,11 +156,10 @@ def _find_anchors(shards: int):
         all_ = {f: np.concatenate([x[f] for x in found]) for f in found[0]}
         with np.errstate(over="ignore"):
             both = mix(all_["g"]) + all_["c"] * np.uint64(_ODD)
-        _, first = np.unique(both, return_index=True)  # texts are in the order of ids, so the first is the earliest
+        order = np.lexsort((all_["c2"], both))  # stable, and texts are in the order of ids, so the first is the earliest
         new = np.zeros(len(both), dtype=bool)
-        new[first] = True
+        new[order] = np.concatenate(([True], (both[order][1:] != both[order][:-1]) | (all_["c2"][order][1:] != all_["c2"][order][:-1]))) if len(order) else new
         some = {f: x[new] for f, x in all_.items()}
-        some |= {"c": some["c"] & np.uint64(0xFFFFFFFF), "c1": (some["c"] >> np.uint64(32)) & np.uint64(255)}
         out = [(k, 0, b) for k, b in _dealt("anchor", some, (some["g"] % np.uint64(shards)).astype(np.int64))]
         old = {f: x[~new] for f, x in all_.items()}
         spans = {"d": old["d"], "th": old["th"], "s": old["p"] - old["a"], "e": old["p"] - old["b"] + WINDOW}
@@ -178,15 +180,15 @@ def _compare_slices(shards: int):
         often = np.unique(g[1:][g[1:] == g[:-1]])
         some = np.flatnonzero(np.isin(x["g"], often)) if len(often) else np.zeros(0, np.int64)
         x = {f: v[some] for f, v in x.items()}
-        c = x["c"].astype(np.uint64) | (x["c1"].astype(np.uint64) << np.uint64(32))
-        order = np.lexsort((x["p"], x["th"], x["d"], c, x["g"]))
-        x, c = {f: v[order] for f, v in x.items()}, c[order]
+        order = np.lexsort((x["p"], x["th"], x["d"], x["c2"], x["c"], x["g"]))
+        x = {f: v[order] for f, v in x.items()}
         # rows alike in id and text that different batches read are one document: their slices count once
         alike = np.zeros(len(order), dtype=bool)
-        alike[1:] = (c[1:] == c[:-1]) & np.logical_and.reduce([x[f][1:] == x[f][:-1] for f in ("g", "d", "th", "p")])
-        x, c = {f: v[~alike] for f, v in x.items()}, c[~alike]
+        alike[1:] = np.logical_and.reduce([x[f][1:] == x[f][:-1] for f in ("g", "c", "c2", "d", "th", "p")])
+        x = {f: v[~alike] for f, v in x.items()}
+        c, c2 = x["c"], x["c2"]
         new_g = np.concatenate(([True], x["g"][1:] != x["g"][:-1])) if len(c) else np.zeros(0, bool)
-        first = np.concatenate(([True], c[1:] != c[:-1])) | new_g if len(c) else new_g
+        first = np.concatenate(([True], (c[1:] != c[:-1]) | (c2[1:] != c2[:-1]))) | new_g if len(c) else new_g
         slices = np.bincount(np.cumsum(new_g)[first] - 1, minlength=int(new_g.sum())) if len(c) else np.zeros(0, np.int64)
         mixed = slices[np.cumsum(new_g) - 1] > 1 if len(c) else new_g
         lo, hi = x["p"].astype(np.int64) - x["a"], x["p"].astype(np.int64) - x["b"] + WINDOW

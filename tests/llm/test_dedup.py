@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from cartulary.llm import components, embedding_dedup, minhash, suffix_dedup
@@ -89,6 +90,28 @@ def test_suffix_dedup_of_repeated_rows_in_other_partitions(spark):
     assert len(got) == 12 and all((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]] for r in got)
 
 
+def test_unlike_slices_that_agree_in_a_part_of_their_hashes_stay_open(monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, anchors = text(600), suffix_dedup.anchors
+    docs = [(d, text(200) + passage + text(200)) for d in range(8)]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], names=["d", "text"])
+
+    def spans():
+        found = pa.Table.from_batches(list(suffix_dedup._find_anchors(1)(iter([batch]))))
+        out = suffix_dedup._compare_slices(1)(found)
+        blobs = [b for k, b in zip(out["kind"].to_pylist(), out["blob"].to_pylist(), strict=True) if k == 1]
+        got, _ = suffix_dedup.unpack("span", blobs)
+        return sorted(zip(*(got[f].tolist() for f in ("d", "s", "e")), strict=True))
+
+    want = spans()
+    assert want and all(docs[d][1][s:e] in passage for d, s, e in want)
+    for bits in (40, 0):  # of the first hash only its upper 24 bits differ, or none
+        cut = np.uint64((1 << 64) - (1 << bits) if bits else 0)
+        monkeypatch.setattr(suffix_dedup, "anchors", lambda texts, cut=cut: (x := anchors(texts)) | {"c": x["c"] & cut})
+        assert spans() == want
+
+
 # ---- connected components --------------------------------------------------------------------------------------------
 
 
