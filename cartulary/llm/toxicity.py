@@ -64,23 +64,24 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def _worst(scores: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each document (a stretch of word scores) the highest mean of WINDOW words, or of all if it has fewer, and where it begins.
 
-    A word that occurred among the WINDOW - 1 before it counts as neutral, unless it lowers the mean.
+    A word that occurred among the WINDOW - 1 before it in its document counts as neutral, unless it lowers the mean.
     """
     scores, given = scores.copy(), scores
-    for k in range(1, min(WINDOW, len(scores))):
-        scores[k:] = np.where(given[k:] == given[:-k], np.minimum(scores[k:], 0), scores[k:])
-    sums = np.concatenate(([0.0], np.cumsum(scores)))
     ends = np.append(starts[1:], len(scores))
+    place = np.arange(len(scores)) - np.repeat(starts, ends - starts)
+    for k in range(1, min(WINDOW, len(scores))):
+        scores[k:] = np.where((given[k:] == given[:-k]) & (place[k:] >= k), np.minimum(scores[k:], 0), scores[k:])
     best, where = np.zeros(len(starts)), starts.copy()
     mean = np.full(len(scores), -np.inf)
     if len(scores) >= WINDOW:
-        mean[: len(scores) - WINDOW + 1] = (sums[WINDOW:] - sums[:-WINDOW]) / WINDOW
+        # window by window, not from running sums: these would carry digits of the documents before
+        mean[: len(scores) - WINDOW + 1] = sum(scores[k : len(scores) - WINDOW + 1 + k] for k in range(WINDOW)) / WINDOW
     for i, (s, e) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
         if e - s >= WINDOW:
             k = s + int(mean[s : e - WINDOW + 1].argmax())
             best[i], where[i] = mean[k], k
         elif e > s:
-            best[i] = (sums[e] - sums[s]) / (e - s)
+            best[i] = scores[s:e].mean()
     return best, where
 
 

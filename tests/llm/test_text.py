@@ -136,6 +136,14 @@ def test_misspellings_share_ngrams():
     assert model.scores([plain + " grumboltz snarfikk"])[0] > model.scores([plain])[0] + 0.2
 
 
+def test_toxic_copies_score_like_each_alone():
+    docs, toxic, _ = corpus()
+    model = toxicity.fit([t for _, t in docs], toxic)
+    texts = ["grumbolt", "grumbolt", "", "grumbolt snarfik", "grumbolt snarfik", "lo lo snarfik", "snarfik lo lo lo lo lo lo", "grumbolt grumbolt"]
+    alone = [float(model.scores([t])[0]) for t in texts]
+    assert model.scores(texts).tolist() == alone and alone[0] > alone[2]
+
+
 def test_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, str(i)) for i in range(300)], DOC)
     labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(7, 0), (7, 1)], "doc_id long, y int")
