@@ -46,10 +46,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document's ids, as little-endian 32-bit integers, with their number and digests of ids and decoded bytes."""
+    """Every document's ids, as little-endian 32-bit integers, with their number and digests of ids and decoded bytes.
+
+    Spark reads files in an order of its own, so ``place`` follows from the documents again; rows are in its order.
+    """
     path, pattern = vocabulary()
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "source", "text"), path, pattern), path, pattern)
-    return coded.select("doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    placed = mixing.mix(docs.select("doc_id", "source", "text")).select("place", "doc_id", "source", "text").orderBy("place")
+    coded = byte_bpe.decode(byte_bpe.encode(placed, path, pattern), path, pattern)
+    return coded.select("place", "doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_copies), ("personal_data", redact_personal_data), ("mixing", mix_sources), ("byte_bpe", encode)]

@@ -1,11 +1,13 @@
 """The corpus pipeline: every stage's contract, and the whole against its stages' rules."""
 
+import collections
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cartulary.llm import pii
+from cartulary.llm import mixing, pii
 
 COLUMNS = list(corpus_pipeline.COLUMNS)
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -61,3 +63,32 @@ def test_run_and_empty_tables(spark, small, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def plain_pfair(counts):
+    """The source of every row: earliest deadline first among the released blocks, anew whenever a source has run out."""
+    names, weights, left = sorted(counts), mixing.default_weights(counts), dict(counts)
+    out = []
+    while any(left.values()):
+        held = [s for s in names if left[s]]
+        period, done, t = sum(weights[s] for s in held), dict.fromkeys(held, 0), 0
+        while all(left[s] for s in held):
+            released = [s for s in held if done[s] * period // weights[s] <= t]
+            s = min(released, key=lambda s: (-(-(done[s] + 1) * period // weights[s]), s))
+            n = min(mixing.BLOCK, left[s])
+            out += [s] * n
+            left[s], done[s], t = left[s] - n, done[s] + 1, t + 1
+    return out
+
+
+def test_rows_follow_the_schedule(spark, small):
+    folder, _ = small
+    documents = spark.read.parquet(f"{folder}/documents.parquet").withColumn("source", F.expr("CASE WHEN doc_id % 7 = 0 THEN 'rare' ELSE source END"))
+    scattered = documents.repartition(7)
+    for docs in (documents, scattered):
+        rows = corpus_pipeline.encode(spark, docs, folder).collect()
+        assert [r["source"] for r in rows] == plain_pfair(collections.Counter(r["source"] for r in rows))
+        assert [r["place"] for r in rows] == sorted({r["place"] for r in rows})
+    rows = corpus_pipeline.run(spark, folder).collect()
+    assert [r["source"] for r in rows] == plain_pfair(collections.Counter(r["source"] for r in rows))
+    assert [r["place"] for r in rows] == sorted({r["place"] for r in rows})
