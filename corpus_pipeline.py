@@ -26,13 +26,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates; of rows that share an id the first by text."""
-    rows = docs.select(*COLUMNS)
-    classes = minhash.classes(rows.select("doc_id", "text"))
-    ids = classes.where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    first = F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("first")
-    kept = rows.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "first.*")
-    return kept.select(*COLUMNS).unionByName(rows.where("doc_id IS NULL"))
+    """Of each class of near duplicates the row with the smallest id, null ids last; rows alike in id and text are one.
+
+    Classes are those of (id, text), so unlike texts of one id are documents of their own.
+    """
+    rows = docs.select(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("_row"), *COLUMNS)
+    classes = minhash.classes(rows.select("_row", "doc_id", "text"), "_row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
+    keys = classes.groupBy("class_id").agg(least).select("least._row")
+    # rows are grouped by their text too, so unlike rows of one hash are not taken for one
+    first = F.min(F.struct("lang", "source", "n_chars")).alias("first")
+    kept = rows.join(keys, "_row", "left_semi").groupBy("_row", "doc_id", "text").agg(first)
+    return kept.select("doc_id", "text", "first.*").select(*COLUMNS)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,3 +92,14 @@ def test_rows_follow_the_schedule(spark, small):
     rows = corpus_pipeline.run(spark, folder).collect()
     assert [r["source"] for r in rows] == plain_pfair(collections.Counter(r["source"] for r in rows))
     assert [r["place"] for r in rows] == sorted({r["place"] for r in rows})
+
+
+def test_near_copies_of_repeated_and_null_ids(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(rng.choice("ka lo mi re tu sa ne vo pi du".split()) + str(rng.randrange(40)) for _ in range(80)) for _ in range(3))
+    docs = [(7, a), (7, b), (7, b), (8, a), (None, a), (None, c), (None, c), (9, b + " more"), (10, None), (11, ""), (None, None)]
+    rows = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "x") for d, t in docs], SCHEMA)
+    out = corpus_pipeline.drop_near_copies(spark, rows, "")
+    assert out.columns == COLUMNS
+    got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert got == collections.Counter([(7, a), (7, b), (None, c), (10, None), (11, ""), (None, None)])
