@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import os
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cartulary.llm.common import per_slice
+from cartulary.llm.common import Memo, memo, per_slice
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-#: Matches held by one Python worker's cache; later ones are encoded each time they occur.
-CACHED = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -54,11 +51,10 @@ class ByteBPE:
         for t, r in ranks.items():
             self.tokens[r] = t
         self.lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
-        self.cache: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        get, found, missing = self.cache.get, [], {}
+    def encode(self, texts: list[str], known: Memo | None = None) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers; known: those of matches met before, while there is room."""
+        get, found, missing = (known or {}).get, [], {}
         for text in texts:
             pieces = self.find(text)
             ids = list(map(get, pieces))
@@ -69,9 +65,8 @@ class ByteBPE:
             keys = list(missing)
             for key, got in zip(keys, self.model.encode_batch_fast(keys, add_special_tokens=False), strict=True):
                 missing[key] = np.array(got.ids, dtype="<u4").tobytes()
-            room = CACHED - len(self.cache)
-            if room > 0:
-                self.cache.update((k, missing[k]) for k in keys[:room])
+            if known is not None:
+                known.learn(missing)
         return [b"".join([missing[p] if i is None else i for p, i in zip(pieces, ids, strict=True)] if missing else ids) for pieces, ids in found]
 
     def decode(self, ids: bytes) -> bytes:
@@ -90,9 +85,16 @@ class ByteBPE:
         return first.astype(np.int32), upto[end].astype(np.int32)
 
 
-@lru_cache(maxsize=2)
+def _known(path: str, pattern: str) -> Memo:
+    """The worker's memo of matches for this rank file, with the model, which is built once."""
+    held = memo(__name__, path, pattern)
+    if held.model is None:
+        held.model = ByteBPE(path, pattern)
+    return held
+
+
 def model(path: str, pattern: str) -> ByteBPE:
-    return ByteBPE(path, pattern)
+    return _known(path, pattern).model
 
 
 def _with(batch: pa.RecordBatch, new: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -105,18 +107,26 @@ def _schema(df: DataFrame, new: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name not in names] + [T.StructField(n, t) for n, t in new])
 
 
-def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", offsets: bool = False) -> DataFrame:
-    """Add ``ids`` (little-endian 32-bit integers), ``n_tokens`` and, if asked for, ``starts`` and ``ends`` in characters."""
+def encode(df: DataFrame, vocabulary: str, pattern: str, text: str = "text", offsets: bool = False, decoded: bool = False) -> DataFrame:
+    """Add ``ids`` (little-endian 32-bit integers) and ``n_tokens``.
+
+    offsets: also ``starts`` and ``ends`` of the tokens in characters; decoded: also what decoding the ids gives, in the
+    same pass, so that one worker holds one model.
+    """
     new = [("ids", T.BinaryType()), ("n_tokens", T.LongType())] + [(n, T.ArrayType(T.IntegerType())) for n in ("starts", "ends")] * offsets
+    new += [("decoded", T.BinaryType())] * decoded
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        bpe = model(vocabulary, pattern)
+        known = _known(vocabulary, pattern)
+        bpe = known.model
         texts = [x or "" for x in batch.column(batch.schema.names.index(text)).to_pylist()]
-        ids = bpe.encode(texts)
+        ids = bpe.encode(texts, known)
         out = {"ids": pa.array(ids, pa.binary()), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64())}
         if offsets:
             pairs = [bpe.offsets(i, t.encode()) for i, t in zip(ids, texts, strict=True)]
             out |= {n: pa.array([p[k] for p in pairs], pa.list_(pa.int32())) for k, n in enumerate(("starts", "ends"))}
+        if decoded:
+            out["decoded"] = pa.array(map(bpe.decode, ids), pa.binary())
         return _with(batch, out)
 
     return df.mapInArrow(per_slice(run, df.columns.index(text)), _schema(df, new))

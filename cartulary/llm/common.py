@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +24,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return jsc.getCheckpointDir().get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     spark.sparkContext.setCheckpointDir(named)
     return jsc.getCheckpointDir().get()
@@ -32,11 +37,65 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut, but as compressed Parquet in the shared folder: for wide rows."""
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like cut, but as compressed Parquet in the shared folder, for wide rows; and where that is."""
     path = f"{checkpoint_root(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Memo(dict):
+    """What a Python worker keeps from one batch to the next, for one owner: ``LIMIT`` bytes at most."""
+
+    LIMIT = 32_000_000
+    held: Memo | None = None
+
+    def __init__(self, owner: tuple):
+        super().__init__()
+        self.owner, self.left, self.model = owner, self.LIMIT, None
+
+    def learn(self, new: dict) -> None:
+        """Add entries as long as there is room."""
+        for k, v in new.items():
+            if self.left <= 0:
+                return
+            self.left -= sys.getsizeof(k) + sys.getsizeof(v) + 100
+            self[k] = v
+
+
+def memo(*owner) -> Memo:
+    """The worker's only memo; what another owner left in it is dropped first."""
+    if Memo.held is None or Memo.held.owner != owner:
+        Memo.held = None
+        gc.collect()
+        Memo.held = Memo(owner)
+    return Memo.held
+
+
+def give_back() -> None:
+    """Return freed memory to the system, which the executor's other workers and its JVM share."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores after it until no column of ``df`` bears it (Spark takes letters of either case for one)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[pa.RecordBatch]:
@@ -53,12 +112,18 @@ def slices(batch: pa.RecordBatch, column: int | str, limit: int) -> Iterator[pa.
 
 
 def per_slice(fn: Callable[[pa.RecordBatch], pa.RecordBatch], column: int | str, limit: int = 2_000_000):
-    """A mapInArrow function that hands ``fn`` bounded slices and drops nothing."""
+    """A mapInArrow function that hands ``fn`` bounded slices and drops nothing.
+
+    A worker that served another operator's module before forgets what that one kept.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if Memo.held is not None and Memo.held.owner[0] != fn.__module__:
+            memo(fn.__module__)
         for batch in batches:
             for part in slices(batch, column, limit):
                 yield fn(part)
+        give_back()
 
     return run
 

@@ -24,16 +24,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import WORD, cut, per_slice
+from cartulary.llm.common import WORD, cut, fresh, memo, per_slice
 from cartulary.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 #: Registers that must agree before a pair of a mixed bucket is verified: far below what chance leaves to similar pairs.
 ESTIMATE, BLOCK = 0.62, 256
-CACHED = 100_000
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
-_hashes: dict[str, int] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,13 +41,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def word_ids(text: str) -> np.ndarray:
-    words = WORD.findall(text)
-    found = list(map(_hashes.get, words))
+    words, known = WORD.findall(text), memo(__name__)
+    found = list(map(known.get, words))
     if None in found:
         new = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) for w, i in zip(words, found, strict=True) if i is None}
         found = [new[w] if i is None else i for w, i in zip(words, found, strict=True)]
-        if len(_hashes) < CACHED:
-            _hashes.update(new)
+        known.learn(new)
     return np.array(found, dtype=np.uint64)
 
 
@@ -255,8 +252,9 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     # a row's node is the smallest id with its words, and an id stands for one document
     alias = named.where("id <> node").select(F.col("id").alias("u"), F.col("node").alias("v"))
     linked = alias.join(final, alias.v == final.id, "left").select(F.col("u").alias("id"), F.coalesce("component", "v").alias("component"))
-    lookup = final.unionByName(linked).groupBy(F.col("id").alias("_key")).agg(F.min("component").alias("_class"))
     rest = [c for c in df.columns if c not in ("class_id", "kept")]
-    out = df.select(*rest, F.col(doc_id).cast("long").alias("_key")).join(lookup, "_key", "left")
-    class_id = F.coalesce("_class", "_key")
-    return out.select(*rest, class_id.alias("class_id"), F.coalesce(class_id == F.col("_key"), F.lit(True)).alias("kept"))
+    own, cls = fresh(df.select(*rest), "own", "class")
+    lookup = final.unionByName(linked).groupBy(F.col("id").alias(own)).agg(F.min("component").alias(cls))
+    out = df.select(*rest, F.col(doc_id).cast("long").alias(own)).join(lookup, own, "left")
+    class_id = F.coalesce(cls, own)
+    return out.select(*rest, class_id.alias("class_id"), F.coalesce(class_id == F.col(own), F.lit(True)).alias("kept"))

@@ -21,14 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from cartulary.llm.byte_bpe import _schema, _with
-from cartulary.llm.common import per_slice
+from cartulary.llm.common import memo, per_slice
 from cartulary.llm.labelled import sample
 
 #: Labelled documents that training reads at most.
 BOUND = 6000
 WORDS, SHAPES, DIM, NONZERO, REACH = 1 << 15, 1 << 12, 48, 6, 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, SEED = 32, 60, 64, 0.003, 1e-4, 5
-CACHED = 150_000
 _LOWER, _UPPER, _DIGIT = re.compile(r"[^\W\d_A-ZÀ-ÖØ-Þ]+"), re.compile(r"[A-ZÀ-ÖØ-Þ]+"), re.compile(r"[0-9]+")
 
 
@@ -51,7 +50,7 @@ class Pool:
     """Turns texts into rows of features; vectors: of the words, as learned from the sample."""
 
     def __init__(self, vectors: np.ndarray):
-        self.vectors, self.shapes, self.cache = vectors, index_vectors(SHAPES, SEED + 1), {}
+        self.vectors, self.shapes = vectors, index_vectors(SHAPES, SEED + 1)
 
     def __getstate__(self):
         return {"vectors": self.vectors}
@@ -60,13 +59,12 @@ class Pool:
         self.__init__(state["vectors"])
 
     def ids(self, words: list[str]) -> np.ndarray:
-        get = self.cache.get
-        found = list(map(get, words))
+        known = memo(__name__)
+        found = list(map(known.get, words))
         if None in found:
             new = {w: bucket(w) for w, i in zip(words, found, strict=True) if i is None}
             found = [new[w] if i is None else i for w, i in zip(words, found, strict=True)]
-            if len(self.cache) < CACHED:
-                self.cache.update(new)
+            known.learn(new)
         return np.array(found, dtype=np.int64)
 
     def features(self, texts: list[str]) -> np.ndarray:

@@ -34,7 +34,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm import byte_bpe
 
     path, pattern = vocabulary()
-    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern), path, pattern)
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, pattern, decoded=True)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
