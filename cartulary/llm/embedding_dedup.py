@@ -2,7 +2,8 @@
 
 Vectors of one label are compared.  Each of several tables hashes a vector to the signs of its products with random
 hyperplanes; vectors that share a table's signature are verified by cosine in double precision, so the operator links
-what the tables bring together and nothing below the limit.  Bit for bit equal vectors of one label stand for each other,
+what the tables bring together and nothing below the limit.  Signatures have more bits, and there are more tables, where a
+label has more vectors: a bucket holds about as many unrelated ones however many there are.  Bit for bit equal vectors of one label stand for each other,
 by a count.  A bucket is cut into blocks and compared block by block in matrix products; a pair counts in the first table
 that brings it together, so links are counted without writing pairs, and of the links only some go on to the components:
 each vector's with the smallest one that it reaches within the blocks compared.
@@ -15,47 +16,72 @@ same name; an empty table gives an empty table.
 
 from __future__ import annotations
 
+from math import acos, ceil, log, pi
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import cut
+from cartulary.llm.common import cut, fresh
 from cartulary.llm.components import components
 
 LIMIT = 0.93
-#: A pair at the limit shares a table's signature with a probability near 0.88 ** BITS, and so misses all TABLES with one near 1e-7.
-TABLES, BITS, SEED, BLOCK = 36, 8, 3, 1024
+#: Bits of a signature, the fewest that leave about BLOCK unrelated vectors of a label in a bucket; tables follow from them: a pair at the limit shares a table's
+#: signature with a probability of (1 - acos(LIMIT) / pi) ** bits, and misses all tables with one of MISSED.
+LEVELS, MISSED, SEED, BLOCK = (8, 12, 16, 20, 24), 1e-7, 3, 1024
 #: Rows that one call compares, a few blocks: buckets are dealt to so many calls.
 DEAL = 20_000
 
 
-def planes(width: int) -> np.ndarray:
-    return np.random.default_rng((SEED, width)).normal(size=(width, TABLES * BITS))
+def tables(bits: int) -> int:
+    shared = (1 - acos(LIMIT) / pi) ** bits
+    return ceil(log(MISSED) / log(1 - shared))
+
+
+def planes(width: int, bits: int) -> np.ndarray:
+    return np.random.default_rng((SEED, width, bits)).normal(size=(width, tables(bits) * bits))
+
+
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Largest component 1, so that no square overflows or vanishes; a scale leaves signs and cosines as they are."""
+    # twice: the inverse of a subnormal number is not finite
+    vectors = vectors * np.where(np.abs(vectors).max(axis=1, keepdims=True) < 1e-290, 1e290, 1.0)
+    return vectors / np.abs(vectors).max(axis=1, keepdims=True)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = _scaled(vectors)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def hashed(df: DataFrame) -> DataFrame:
-    """(node, label, vector) -> (node, label, width, vector, codes): doubles, and one signature for each table, as bytes."""
+    """(node, label, vector, bits) -> (node, label, width, bits, vector, codes): doubles, and a signature for each table, as bytes."""
 
     def run(batches):
         for batch in batches:
-            lists = [np.array(x, dtype=np.float64) for x in batch.column(2).to_pylist()]
+            lists, bits = [np.array(x, dtype=np.float64) for x in batch.column(2).to_pylist()], batch.column(3).to_pylist()
             codes: list[bytes] = [b""] * len(lists)
-            for width in {len(x) for x in lists}:
-                where = [i for i, x in enumerate(lists) if len(x) == width]
-                signs = np.array([lists[i] for i in where]) @ planes(width) > 0
-                got = signs.reshape(len(where), TABLES, BITS) @ (1 << np.arange(BITS))
-                for i, g in zip(where, got.astype("u1"), strict=True):
-                    codes[i] = g.tobytes()
+            for width, b in {(len(x), b) for x, b in zip(lists, bits, strict=True)}:
+                where = [i for i, x in enumerate(lists) if (len(x), bits[i]) == (width, b)]
+                normals = planes(width, b)
+                for s in range(0, len(where), BLOCK):
+                    part = where[s : s + BLOCK]
+                    signs = _scaled(np.array([lists[i] for i in part])) @ normals > 0
+                    got = signs.reshape(len(part), tables(b), b) @ (1 << np.arange(b))
+                    for i, g in zip(part, got.astype(f"<u{_wide(b)}"), strict=True):
+                        codes[i] = g.tobytes()
             # what single precision holds exactly travels in it
-            packed = [(x.astype("<f4") if (x.astype("<f4") == x).all() else x).tobytes() for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, lists)), pa.int32()), pa.array(packed, pa.binary()), pa.array(codes, pa.binary())], names=["node", "label", "width", "vector", "codes"])
+            with np.errstate(over="ignore"):
+                packed = [(x.astype("<f4") if (x.astype("<f4") == x).all() else x).tobytes() for x in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(len, lists)), pa.int32()), pa.array(bits, pa.int32()), pa.array(packed, pa.binary()), pa.array(codes, pa.binary())], names=["node", "label", "width", "bits", "vector", "codes"])
+
+    return df.mapInArrow(run, "node long, label string, width int, bits int, vector binary, codes binary")
+
 
-    return df.mapInArrow(run, "node long, label string, width int, vector binary, codes binary")
+def _wide(bits: int) -> int:
+    """Bytes of a signature."""
+    return 1 if bits <= 8 else 4
 
 
 def _unpacked(data: list[bytes], width: int) -> np.ndarray:
@@ -77,17 +103,17 @@ def _reached(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 def _linked(table: pa.Table) -> pa.Table:
     """Some pairs of blocks -> (u, v, n): links counted at u; v: the smallest vector that u reaches in that pair of blocks."""
-    names = ("label", "width", "t", "code", "l", "r")
+    names = ("label", "width", "bits", "t", "code", "l", "r")
     columns = {c: table[c].to_pylist() for c in (*names, "vector", "codes")} | {c: table[c].to_numpy(zero_copy_only=False) for c in ("node", "right", "many")}
     groups: dict[tuple, list[int]] = {}
     for k, key in enumerate(zip(*[columns[c] for c in names], strict=True)):
         groups.setdefault(key, []).append(k)
     out = ([], [], [])
-    for (_, width, t, *_), where in groups.items():
+    for (_, width, bits, t, *_), where in groups.items():
         right = columns["right"][where]
         node, many = columns["node"][where], columns["many"][where]
         vectors = _unit(_unpacked([columns["vector"][k] for k in where], width))
-        codes = np.frombuffer(b"".join([columns["codes"][k] for k in where]), dtype="u1").reshape(len(where), -1)
+        codes = np.frombuffer(b"".join([columns["codes"][k] for k in where]), dtype=f"<u{_wide(bits)}").reshape(len(where), -1)
         i, j = np.flatnonzero(~right), np.flatnonzero(right)
         a, b = np.nonzero(vectors[i] @ vectors[j].T >= LIMIT)
         a, b = i[a], j[b]
@@ -104,32 +130,43 @@ def _linked(table: pa.Table) -> pa.Table:
 
 def classes(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
     """Every row of ``df`` with ``n_links``, ``component_id`` and ``kept``."""
-    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.transform(embedding, lambda x: x.cast("double")).alias("vector"))
+    # -0.0 is 0.0
+    rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(label).cast("string").alias("label"), F.transform(embedding, lambda x: x.cast("double") + F.lit(0.0)).alias("vector"))
     # nothing but finite numbers, not all zero
     sound = "id IS NOT NULL AND label IS NOT NULL AND vector IS NOT NULL AND forall(vector, x -> x IS NOT NULL AND abs(x) < double('infinity')) AND exists(vector, x -> x <> 0)"
     rows = rows.where(sound).groupBy("id").agg(F.min(F.struct("label", "vector")).alias("r")).select("id", "r.*")
-    same = rows.groupBy("label", "vector").agg(F.min("id").alias("node"), F.count("*").alias("many"))
-    copies = cut(rows.join(same, ["label", "vector"]).select("id", "node", "many"))
-    coded = hashed(same.select("node", "label", "vector"))
-    nodes = cut(coded.join(same.select("node", "many"), "node"))
-    short = F.expr(f"transform(sequence(0, {TABLES - 1}), t -> struct(t AS t, substring(codes, t + 1, 1) AS code))")
-    keyed = nodes.select("node", "label", "width", F.explode(short).alias("k")).select("node", "label", "width", "k.*")
-    shared = keyed.groupBy("label", "width", "t", "code").agg(F.count("*").alias("size")).where("size > 1")
-    placed = keyed.join(shared, ["label", "width", "t", "code"])
+    # equal vectors meet by two hashes, counted before they are shuffled, so a hot one is a row of each task
+    rows = cut(rows.withColumns({"h": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(SEED), F.reverse("vector"))}))
+    same = rows.groupBy("label", "h", "h2").agg(F.min("id").alias("node"), F.count("*").alias("many"))
+    copies = cut(rows.select("id", "label", "h", "h2").join(same, ["label", "h", "h2"]).select("id", "node", "many"))
+    sizes = same.groupBy("label").agg(F.count("*").alias("size"))
+    steps = F.lit(LEVELS[-1])
+    for b in reversed(LEVELS[:-1]):
+        steps = F.when(F.col("size") <= BLOCK << b, b).otherwise(steps)
+    leaders = copies.where("id = node").select("id", F.col("many"))
+    nodes = rows.join(leaders, "id").join(sizes, "label").select(F.col("id").alias("node"), "label", "vector", steps.cast("int").alias("bits"), "many")
+    nodes = cut(hashed(nodes.select("node", "label", "vector", "bits")).join(leaders.withColumnRenamed("id", "node"), "node"))
+    many = F.create_map(*[F.lit(x) for b in LEVELS for x in (b, tables(b))])[F.col("bits")]
+    wide = F.when(F.col("bits") <= 8, 1).otherwise(4)
+    short = F.expr("transform(sequence(0, _tables - 1), t -> struct(t AS t, substring(codes, t * _wide + 1, _wide) AS code))")
+    keyed = nodes.withColumns({"_tables": many, "_wide": wide}).select("node", "label", "width", "bits", F.explode(short).alias("k")).select("node", "label", "width", "bits", "k.*")
+    shared = keyed.groupBy("label", "width", "bits", "t", "code").agg(F.count("*").alias("size")).where("size > 1")
+    placed = keyed.join(shared, ["label", "width", "bits", "t", "code"])
     # every block of a bucket meets every other: a row goes once to each of its bucket's blocks on either side
     rows_in_all = shared.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK) * 2)).first()[0] or 0
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     sides = placed.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    key = ("label", "width", "t", "code", "l", "r")
+    key = ("label", "width", "bits", "t", "code", "l", "r")
     tasks = sides.withColumnsRenamed({"own": "l", "other": "r"}).select("node", *key, F.lit(False).alias("right")).unionByName(
         sides.withColumnsRenamed({"own": "r", "other": "l"}).select("node", *key, F.lit(True).alias("right"))
     )
-    full = tasks.join(nodes.drop("label", "width"), "node").withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(rows_in_all // DEAL + 1)))
+    full = tasks.join(nodes.drop("label", "width", "bits"), "node").withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(rows_in_all // DEAL + 1)))
     links = cut(full.groupBy("deal").applyInArrow(_linked, "u long, v long, n long"))
     found = components(links.select("u", "v"))
     counts = links.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
-    total = copies.join(counts, "node", "left").join(found, copies.node == found.id, "left").select(copies.id.alias("_id"), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
     rest = [c for c in df.columns if c not in ("n_links", "component_id", "kept")]
-    out = df.select(*rest, F.col(vec_id).cast("long").alias("_key")).join(total, F.col("_key") == F.col("_id"), "left")
-    component = F.coalesce("component_id", "_key")
-    return out.select(*rest, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("_key"), F.lit(True)).alias("kept"))
+    own, other, n, c = fresh(df.select(*rest), "own", "other", "n", "c")
+    total = copies.join(counts, "node", "left").join(found, copies.node == found.id, "left").select(copies.id.alias(other), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias(n), F.coalesce("component", "node").alias(c))
+    out = df.select(*rest, F.col(vec_id).cast("long").alias(own)).join(total, F.col(own) == F.col(other), "left")
+    component = F.coalesce(c, own)
+    return out.select(*rest, F.coalesce(n, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(own), F.lit(True)).alias("kept"))
