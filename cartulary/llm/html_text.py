@@ -1,11 +1,13 @@
 """Main text of web pages: flat text blocks, classified by a decision tree.
 
 A page is cut into blocks of text at block tags.  A block is described by its own and its neighbours' word count and link
-density and by where it stands (inside marked page furniture, inside an article or main element, a heading); a tree grown
-on the small labelled table of pages below says which blocks are main text.
+density, whether it is a heading, and one weak feature: where its markup says it stands.  A tree grown on the labelled
+pages below says which blocks are main text; on pages whose markup says nothing it decides by words, links and neighbours.
 
-Defined results: a null or empty page gives the empty text; markup that is never closed ends with the page; repeated rows
-give equal texts; extra columns pass through, ``text`` replaces a column of that name; an empty table gives an empty table.
+Defined results: a null or empty page gives the empty text; comments, scripts and styles that are never closed end with the
+page, other elements that are never closed end as HTML's optional end tags let them, at the latest with the next block; the
+labels of buttons and choices are no text; repeated rows give equal texts; extra columns pass through, ``text`` replaces a
+column of that name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,22 +25,28 @@ from cartulary.llm.byte_bpe import _schema, _with
 from cartulary.llm.common import per_slice
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^<>])*+)>|<[!?][^>]*>", re.S)
-#: Elements whose content is no text of the page.
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas textarea select option button".split())
+#: Elements whose content is no text of the page: of the first two even if they are never closed.
+RAW = frozenset("script style".split())
+SILENT = RAW | frozenset("noscript template svg math title iframe object canvas textarea".split())
+#: Labels of form controls: silent up to their end tag or the next block.
+CONTROLS = frozenset("select option optgroup button datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-FURNITURE = frozenset("nav footer aside form menu dialog fieldset address".split())
+FURNITURE = frozenset("nav footer aside form menu dialog fieldset".split())
+CONTAINERS = FURNITURE | frozenset("div section ul ol dl table header center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words in a class, id or role that mark page furniture, and those that mark the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|copyright|disqus|footer|gdpr|header|masthead|menu\w*|modal|nav\w*|newsletter|notices?|pagination|pager|popup|promo\w*|related|replies|reply|respond|share|sharing|side|sidebar\w*|signup|social|sponsor\w*|subscribe|toolbar|widget\w*|contentinfo|navigation|complementary|search)(?:$|[\s_-])",
-    re.I,
+#: Names in a class, id or role, whole or between hyphens, that mark page furniture.
+MARKS = frozenset(
+    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup promo promotion related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets contentinfo complementary search".split()
 )
+NAMES = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
 
-Block = tuple[str, int, int, bool, bool, bool]  # text, words, linked words, furniture, article, heading
+#: Where a block stands: in marked page furniture, beside the page's article, on a page that does not say, in the article.
+MARKED, BESIDE, UNSAID, WITHIN = -2, -1, 0, 1
+Block = tuple[str, int, int, int, bool]  # text, words, linked words, standing, heading
 
 
 def blocks(page: str) -> list[Block]:
@@ -47,19 +55,20 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     linked: list[str] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # element, furniture, article, heading: of it and what is around it
-    in_link, at, size = 0, 0, len(page)
-    state = (False, False, False)
+    in_link, muted, at, size = 0, False, 0, len(page)
+    state, never_closed = (False, False, False), set()
 
     def close() -> None:
         if text:
             words = SPACE.sub(" ", html.unescape("".join(text))).strip()
             if words:
-                out.append((words, words.count(" ") + 1, len(html.unescape("".join(linked)).split()), *state))
+                furniture, article, heading = state
+                out.append((words, words.count(" ") + 1, len(html.unescape("".join(linked)).split()), MARKED if furniture else WITHIN if article else UNSAID, heading))
             text.clear()
             linked.clear()
 
     def put(piece: str) -> None:
-        if piece:
+        if piece and not muted:
             text.append(piece)
             if in_link:
                 linked.append(piece)
@@ -75,10 +84,17 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in SILENT:
             if not m[1] and not m[3].endswith("/"):
-                if name not in ("svg", "math"):
-                    close()
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-                at = end.end() if end else size
+                end = None if name in never_closed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if end:
+                    at = end.end()
+                elif name in RAW:
+                    at = size
+                else:
+                    never_closed.add(name)
+                    muted = name in ("title", "textarea", "iframe")
+            continue
+        if name in CONTROLS:
+            muted = not m[1] or (muted and name in ("option", "optgroup"))
             continue
         if name in INLINE:
             if name == "a":
@@ -88,7 +104,7 @@ def blocks(page: str) -> list[Block]:
                 put(" ")
             continue
         close()
-        in_link = 0
+        in_link, muted = 0, False
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -98,29 +114,32 @@ def blocks(page: str) -> list[Block]:
             if name in ("p", "li", "td", "th", "tr", "dt", "dd") or name in HEADINGS:
                 while stack and stack[-1][0] in ("p", name) or stack and stack[-1][0] in HEADINGS:
                     stack.pop()
-            article = state_article = stack[-1][2] if stack else False
-            marked = name in FURNITURE or (name == "header" and not state_article)
+            around = stack[-1] if stack else ("", False, False, False)
+            marked = name in FURNITURE or (name == "header" and not around[2])
             if m[3]:
-                values = " ".join([next(v for v in a if v is not None) for a in (x.groups() for x in ATTRIBUTE.finditer(m[3]))])
-                marked = marked or bool(name not in ("body", "html", "main", "article") and MARKS.search(values)) or bool(HIDDEN.search(m[3]))
-            article = article or name in ("article", "main")
-            stack.append((name, marked or (stack[-1][1] if stack else False), article, name in HEADINGS))
+                if name in CONTAINERS:
+                    values = " ".join([next(v for v in a if v is not None) for a in (x.groups() for x in ATTRIBUTE.finditer(m[3]))])
+                    marked = marked or not MARKS.isdisjoint(NAMES.findall(values.lower()))
+                marked = marked or bool(HIDDEN.search(m[3]))
+            stack.append((name, marked or around[1], around[2] or name in ("article", "main"), name in HEADINGS))
         state = stack[-1][1:] if stack else (False, False, False)
     close()
+    if any(b[3] == WITHIN for b in out):
+        out = [(t, n, k, BESIDE if s == UNSAID else s, h) for t, n, k, s, h in out]
     return out
 
 
-FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "furniture", "article", "heading", "articles_on_page")
+FEATURES = ("words", "links", "before_words", "before_links", "after_words", "after_links", "standing", "heading")
 
 
 def features(found: list[Block]) -> np.ndarray:
-    """A row for each block: its words and link density, those of its neighbours, and where it stands."""
+    """A row for each block: its words and link density, those of its neighbours, where it stands, whether it is a heading."""
     if not found:
         return np.zeros((0, len(FEATURES)))
-    own = np.array([(w, min(1.0, k / w), f, a, h) for _, w, k, f, a, h in found], dtype=np.float64)
+    own = np.array([(w, min(1.0, k / w), s, h) for _, w, k, s, h in found], dtype=np.float64)
     edge = np.zeros((1, 2))
     near = np.concatenate([edge, own[:, :2], edge])
-    return np.column_stack([own[:, :2], near[:-2], near[2:], own[:, 2:], np.full(len(own), own[:, 3].any())])
+    return np.column_stack([own[:, :2], near[:-2], near[2:], own[:, 2:]])
 
 
 #: Labelled pages: blocks that begin with + are main text; the marks + and - are taken off before training.
@@ -136,16 +155,94 @@ LABELLED = (
 )
 
 
-def labelled_blocks() -> tuple[np.ndarray, np.ndarray]:
+#: More labelled pages, by the words of their blocks: kind, then words or words/linked words of each block.  Each row makes a
+#: page whose markup says what is what, and one of bare div and p elements, so that words, links and neighbours must decide.
+SHAPED = """
+menu 1/1 1/1 2/2 1/1; advert 6; head 5; text 44 3 61/2 38; foot 12
+menu 1/1 1/1 1/1 2/2 1/1 1/1; advert 14; head 9; text 25; foot 14
+menu 2/2 1/1 3/3; head 7; text 52 28/1 9 64; related 6/6 8/8 5/5; foot 9
+menu 1/1 1/1; advert 4; head 3; text 17 2 33; related 7/7 9/9; foot 6/3
+menu 4/4 2/2 1/1 1/1; notice 16; head 8; text 80 120 6 70 4 90; share 1/1 1/1 1/1; foot 11
+menu 1/1 2/2 1/1; head 6; text 30 45/2 7; head 4; text 66 5 41; advert 11; related 5/5 6/6; foot 13
+advert 9; menu 1/1 1/1 1/1; head 10; text 140; foot 7
+head 6; text 20 31 18; foot 5
+menu 1/1 1/1 1/1 1/1; head 12; text 35; advert 8; text 47 3 29; comments 13 9 4; form 2 3; foot 10
+menu 2/2 2/2; text 90 75/4 60 110; foot 8/2
+menu 1/1 1/1 1/1; notice 22; head 5; text 12 15 9 11; foot 16
+menu 1/1 3/3 2/2; head 4; text 26 2/2 38; related 9/9 7/7 8/8 6/6; foot 12/4
+menu 1/1 1/1; head 7; text 58 62 1 49; comments 21 3 17; foot 9
+menu 1/1 1/1 1/1 1/1 1/1; advert 12; head 6; text 210 33 5; foot 15
+menu 2/2 1/1; head 8; text 6 4 5; related 4/4; foot 4
+menu 1/1 1/1 2/2; advert 7; head 11; text 71/3 64/5 55/2 48; share 1/1 2/2; form 5 2; foot 11
+head 4; text 3 2 5
+text 13
+text 8
+text 21
+text 120
+text 4
+text 33
+text 10
+text 15
+text 17
+text 40 2
+head 6; text 22 8 3
+menu 1/1 1/1 2/2; head 5; text 9 14 4 2
+menu 1/1 1/1; advert 9; head 3; text 31 44 6
+menu 2/2 1/1 1/1; text 60 7
+notice 12; head 8; text 28 5 33 3
+menu 1/1 1/1 1/1; head 5; text 18/18 40; share 1/1 1/1
+menu 1/1 2/2; head 4; text 30 6/6 9/9 21; foot 7
+head 7; text 27 4 50; foot 5/2
+menu 1/1 1/1; head 6/6; text 34 5/3 41 2; related 5/5; foot 6
+""".strip().split("\n")
+#: Whether a kind is main text; how the two pages hold it: around its blocks, around each, without and with marks.
+KINDS = {
+    "menu": (False, ("<div>{}</div>", "<div>{}</div>"), ("<nav><ul>{}</ul></nav>", "<li>{}</li>")),
+    "advert": (False, ("<div>{}</div>", "<p>{}</p>"), ("<div class='ad'>{}</div>", "{}")),
+    "notice": (False, ("<div>{}</div>", "<p>{}</p>"), ("<div id='cookie-notice'>{}</div>", "<p>{}</p>")),
+    "head": (True, ("{}", "<h2>{}</h2>"), ("<article>{}</article>", "<h2>{}</h2>")),
+    "text": (True, ("{}", "<p>{}"), ("<article>{}</article>", "<p>{}</p>")),
+    "related": (False, ("<div>{}</div>", "<p>{}</p>"), ("<aside class='related'>{}</aside>", "<p>{}</p>")),
+    "share": (False, ("<div>{}</div>", "<div>{}</div>"), ("<div class='share-bar'>{}</div>", "<div>{}</div>")),
+    "comments": (False, ("<div>{}</div>", "<div>{}</div>"), ("<section id='comments'>{}</section>", "<p>{}</p>")),
+    "form": (False, ("<div>{}</div>", "<div>{}</div>"), ("<form>{}</form>", "<p>{}</p>")),
+    "foot": (False, ("<div>{}</div>", "<div>{}</div>"), ("<footer>{}</footer>", "<p>{}</p>")),
+}
+
+
+def shaped_pages(rows: list[str] = SHAPED) -> list[str]:
+    """The two pages of each row, with the marks + and - of ``LABELLED``."""
+    out = []
+    for row in rows:
+        parts = [x.split() for x in row.split(";")]
+        for marked in (0, 1):
+            page = ""
+            for kind, *sizes in parts:
+                good, *frames = KINDS[kind]
+                around, each = frames[marked]
+                held = []
+                for size in sizes:
+                    n, _, k = size.partition("/")
+                    words = ["word"] * int(n)
+                    words[0] = ("+" if good else "-") + words[0]
+                    k = int(k or 0)
+                    held.append(each.format(f"<a href='x'>{' '.join(words[:k])}</a> {' '.join(words[k:])}" if k else " ".join(words)))
+                page += around.format("".join(held))
+            out.append(page.replace("</article><article>", ""))
+    return out
+
+
+def labelled_blocks(pages: tuple[str, ...] | list[str] = LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of all blocks of labelled pages."""
     rows, labels = [], []
-    for page in LABELLED:
+    for page in pages:
         found = blocks(page)
         labels += [b[0].startswith("+") for b in found]
         rows.append(features(found))
     return np.concatenate(rows), np.array(labels)
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple | bool:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 12, least: int = 3) -> tuple | bool:
     """A tree of (feature, threshold, at most, above) that splits where the Gini impurity falls most; leaves are verdicts."""
     share = y.mean()
     best = None
@@ -163,12 +260,13 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> tuple
     if best is None:
         return bool(share >= 0.5)
     _, f, cut, low = best
-    return f, cut, grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    below, above = grow(x[low], y[low], depth - 1, least), grow(x[~low], y[~low], depth - 1, least)
+    return below if isinstance(below, bool) and below is above else (f, cut, below, above)
 
 
 @lru_cache(maxsize=1)
 def tree() -> tuple | bool:
-    return grow(*labelled_blocks())
+    return grow(*labelled_blocks([*LABELLED, *shaped_pages()]))
 
 
 def judge(node: tuple | bool, row: np.ndarray) -> bool:
