@@ -18,6 +18,7 @@ through, output columns replace input columns of the same name; an empty table g
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from fractions import Fraction
 from math import ceil, floor
 
@@ -31,8 +32,11 @@ FEW = 50_000
 POWER, TOTAL = 0.5, 1000
 
 
-def pattern(weights: dict[int, int]) -> list[int]:
-    """The source of every slot of one period, earliest deadline first among the released."""
+def pattern(weights: dict[int, int], blocks: dict[int, int] | None = None) -> list[int]:
+    """The source of every slot of one period, earliest deadline first among the released.
+
+    blocks: stop after the slot of the block that is a source's last, if that comes within the period.
+    """
     period = sum(weights.values())
     due = lambda s, k: -(-(k + 1) * period // weights[s])
     waiting = [(0, s, 0) for s in sorted(weights)]
@@ -45,33 +49,41 @@ def pattern(weights: dict[int, int]) -> list[int]:
             heapq.heappush(ready, (due(s, k), s, k))
         _, s, k = heapq.heappop(ready)
         out.append(s)
+        if blocks and k + 1 == blocks[s]:
+            return out
         if k + 1 < weights[s]:
             heapq.heappush(waiting, ((k + 1) * period // weights[s], s, k + 1))
     return out
 
 
 def phases(blocks: dict[int, int], weights: dict[int, int]) -> tuple[list[tuple], list[tuple]]:
-    """Rows (phase, source, first block, end block, first slot, period, weight) and (phase, source, j, slot in the period)."""
+    """Rows (phase, source, first block, end block, first slot, period, weight) and (phase, source, j, slot in the period).
+
+    A phase ends with some source's last block.  Only sources that have a block in a phase have rows of it, so there are no
+    more rows than blocks, and none beyond the sum of weights for each source.
+    """
     left = {s: n for s, n in blocks.items() if n > 0}
     used, start, spans, slots = dict.fromkeys(left, 0), 0, [], []
     phase = 0
     while left:
         weighed = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1)
-        order = pattern(weighed)
-        places: dict[int, list[int]] = {s: [] for s in weighed}
+        period = sum(weighed.values())
+        order = pattern(weighed, left if any(left[s] <= w for s, w in weighed.items()) else None)
+        places: dict[int, list[int]] = {}
         for slot, s in enumerate(order):
-            places[s].append(slot)
-        period = len(order)
-        # the phase ends after the slot of the block that is some source's last
-        last = min((left[s] - 1) // w * period + places[s][(left[s] - 1) % w] for s, w in weighed.items())
-        for s, w in weighed.items():
-            whole, part = divmod(last + 1, period)
-            n = whole * w + sum(p < part for p in places[s])
-            spans.append((phase, s, used[s], used[s] + n, start, period, w))
-            slots += [(phase, s, j, p) for j, p in enumerate(places[s])]
-            used[s] += n
-            left[s] -= n
-        left = {s: n for s, n in left.items() if n}
+            places.setdefault(s, []).append(slot)
+        # the phase ends after the slot of the block that is some source's last; a pattern cut short ends with it
+        last = len(order) - 1 if len(order) < period else min((left[s] - 1) // w * period + places[s][(left[s] - 1) % w] for s, w in weighed.items())
+        whole, part = divmod(last + 1, period)
+        for s, own in places.items():
+            n = whole * weighed[s] + bisect_left(own, part)
+            if n:
+                spans.append((phase, s, used[s], used[s] + n, start, period, weighed[s]))
+                slots += [(phase, s, j, p) for j, p in enumerate(own[:n])]
+                used[s] += n
+                left[s] -= n
+                if not left[s]:
+                    del left[s]
         start, phase = start + last + 1, phase + 1
     return spans, slots
 
@@ -94,15 +106,16 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     """Every row with ``block`` (of its source), ``slot``, ``release`` and ``due`` (slots of its phase) and ``place``, the order to read in."""
     spark, new = df.sparkSession, ("block", "slot", "release", "due", "place")
     rest = [c for c in df.columns if c not in new]
-    rank = F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit("")))
-    keyed = df.select(*rest, F.col(source).alias("_s"), rank.alias("_h"))
+    # the columns of ``df`` travel in one, so that none meets a name of these plans
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(source).alias("_s"), F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit(""))).alias("_h"))
+    keyed = df
     counted = keyed.groupBy("_s").count().collect()  # a row for each source
     counts = {r["_s"]: r["count"] for r in counted}
     names = sorted(counts, key=lambda s: (s is not None, s))
     number = {s: k for k, s in enumerate(names)}
     held = {number[s]: w for s, w in (default_weights(counts) if weights is None else {s: w for s, w in weights.items() if s in number}).items()}
     spans, slots = phases({number[s]: ceil(n / BLOCK) for s, n in counts.items()}, held)
-    kind = df.schema[source].dataType.simpleString()
+    kind = df.schema["_s"].dataType.simpleString()
     sources = spark.createDataFrame([(s, k, max(1, ceil(counts[s] / RANKED))) for s, k in number.items()], f"_s {kind}, _k int, _parts int")
     # a source's documents are ranked in parts of bounded size: ranks of hashes within a part, after what the parts before it hold
     part = F.floor((F.shiftrightunsigned("_h", 1) / F.lit(2.0**63)) * F.col("_parts")).cast("int")
@@ -119,7 +132,7 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     placed = placed.join(slot_rows, ["_phase", "_k", "_j"])
     slot = F.expr("_start + _i div _w * _period + _p")
     return placed.select(
-        *rest,
+        *[F.col("row").getField(c).alias(c) for c in rest],
         "block",
         slot.alias("slot"),
         F.expr("_start + _i * _period div _w").alias("release"),
