@@ -11,21 +11,21 @@ sort is local to some megabytes; text moves once, dealt by document.
 
 Defined results: a null text is the empty text; an empty text has no spans and the digest of no bytes; rows alike in id and
 text are one document and get equal results; rows of one id and unlike texts are documents of that id in the order of a
-checksum of their texts; a null id comes before all others; texts of any length are read whole; extra columns pass through,
+64-bit hash of their texts; a null id comes before all others; texts of any length are read whole; extra columns pass through,
 output columns replace input columns of the same name; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from cartulary.llm.byte_bpe import _schema
 from cartulary.llm.common import per_slice
 
 #: Bytes of a window, and of the run in it that anchors it.
@@ -55,9 +55,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 FIELDS = {
-    "anchor": (("g", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("d", "<i8"), ("th", "<u2"), ("p", "<u4"), ("a", "u1"), ("b", "u1")),
-    "span": (("d", "<i8"), ("th", "<u2"), ("s", "<u4"), ("e", "<u4")),
-    "open": (("g", "<u8"), ("d", "<i8"), ("th", "<u2"), ("s", "<u4"), ("e", "<u4")),
+    "anchor": (("g", "<u8"), ("c", "<u8"), ("c2", "<u8"), ("d", "<i8"), ("th", "<i8"), ("p", "<u4"), ("a", "u1"), ("b", "u1")),
+    "span": (("d", "<i8"), ("th", "<i8"), ("s", "<u4"), ("e", "<u4")),
+    "open": (("g", "<u8"), ("d", "<i8"), ("th", "<i8"), ("s", "<u4"), ("e", "<u4")),
 }
 
 
@@ -114,9 +114,9 @@ def anchors(texts: list[bytes]) -> dict[str, np.ndarray]:
     return {"t": t, "p": p - first[t], "a": p - lo, "b": p - hi, "g": h[p], "c": c, "c2": c2}
 
 
-def shard_of(ids: np.ndarray, shards: int) -> np.ndarray:
-    values, back = np.unique(ids, return_inverse=True)
-    return np.array([zlib.crc32(b"" if v == _NULL else str(v).encode()) % shards for v in values.tolist()], dtype=np.int64)[back] if len(ids) else np.zeros(0, np.int64)
+def shard_of(ids: np.ndarray, hashes: np.ndarray, shards: int) -> np.ndarray:
+    """Where a document is dealt: by its id and its text's hash, so that neither null ids nor copies of one text meet in one shard only."""
+    return (ids.astype(np.int64) ^ hashes.astype(np.int64)) % shards
 
 
 def _dealt(kind: str, rows: dict[str, np.ndarray], where: np.ndarray) -> list[tuple[int, bytes]]:
@@ -134,9 +134,7 @@ def _find_anchors(shards: int):
     """(d, text) -> (bucket, kind, blob): anchors (0), and slices that occurred before within these very texts (1)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [(x or "").encode("utf-8", "replace") for x in batch.column(1).to_pylist()]
-        ids = [_NULL if d is None else d for d in batch.column(0).to_pylist()]
-        rows = sorted({(d, zlib.crc32(t) & 0xFFFF, t) for d, t in zip(ids, texts, strict=True)})
+        rows = sorted(set(_texts(batch.column(0), batch.column(1))))
         found: list[dict[str, np.ndarray]] = []
         reach = (1 << 23) - WINDOW + 1  # stretches of a long text share WINDOW - 1 bytes, so each window is in one of them
         pieces = [(d, th, s, t[s : s + reach + WINDOW - 1]) for d, th, t in rows for s in range(0, max(1, len(t) - WINDOW + 1), reach)]
@@ -148,7 +146,7 @@ def _find_anchors(shards: int):
                 e += 1
             got = anchors([x[3] for x in pieces[k:e]])
             t = got.pop("t")
-            for name, j, kind in (("d", 0, np.int64), ("th", 1, np.uint16), ("s", 2, np.int64)):
+            for name, j, kind in (("d", 0, np.int64), ("th", 1, np.int64), ("s", 2, np.int64)):
                 got[name] = np.array([x[j] for x in pieces[k:e]], dtype=kind)[t]
             got["p"] = got["p"] + got.pop("s")
             found.append(got)
@@ -194,15 +192,17 @@ def _compare_slices(shards: int):
         lo, hi = x["p"].astype(np.int64) - x["a"], x["p"].astype(np.int64) - x["b"] + WINDOW
         spans = {f: np.concatenate((known[f], v[~first])) for f, v in {"d": x["d"], "th": x["th"], "s": lo, "e": hi}.items()}
         left = {f: v[first & mixed] for f, v in {"g": x["g"], "d": x["d"], "th": x["th"], "s": lo, "e": hi}.items()}
-        out = [(k, 1, b) for k, b in _dealt("span", spans, shard_of(spans["d"], shards))] + [(k, 2, b) for k, b in _dealt("open", left, shard_of(left["d"], shards))]
+        out = [(k, 1, b) for k, b in _dealt("span", spans, shard_of(spans["d"], spans["th"], shards))] + [(k, 2, b) for k, b in _dealt("open", left, shard_of(left["d"], left["th"], shards))]
         return _table("shard", out)
 
     return run
 
 
-def _texts(docs: pa.Table, text: str) -> list[tuple[int, int, bytes]]:
-    data = [(x or "").encode("utf-8", "replace") for x in docs[text].to_pylist()]
-    return [(_NULL if d is None else d, zlib.crc32(t) & 0xFFFF, t) for d, t in zip(docs["_d"].to_pylist(), data, strict=True)]
+def _texts(ids, texts) -> list[tuple[int, int, bytes]]:
+    """(id, hash of the text, its bytes) of rows: the hash that Spark's xxhash64 gives; a null id comes before all others."""
+    data = [(x or "").encode("utf-8", "replace") for x in texts.to_pylist()]
+    hashes = np.array([xxhash.xxh64_intdigest(t, 42) for t in data], dtype=np.uint64).view(np.int64).tolist()
+    return [(_NULL if d is None else d, h, t) for d, h, t in zip(ids.to_pylist(), hashes, data, strict=True)]
 
 
 def _read_slices(shards: int):
@@ -211,7 +211,7 @@ def _read_slices(shards: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         blobs = [b for k, b in zip(found["kind"].to_pylist(), found["blob"].to_pylist(), strict=True) if k == 2]
         x, _ = unpack("open", blobs)
-        texts = {(d, th): t for d, th, t in _texts(docs, "_text")}
+        texts = {(d, th): t for d, th, t in _texts(docs["d"], docs["text"])}
         bucket = (x["g"] % np.uint64(shards)).astype(np.int64)
         order, out = np.argsort(bucket, kind="stable"), []
         keys, first = np.unique(bucket[order], return_index=True)
@@ -341,12 +341,12 @@ def _sort_slices(shards: int):
                 spans.append((int(x["d"][row]), int(x["th"][row]), int(x["s"][row]) + s, int(x["s"][row]) + t - 1 + WINDOW))
             k = e
         rows = {f: np.array([r[j] for r in spans], dtype=t) for j, (f, t) in enumerate(FIELDS["span"])}
-        return _table("shard", [(k, 1, b) for k, b in _dealt("span", rows, shard_of(rows["d"], shards))])
+        return _table("shard", [(k, 1, b) for k, b in _dealt("span", rows, shard_of(rows["d"], rows["th"], shards))])
 
     return run
 
 
-def _remove(docs: pa.Table, found: pa.Table, keep: list[str], schema: pa.Schema) -> pa.Table:
+def _remove(docs: pa.Table, found: pa.Table, schema: pa.Schema) -> pa.Table:
     """The documents of a shard without the bytes of their spans; spans that meet or overlap are one."""
     x, _ = unpack("span", [b for k, b in zip(found["kind"].to_pylist(), found["blob"].to_pylist(), strict=True) if k == 1])
     order = np.lexsort((x["s"], x["th"], x["d"]))
@@ -354,7 +354,7 @@ def _remove(docs: pa.Table, found: pa.Table, keep: list[str], schema: pa.Schema)
     key = np.flatnonzero(np.concatenate(([True], (x["d"][1:] != x["d"][:-1]) | (x["th"][1:] != x["th"][:-1])))) if len(order) else np.zeros(0, np.int64)
     where = {(int(x["d"][s]), int(x["th"][s])): (int(s), int(e)) for s, e in zip(key, np.append(key[1:], len(order))[: len(key)], strict=True)}
     columns: tuple[list, ...] = ([], [], [], [], [])
-    for d, th, t in _texts(docs, "_text"):
+    for d, th, t in _texts(docs["d"], docs["text"]):
         spans: list[list[int]] = []
         s, e = where.get((d, th), (0, 0))
         for a, b in zip(x["s"][s:e].tolist(), x["e"][s:e].tolist(), strict=True):
@@ -369,32 +369,33 @@ def _remove(docs: pa.Table, found: pa.Table, keep: list[str], schema: pa.Schema)
         kept = b"".join([*left, t[at:]])
         for column, value in zip(columns, (len(t), len(t) - len(kept), len(spans), kept, [{"start": a, "end": b} for a, b in spans]), strict=True):
             column.append(value)
-    out = [docs[c] for c in keep] + [pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(keep) :], strict=True)]
+    out = [docs["row"]] + [pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True)]
     return pa.table(out, names=schema.names)
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``df`` but its text, with n_bytes, n_removed, n_spans, ``kept`` (the remaining bytes) and ``spans``."""
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     new = [("n_bytes", T.LongType()), ("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept", T.BinaryType())]
     new.append(("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))))
     keep = [c for c in df.columns if c != text and c not in dict(new)]
-    schema = _schema(df.select(*keep), new)
-    arrow = to_arrow_schema(schema)
+    # the columns of ``df`` travel in one, so that none meets a name of these plans; it is never empty
+    row = F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(keep)])
+    docs = df.select(row.alias("row"), F.col(doc_id).cast("long").alias("d"), F.col(text).alias("text"))
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     shards = size // SHARD + 1
+    docs = docs.withColumn("shard", F.pmod(F.coalesce("d", F.lit(_NULL)).bitwiseXOR(F.xxhash64(F.coalesce("text", F.lit("")))), F.lit(shards)))
+    schema = T.StructType([docs.schema["row"], *[T.StructField(n, t) for n, t in new]])
+    arrow = to_arrow_schema(schema)
     blob = lambda key: f"{key} long, kind int, blob binary"
-    docs = df.select(*keep, F.col(doc_id).cast("long").alias("_d"), F.col(text).alias("_text"))
-    docs = docs.withColumn("shard", F.crc32(F.coalesce(F.col("_d").cast("string"), F.lit("")).cast("binary")) % F.lit(shards))
-    found = docs.select("_d", "_text").mapInArrow(_find_anchors(shards), blob("bucket"))
+    found = docs.select("d", "text").mapInArrow(_find_anchors(shards), blob("bucket"))
     compared = found.groupBy("bucket").applyInArrow(_compare_slices(shards), blob("shard"))
-    read = docs.select("shard", "_d", "_text", *keep).groupBy("shard").cogroup(compared.groupBy("shard")).applyInArrow(_read_slices(shards), blob("bucket"))
+    plain = docs.select("shard", "d", "text")
+    read = plain.groupBy("shard").cogroup(compared.groupBy("shard")).applyInArrow(_read_slices(shards), blob("bucket"))
     sorted_ = read.groupBy("bucket").applyInArrow(_sort_slices(shards), blob("shard"))
     both = compared.unionByName(sorted_)
 
     def finish(rows: pa.Table, spans: pa.Table) -> pa.Table:
-        return _remove(rows, spans, keep, arrow)
+        return _remove(rows, spans, arrow)
 
-    return docs.select("shard", "_d", "_text", *keep).groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(finish, schema)
+    done = docs.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(finish, schema)
+    return done.select(*[F.col("row").getField(f"c{k}").alias(c) for k, c in enumerate(keep)], *dict(new))
