@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import cut
+from cartulary.llm.common import cut, fresh
 
 SPACE = r"\\x20\\x09-\\x0D"
 SYMBOLS = "[#*$%&|<>]"
@@ -68,27 +68,23 @@ def _repeat_words(w: str) -> str:
 
 def features(df: DataFrame, text: str = "text") -> DataFrame:
     """Replace ``text`` by the counts that rules read, all of them longs."""
-    rest = [F.col(c) for c in df.columns if c != text and c not in FEATURES]
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text and c not in FEATURES]
+    t, words, lines = fresh(df, "t", "words", "lines")
     body = let(
         "w",
-        f"array_remove(split(t, '[{SPACE}]+'), '')",
+        f"array_remove(split({t}, '[{SPACE}]+'), '')",
         "named_struct('n_words', CAST(size(w) AS BIGINT), 'word_chars', CAST(length(array_join(w, '')) AS BIGINT), 'n_repeat_words', " + _repeat_words("w") + ")",
     )
-    lines = let(
+    by_line = let(
         "l",
-        f"filter(split(t, '\\n'), x -> x RLIKE '[^{SPACE}]')",
+        f"filter(split({t}, '\\n'), x -> x RLIKE '[^{SPACE}]')",
         f"named_struct('n_lines', CAST(size(l) AS BIGINT), 'n_dup_lines', CAST(size(l) - size(array_distinct(l)) AS BIGINT), 'n_ended', CAST(size(filter(l, x -> x RLIKE '[.!?][{SPACE}]*$')) AS BIGINT))",
     )
-    made = df.select(*rest, F.coalesce(F.col(text), F.lit("")).alias("t")).select(
-        *rest,
-        F.expr(body).alias("_w"),
-        F.expr(lines).alias("_l"),
-        F.expr(f"CAST(length(t) - length(regexp_replace(t, '{SYMBOLS}+', '')) AS BIGINT)").alias("n_symbols"),
-        F.expr(r"CAST(length(t) - length(regexp_replace(t, '\\p{Lu}+', '')) AS BIGINT)").alias("n_upper"),
-        F.expr(r"CAST(length(t) - length(regexp_replace(t, '\\p{L}+', '')) AS BIGINT)").alias("n_letters"),
-        F.expr(f"CAST(length(t) - length(regexp_replace(t, '{SYMBOLS}{{2,}}', '')) AS BIGINT)").alias("n_run_symbols"),
-    )
-    places = {c: c for c in ("n_symbols", "n_upper", "n_letters", "n_run_symbols")} | {c: f"_w.{c}" for c in ("n_words", "word_chars", "n_repeat_words")} | {c: f"_l.{c}" for c in ("n_lines", "n_dup_lines", "n_ended")}
+    without = lambda pattern: f"CAST(length({t}) - length(regexp_replace({t}, '{pattern}', '')) AS BIGINT)"
+    patterns = {"n_symbols": f"{SYMBOLS}+", "n_upper": r"\\p{Lu}+", "n_letters": r"\\p{L}+", "n_run_symbols": f"{SYMBOLS}{{2,}}"}
+    counted = fresh(df, *patterns)
+    made = df.select(*rest, F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t)).select(*rest, F.expr(body).alias(words), F.expr(by_line).alias(lines), *[F.expr(without(x)).alias(n) for n, x in zip(counted, patterns.values(), strict=True)])
+    places = dict(zip(patterns, counted, strict=True)) | {c: f"{words}.{c}" for c in ("n_words", "word_chars", "n_repeat_words")} | {c: f"{lines}.{c}" for c in ("n_lines", "n_dup_lines", "n_ended")}
     return made.select(*rest, *[F.col(places[c]).alias(c) for c in FEATURES])
 
 
@@ -120,9 +116,10 @@ def posteriors(patterns: DataFrame) -> DataFrame:
 
 def judge(df: DataFrame, text: str = "text") -> DataFrame:
     """Counts, base verdict, posterior probability of quality and ``kept`` of every document."""
-    named = ("base_failed", "posterior", "kept", "_votes")
-    counted = cut(features(df.drop(*named), text)).withColumn("_votes", F.array(*[F.expr(v) for v in votes()]))
-    fitted = posteriors(counted.groupBy(F.col("_votes").alias("v")).agg(F.count("*").alias("n")))
+    df = df.drop("base_failed", "posterior", "kept")
+    (said,) = fresh(df, "votes")
+    counted = cut(features(df, text)).withColumn(said, F.array(*[F.expr(v) for v in votes()]))
+    fitted = posteriors(counted.groupBy(F.col(said).alias("v")).agg(F.count("*").alias("n"))).withColumnRenamed("_votes", said)
     failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
     # at most 3 ** rules rows
-    return counted.join(F.broadcast(fitted), "_votes", "left").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= 0.5)).drop("_votes")
+    return counted.join(F.broadcast(fitted), said, "left").withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("posterior") >= 0.5)).drop(said)
