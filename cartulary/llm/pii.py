@@ -116,9 +116,14 @@ address {ip|###.###.#.#}:8080 answered
 ping {ip|##.###.##.#}, please
 host [{ip|1##.1##.##.1##}] replied
 blocked {ip|##[.]##[.]##[.]##} at the gate
+from {ip|##[.]#[.]#[.]#} and {ip|###[.]##[.]#[.]###} by night
+{ip|1##[.]1##[.]##[.]#} was blocked
+host {ip|##(.)##(.)#(.)##} replied
 write to {email|ann.lee@mail.example.com} soon
 mail {email|info##@site.org} or call
 contact {email|bob (at) example.com} for it
+{email|ann.lee (at) example.org} wrote
+mail {email|kim## [at] example [dot] net}, then call
 contact {email|jane [at] mail.example.org} for it
 reach {email|joe_x [at] example [dot] com} today
 reach {email|sue (at) post (dot) org} today
@@ -248,6 +253,31 @@ START = np.array([-1e9 if x[0] == "I" else 0.0 for x in LABELS])
 LEGAL = np.array([[-1e9 if b[0] == "I" and a[2:] != b[2:] else 0.0 for b in LABELS] for a in LABELS])
 
 
+def sums(e: np.ndarray, s: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forward and backward sums over padded sequences: log of each one's total, each place's chances, all steps' expected counts.
+
+    e: scores of labels at each place; s: of steps from label to label; mask: 1 where a sequence goes on.
+    """
+    n, m, _ = e.shape
+    fwd, bwd = np.empty((n, m, N)), np.zeros((n, m, N))
+    fwd[:, 0] = e[:, 0] + START
+    for t in range(1, m):
+        z = fwd[:, t - 1, :, None] + s
+        top = z.max(axis=1)
+        new = top + np.log(np.exp(z - top[:, None]).sum(axis=1)) + e[:, t]
+        fwd[:, t] = np.where(mask[:, t, None] > 0, new, fwd[:, t - 1])
+    for t in range(m - 2, -1, -1):
+        z = s + (e[:, t + 1] + bwd[:, t + 1])[:, None, :]
+        top = z.max(axis=2)
+        new = top + np.log(np.exp(z - top[..., None]).sum(axis=2))
+        bwd[:, t] = np.where(mask[:, t + 1, None] > 0, new, 0)
+    top = fwd[:, -1].max(axis=1)
+    logz = top + np.log(np.exp(fwd[:, -1] - top[:, None]).sum(axis=1))
+    p = np.exp(fwd + bwd - logz[:, None, None]) * mask[..., None]
+    both = fwd[:, :-1, :, None] + s + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - logz[:, None, None, None]
+    return logz, p, (np.exp(np.minimum(both, 0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
+
+
 @lru_cache(maxsize=1)
 def field() -> Field:
     """Train on the labelled table: gradient ascent on the penalised log-likelihood, by forward and backward sums."""
@@ -270,24 +300,7 @@ def field() -> Field:
     pairs = np.einsum("ntj,ntk->jk", one[:, :-1], one[:, 1:])
     flat = ids.reshape(-1, WIDTH)
     for r in range(1, STEPS + 1):
-        e, s = emit[ids].sum(axis=2), step + LEGAL
-        fwd, bwd = np.empty((n, m, N)), np.zeros((n, m, N))
-        fwd[:, 0] = e[:, 0] + START
-        for t in range(1, m):
-            z = fwd[:, t - 1, :, None] + s
-            top = z.max(axis=1)
-            new = top + np.log(np.exp(z - top[:, None]).sum(axis=1)) + e[:, t]
-            fwd[:, t] = np.where(mask[:, t, None] > 0, new, fwd[:, t - 1])
-        for t in range(m - 2, -1, -1):
-            z = s + (e[:, t + 1] + bwd[:, t + 1])[:, None, :]
-            top = z.max(axis=2)
-            new = top + np.log(np.exp(z - top[..., None]).sum(axis=2))
-            bwd[:, t] = np.where(mask[:, t + 1, None] > 0, new, 0)
-        top = fwd[:, -1].max(axis=1)
-        logz = top + np.log(np.exp(fwd[:, -1] - top[:, None]).sum(axis=1))
-        p = np.exp(fwd + bwd - logz[:, None, None]) * mask[..., None]
-        both = fwd[:, :-1, :, None] + s + (e[:, 1:] + bwd[:, 1:])[:, :, None, :] - logz[:, None, None, None]
-        q = (np.exp(np.minimum(both, 0)) * mask[:, 1:, None, None]).sum(axis=(0, 1))
+        _, p, q = sums(emit[ids].sum(axis=2), step + LEGAL, mask)
         delta, grad = (one - p).reshape(-1, N), np.zeros_like(emit)
         for k in range(WIDTH):
             np.add.at(grad, flat[:, k], delta)
@@ -308,13 +321,13 @@ def _clusters(text: str) -> list[tuple[int, int]]:
             p = s
             while p > 0 and text[p - 1].isspace():
                 p -= 1
-            while p > 0 and not text[p - 1].isspace() and s - p < 80:
+            while p > 0 and not text[p - 1].isspace():
                 p -= 1
             s = p
             p = e
             while p < len(text) and text[p].isspace():
                 p += 1
-            while p < len(text) and not text[p].isspace() and p - e < 80:
+            while p < len(text) and not text[p].isspace():
                 p += 1
             e = p
         if out and s <= out[-1][1]:
