@@ -1,0 +1,393 @@
+"""Brute-force versions, recall on whole tables, and edge cases of the training-data operators."""
+
+import itertools
+import math
+import random
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cartulary.llm import byte_bpe, common, embedding_dedup, html_text, labelled, minhash, mixing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+
+SF = "/root/testdata/sf0.01"
+ODD = ("row", "d", "text_", "shard", "th", "_id", "_key", "own", "other", "n", "c", "t", "_t", "words", "lines", "votes", "_votes", "_w", "_l", "_s", "_h", "_k", "_part", "_rank", "class", "component", "node", "id", "label_", "bits", "s", "w", "l", "N_SYMBOLS_", "block_")
+
+
+def rows_of(path, columns="*", order=1):
+    return duckdb.sql(f"SELECT {columns} FROM '{SF}/{path}.parquet' ORDER BY {order}").fetchall()
+
+
+# ---- columns that bear the names of the plans ------------------------------------------------------------------------
+
+
+def test_clashing_columns_pass_through(spark):
+    words = [" ".join(f"w{(i * k) % 17}" for k in range(60)) for i in (1, 2, 1)]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(words)], "doc_id long, text string, source string").withColumns({c: F.lit(f"mine {c}") for c in ODD})
+    vectors = spark.createDataFrame([(i, [1.0, float(i % 2)], 1) for i in range(3)], "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(f"mine {c}") for c in ODD})
+    runs = (suffix_dedup.dedup(docs), minhash.classes(docs), mixing.mix(docs), quality_rules.judge(docs), embedding_dedup.classes(vectors), pii.find(docs), toxicity.score(docs, None))
+    for got in runs:
+        found = got.select(*ODD).collect()
+        assert len(found) == 3 and all(r[c] == f"mine {c}" for r in found for c in ODD)
+    assert common.fresh(docs, "T", "t") == ["T_", "t__"]
+
+
+# ---- suffix dedup ----------------------------------------------------------------------------------------------------
+
+
+def test_null_ids_in_number_and_long_texts(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklm ") for _ in range(n))
+    long = text(9_000_000)  # beyond one stretch of 2 ** 23 bytes
+    tail = long[-300:]
+    rows = [(None, text(150) + str(i)) for i in range(40)] + [(5, long), (6, tail + text(50)), (7, text(120)), (7, tail)]
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    removed = sorted((r["doc_id"], r["n_removed"]) for r in got if r["doc_id"] is not None)
+    assert removed == [(5, 0), (6, 300), (7, 0), (7, 300)]
+    assert sum(r["n_removed"] for r in got if r["doc_id"] is None) == 0 and len(got) == 44
+
+
+def test_hash_of_a_text_is_sparks(spark):
+    import pyarrow as pa
+
+    texts = ["", "a", "é" * 50, "x" * 1000]
+    mine = [h for _, h, _ in suffix_dedup._texts(pa.array([1] * 4), pa.array(texts))]
+    assert mine == [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.xxhash64("t")).collect()]
+
+
+# ---- embeddings ------------------------------------------------------------------------------------------------------
+
+
+def brute_links(rows):
+    """id -> (links, component) by every pair of sound vectors of one label."""
+    good = {}
+    for i, v, label in sorted(rows, key=lambda r: (r[0], r[2] is None, r[2] or 0)):
+        x = None if v is None or any(e is None for e in v) else np.array(v, dtype=np.float64)
+        if i not in good and label is not None and x is not None and np.isfinite(x).all() and (x != 0).any():
+            x = x / np.abs(x).max()
+            good[i] = (label, x / np.linalg.norm(x))
+    ids, parent = sorted(good), {i: i for i, *_ in rows}
+    count = dict.fromkeys(parent, 0)
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for label in {g[0] for g in good.values()}:
+        own = [i for i in ids if good[i][0] == label]
+        cosines = np.array([good[i][1] for i in own]) @ np.array([good[i][1] for i in own]).T
+        for a, b in zip(*np.nonzero(np.triu(cosines >= embedding_dedup.LIMIT, 1)), strict=True):
+            count[own[a]] += 1
+            count[own[b]] += 1
+            x, y = sorted((top(own[a]), top(own[b])))
+            parent[y] = x
+    return {i: (count[i], top(i)) for i in parent}
+
+
+def test_embeddings_of_a_whole_table(spark):
+    rows = rows_of("embeddings", "vec_id, embedding, label")
+    got = embedding_dedup.classes(spark.read.parquet(f"{SF}/embeddings.parquet")).collect()
+    want = brute_links(rows)
+    same = sum((r["n_links"], r["component_id"]) == want[r["vec_id"]] for r in got)
+    assert len(got) == len(rows) and same == len(rows)
+
+
+@pytest.mark.parametrize("block", [1, 8])
+def test_more_bits_for_larger_labels(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 16))
+    rows = [(k, (centres[k % 60] + rng.normal(scale=0.1, size=16)).tolist(), 1) for k in range(900)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == brute_links(rows)
+
+
+def test_large_and_small_vectors_link(spark):
+    rows = [(1, [1e200, 0.0], 1), (2, [2e200, 0.0], 1), (3, [1e-200, 0.0], 1), (4, [5e-324, 0.0], 1), (5, [1.7e308, 1e300], 1), (6, [0.0, 1e-310], 1), (7, [0.0, -1.0], 1), (8, [-0.0, 3.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{i: (4, 1) for i in range(1, 6)}, 6: (1, 6), 7: (0, 7), 8: (1, 6)}
+
+
+# ---- near duplicates -------------------------------------------------------------------------------------------------
+
+
+def test_near_copies_of_a_whole_table(spark):
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.001/documents.parquet' ORDER BY 1").fetchall()
+    got = {r["doc_id"]: r["class_id"] for r in minhash.classes(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    shingles = {}
+    for i, t in rows:
+        words = common.WORD.findall(t or "")
+        runs = [tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))] if words else []
+        shingles[i] = {r: float(runs.count(r)) for r in set(runs)}
+
+    def alike(a, b):
+        both = set(a) & set(b)
+        if not both or 0.8 > min(len(a), len(b)) / max(len(a), len(b)) and max([*a.values(), *b.values()]) == 1:
+            return 0.0
+        every = set(a) | set(b)
+        return sum(1 / sum(max(a.get(y, 0) / a[x], b.get(y, 0) / b[x]) for y in every) for x in both)
+
+    parent = {i: i for i, _ in rows}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(shingles), 2):
+        if shingles[a] and shingles[b] and alike(shingles[a], shingles[b]) >= 0.8:
+            x, y = sorted((top(a), top(b)))
+            parent[y] = x
+    want = {i: top(i) for i in parent}
+    linked = [i for i in want if want[i] != i]
+    assert linked and sum(got[i] == want[i] for i in want) == len(want)
+
+
+# ---- toxicity --------------------------------------------------------------------------------------------------------
+
+
+def plain_worst(scores, words):
+    """One document's highest mean of a window."""
+    held = [min(x, 0) if words[k] in words[max(0, k - toxicity.WINDOW + 1) : k] else x for k, x in enumerate(scores)]
+    n = toxicity.WINDOW
+    if len(held) < n:
+        return sum(held) / len(held) if held else 0.0
+    return max(sum(held[k : k + n]) / n for k in range(len(held) - n + 1))
+
+
+def test_worst_windows_are_each_documents_own():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        docs = [rng.integers(0, 6, rng.integers(0, 14)) for _ in range(8)]
+        values = np.round(rng.normal(size=6), 1)  # unlike words may score alike
+        words = np.concatenate(docs).astype(np.uint64)
+        best, _ = toxicity._worst(values[words.astype(int)], words, np.cumsum([0, *map(len, docs)])[:-1])
+        assert best == pytest.approx([plain_worst(values[d].tolist(), d.tolist()) for d in docs])
+
+
+def test_scores_depend_on_their_own_text_alone(spark):
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS), 0.1)
+    texts = ["w", "w", "w", "bad bad", "bad bad", "", None, "... !!", "one two three four five six seven one two", "w w w w w w", "One, one. ONE"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    alone = [float(model.scores([t or ""])[0]) for t in texts]
+    for n in (1, 3, 11):
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(frame.repartition(n), model).collect()}
+        assert [got[i] for i in range(len(texts))] == alone
+    assert alone[0] == alone[1] == alone[2] and alone[3] == alone[4] and alone[5] == alone[6] == alone[7]
+
+    def plain(text):
+        words = [b for w in text.split() if (b := toxicity.bare(w))]
+        each = []
+        for w in words:
+            ids, _ = toxicity.subwords([w])
+            each.append(float(np.mean(model.weights[ids].astype(np.float64))))
+        return 1 / (1 + math.exp(-plain_worst(each, words) - model.bias))
+
+    assert alone == pytest.approx([plain(t or "") for t in texts], abs=1e-12)
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    docs = spark.createDataFrame([(i % 50, f"{i % 50:04}" + "x" * 96) for i in range(500)] + [(50, "y" * 10_000), (51, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(52)] + [(3, 0)], "doc_id long, toxic int")
+    texts, y = labelled.sample(docs, labels, "toxic", 1000, size=2_000)
+    assert len(texts) == len(set(texts)) == len(y) == 20 and sum(map(len, texts)) == 2_000
+    every, _ = labelled.sample(docs, labels, "toxic", 1000)
+    assert len(every) == sum(bool(i != 3 and i != 51) for i in range(52) if __import__("zlib").crc32(str(i).encode()) % 3 != 1)
+    assert len(labelled.sample(docs, labels, "toxic", 7)[0]) <= 7
+
+
+# ---- quality ---------------------------------------------------------------------------------------------------------
+
+
+def test_quality_features_and_logits_by_plain_loops():
+    rng = np.random.default_rng(3)
+    pool = quality_classifier.Pool(rng.normal(size=(quality_classifier.WORDS, quality_classifier.DIM)).astype(np.float32))
+    texts = ["One two, two 33 three.\n\nOne two\nOne two", "", "x"]
+    got = pool.features(texts)
+    for row, text in zip(got, texts, strict=True):
+        words, dim = text.split(), quality_classifier.DIM
+        want = np.zeros(2 * dim + 4)
+        for w in words:
+            b = quality_classifier.bucket(w)
+            want[:dim] += pool.vectors[b % quality_classifier.WORDS] / len(words)
+            want[dim : 2 * dim] += pool.shapes[b // quality_classifier.WORDS] / len(words)
+        if words:
+            lines = [x for x in text.split("\n") if x.strip()]
+            want[2 * dim :] = math.log1p(len(words)) / 8, len(set(words)) / len(words), len(set(words)) / len(words) ** 0.85, 1 - len(set(lines)) / len(lines)
+        assert row == pytest.approx(want, abs=1e-5)
+    layers = [rng.normal(size=(got.shape[1], 3)), rng.normal(size=3), rng.normal(size=3), 0.5]
+    net = quality_classifier.Network(pool, np.zeros(got.shape[1]), np.ones(got.shape[1]), layers, 2.0)
+    for x, score in zip(got.astype(float), net.scores(texts), strict=True):
+        hidden = [math.tanh(sum(x[i] * layers[0][i, j] for i in range(len(x))) + layers[1][j]) for j in range(3)]
+        logit = sum(h * w for h, w in zip(hidden, layers[2], strict=True)) + layers[3]
+        assert score == pytest.approx(1 / (1 + math.exp(-logit / 2.0)), abs=1e-6)
+
+
+# ---- personal data ---------------------------------------------------------------------------------------------------
+
+
+def test_viterbi_and_sums_by_every_path():
+    rng = np.random.default_rng(5)
+    step = rng.normal(size=(pii.N, pii.N))
+    lengths = np.array([3, 1, 2, 3])
+    seqs = [rng.normal(size=(n, pii.N)) for n in lengths]
+    decoded = pii.Field({}, np.zeros((1, pii.N)), step).decode(np.concatenate(seqs), lengths)
+    e, mask = np.zeros((4, 3, pii.N)), np.zeros((4, 3))
+    for k, s in enumerate(seqs):
+        e[k, : len(s)], mask[k, : len(s)] = s, 1
+    logz, chances, expected = pii.sums(e, step + pii.LEGAL, mask)
+    total = np.zeros((pii.N, pii.N))
+    for k, s in enumerate(seqs):
+        paths = {}
+        for path in itertools.product(range(pii.N), repeat=len(s)):
+            legal = pii.START[path[0]] == 0 and all(pii.LEGAL[a, b] == 0 for a, b in itertools.pairwise(path))
+            if legal:
+                paths[path] = sum(s[t, y] for t, y in enumerate(path)) + sum(step[a, b] for a, b in itertools.pairwise(path))
+        assert tuple(decoded[k]) == max(paths, key=paths.get)
+        z = math.log(sum(math.exp(v) for v in paths.values()))
+        assert logz[k] == pytest.approx(z)
+        for t in range(len(s)):
+            for y in range(pii.N):
+                assert chances[k, t, y] == pytest.approx(sum(math.exp(v - z) for p, v in paths.items() if p[t] == y), abs=1e-9)
+        for p, v in paths.items():
+            for a, b in itertools.pairwise(p):
+                total[a, b] += math.exp(v - z)
+    assert expected == pytest.approx(total, abs=1e-8)
+
+
+HELD_OUT = {
+    "phone": ["please ring 212-555-0188 tonight", "his phone: (646) 555-0143, she said", "tel 020 7946 0321 or write", "our fax is 415.555.0177 now", "mobile +44 20 7946 0958 ok", "ask at (303)555-0199 first"],
+    "card": ["we charged 4111 1111 1111 1111 twice", "card: 4111-1111-1111-1111 ok", "pay with 5500005555555559 here", "the amex 3782 822463 10005 was used"],
+    "ip": ["gateway 172[.]16[.]4[.]9 replied", "from 8[.]8[.]4[.]4 at noon", "the host 192.168.0.77 is up", "seen 10[.]0[.]12[.]255 again", "ping 203.0.113.5:22 now"],
+    "email": ["ask eve (at) example.net please", "reach dan [at] post [dot] org", "mail lee_3@shop.example.org soon", "write to kate.b [at] mail.example.com", "contact max (at) corp (dot) com"],
+}
+CLEAN = ["in 1999 there were 12 of them", "version 3.2.1 of 2020-01-02", "id 4111111 of 99 and 100", "the ratio 12.5 to 13.75 on page 300", "meet @ noon (at) last", "isbn 978-3-16-148410-0 sold", "sum 1,234,567 in 2001-2002"]
+
+
+def test_recall_by_kind_on_held_out_rows():
+    trained = pii.field()
+    for kind, rows in HELD_OUT.items():
+        found = [any(pii.KINDS[k] == kind for _, k, _ in base + added) for base, added in pii.all_spans(rows, trained)]
+        assert sum(found) >= 0.8 * len(rows), (kind, [r for r, ok in zip(rows, found, strict=True) if not ok])
+    assert sum(bool(b or a) for b, a in pii.all_spans(CLEAN, trained)) <= 1
+
+
+def test_windows_find_what_whole_lines_do(monkeypatch):
+    texts = [t for rows in HELD_OUT.values() for t in rows] + CLEAN + [("x" * 200 + " ") * 3 + "call 212-555-0188 now " + "y" * 300]
+    texts += [r[0] or "" for r in rows_of("documents", "text")]
+    trained = pii.field()
+    want = pii.all_spans(texts, trained)
+
+    def lines(text):
+        ends = [m.end() for m in __import__("re").finditer(r"[^\n]*", text)]
+        out, at = [], 0
+        for line in text.split("\n"):
+            if pii.SIGN.search(line):
+                out.append((at, at + len(line)))
+            at += len(line) + 1
+        assert ends
+        return out
+
+    monkeypatch.setattr(pii, "_clusters", lines)
+    assert pii.all_spans(texts, trained) == want
+
+
+def test_long_neighbours_change_nothing():
+    trained = pii.field()
+    one = pii.all_spans(["write bob (at) example.com " + "A" * 79], trained)
+    other = pii.all_spans(["write bob (at) example.com " + "A" * 8000], trained)
+    assert one == other
+
+
+# ---- pages -----------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<html><head><title>x</title><body><article><p>one two<p>three</article>", "one two\nthree"),
+        ("<title>x</title><article><p>a <button>b</button> c</p><p>more <button>no</p><p>last</p></article>", "a c\nmore\nlast"),
+        ("<article><p>a<select><option>x<option>y</select> b</p><p>c</p></article>", "a b\nc"),
+        ("<article><p>a<noscript>b</p><p>c</p></article>", "ab\nc"),
+        ("<article><p>a</p><section class='side effects'><p>Many effects are known.</p></section><address>Rome</address><p class='share'>A share of it.</p></article>", "a\nMany effects are known.\nRome\nA share of it."),
+        ("<title>x<body><p>What is the text here of this page with no mark at all?</p>", "What is the text here of this page with no mark at all?"),
+        ("<article><p>a</p><script>x", "a"),
+        ("", ""),
+    ],
+)
+def test_omitted_end_tags_lose_no_text(page, text):
+    assert html_text.main_text(page, html_text.tree()) == text
+
+
+def splits(node):
+    return set() if isinstance(node, bool) else {html_text.FEATURES[node[0]]} | splits(node[2]) | splits(node[3])
+
+
+def test_tree_decides_by_words_links_and_neighbours():
+    used = splits(html_text.tree())
+    assert {"words", "links"} <= used and used & {"before_words", "after_words"} and used & {"before_links", "after_links"}
+
+
+def test_held_out_pages():
+    right = {0: [], 1: []}
+    rows = html_text.SHAPED
+    for k in range(0, len(rows), 3):
+        tree = html_text.grow(*html_text.labelled_blocks([*html_text.LABELLED, *html_text.shaped_pages(rows[:k] + rows[k + 3 :])]))
+        for n, page in enumerate(html_text.shaped_pages(rows[k : k + 3])):
+            x, y = html_text.labelled_blocks([page])
+            right[n % 2] += [html_text.judge(tree, r) == v for r, v in zip(x, y, strict=True)]
+    assert np.mean(right[1]) >= 0.97 and np.mean(right[0]) >= 0.8  # with marks; by words, links and neighbours alone
+
+
+def test_main_text_is_the_planted_article():
+    import html
+    import re
+
+    for _, page in rows_of("pages", "page_id, html"):
+        article = re.search(r"<article>(.*?)</article>", page, re.S)[1].replace("<br>", " ")
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        assert html_text.main_text(page, html_text.tree()) == "\n".join(x for x in parts if x)
+
+
+# ---- mixing ----------------------------------------------------------------------------------------------------------
+
+
+def test_many_sources_make_no_more_rows_than_blocks():
+    blocks = {s: 1 + s % 7 for s in range(400)}
+    weights = {s: 1 + s % 3 for s in range(400)}
+    spans, slots = mixing.phases(blocks, weights)
+    assert len(spans) <= sum(blocks.values()) and len(slots) <= sum(blocks.values())
+    # every slot of the whole schedule is taken once
+    at = {(p, s, j): x for p, s, j, x in slots}
+    taken = []
+    for phase, s, first, end, start, period, w in spans:
+        taken += [start + (b - first) // w * period + at[phase, s, (b - first) % w] for b in range(first, end)]
+    assert sorted(taken) == list(range(sum(blocks.values())))
+
+
+# ---- what workers keep -----------------------------------------------------------------------------------------------
+
+
+def test_a_worker_keeps_one_operators_memo():
+    first = common.memo("one")
+    first.learn({f"k{i}": i for i in range(10)})
+    assert common.memo("one") is first and len(first) == 10
+    assert len(common.memo("two")) == 0 and common.Memo.held.owner == ("two",)
+    small = common.Memo(("x",))
+    small.left = 300
+    small.learn({f"k{i}": i for i in range(1000)})
+    assert 0 < len(small) < 5
+    common.give_back()
+
+
+def test_decoding_beside_encoding(spark):
+    from cartulary.llm.queries import vocabulary
+
+    path, pattern = vocabulary()
+    frame = spark.createDataFrame([(1, "añb 😀"), (2, None), (3, "")], "doc_id long, text string")
+    one = byte_bpe.encode(frame, path, pattern, decoded=True).orderBy("doc_id").collect()
+    two = byte_bpe.decode(byte_bpe.encode(frame, path, pattern), path, pattern).orderBy("doc_id").collect()
+    assert one == two and bytes(one[0]["decoded"]).decode() == "añb 😀"
