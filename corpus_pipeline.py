@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.llm import byte_bpe, minhash, mixing, pii, toxicity
-from cartulary.llm.common import stored
+from cartulary.llm.common import discard, stored_at
 from cartulary.llm.queries import vocabulary
 
 TOXIC = 0.7
@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     path, pattern = vocabulary()
     placed = mixing.mix(docs.select("doc_id", "source", "text")).select("place", "doc_id", "source", "text").orderBy("place")
-    coded = byte_bpe.decode(byte_bpe.encode(placed, path, pattern), path, pattern)
+    coded = byte_bpe.encode(placed, path, pattern, decoded=True)
     return coded.select("place", "doc_id", "source", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -67,7 +67,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages; a stage's table is deleted once its successor's stands in the shared folder, the last one stays to be read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs, path = stored_at(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
