@@ -6,14 +6,18 @@ length; both sides read the same list.
 
 from __future__ import annotations
 
+import json as plain_json
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary import storage
 from cartulary.functions import json, paths, tags, text
 from cartulary.operators import canonicalise, dashboard, evaluate, experiments, harvest, metrics, sampling
 from cartulary.plans import actions, coverage
+from cartulary.sources import files, lines
 from cartulary.vocabulary import get
 
 #: domain, category, doctype, vendor, date, subject of a classifier's answer.
@@ -65,6 +69,13 @@ def strip_(x: str) -> str:
     return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
 
 
+def references_(x: str) -> str:
+    """Character references of the pages; & comes last, so that what it leaves is not read again."""
+    for name, char in (("lt", 60), ("gt", 62), ("quot", 34), ("#39", 39), ("#x27", 39), ("nbsp", 160), ("copy", 169), ("middot", 183), ("amp", 38)):
+        x = f"regexp_replace({x}, '&{name};?', chr({char}), 'g')"
+    return x
+
+
 def norm_(x: str) -> str:
     return f"replace({strip_(f'lower({x})')}, ' ', '_')"
 
@@ -218,8 +229,11 @@ def q08_page_sampling(spark, sf_dir):
 
 @query("SELECT md5(text) AS content, max(doc_id) AS doc_id, arg_max(source, doc_id) AS source FROM documents GROUP BY 1")
 def q09_ground_truth_dedupe(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.md5("text").alias("content"), "doc_id", "source")
-    return docs.groupBy("content").agg(F.max("doc_id").alias("doc_id"), F.max_by("source", "doc_id").alias("source"))
+    """Documents as lines of a ground-truth file, comments, blank and bad lines among them, through its reader."""
+    entry = F.to_json(F.struct(F.md5("text").alias("filename"), F.col("source").alias("domain"), F.lit("c").alias("category"), F.lit("t").alias("doctype")))
+    raw = F.explode(F.array(F.lit(" # note"), entry, F.lit(""), F.regexp_replace(entry, "[}]$", ""), F.regexp_replace(entry, "doctype", "none")))
+    found = lines.truth_of(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), raw.alias("raw")))
+    return found.select(F.col("filename").alias("content"), F.col("line").alias("doc_id"), F.col("domain").alias("source"))
 
 
 TRUTH = f"""t AS (SELECT doc_id AS filename, domain AS a_domain, category AS a_category, doctype AS a_doctype, CASE WHEN quality = 1 THEN vendor END AS a_vendor, CASE WHEN toxic = 0 THEN date END AS a_date FROM ({answers_sql('labels', 's.doc_id')})),
@@ -352,14 +366,14 @@ def q22_vocab_discovery(spark, sf_dir):
     return harvest.discovered(docs_(spark, sf_dir))
 
 
-@query(f"""WITH a AS ({answers_sql('(SELECT doc_id FROM documents WHERE doc_id % 2 = 0)', 's.doc_id')}), b AS ({answers_sql('documents', 's.doc_id', 3, keep='s.doc_id')}),
-x AS (SELECT {norm_('doctype')} AS term, count(*) AS base FROM a GROUP BY ALL), y AS (SELECT {norm_('doctype')} AS term, count(*) AS new FROM b WHERE doc_id % 5 <> 0 AND doctype <> 'order' GROUP BY ALL)
+@query(f"""WITH {DOCS}, b AS ({answers_sql('documents', 's.doc_id', 3, keep='s.doc_id')}),
+x AS (SELECT {norm_('doctype')} AS term, count(*) AS base FROM a GROUP BY ALL), y AS (SELECT CASE doctype WHEN 'order' THEN 'work_order' ELSE {norm_('doctype')} END AS term, count(*) AS new FROM b GROUP BY ALL)
 SELECT term, coalesce(base, 0) AS base, coalesce(new, 0) AS new, coalesce(new, 0) - coalesce(base, 0) AS delta FROM x FULL JOIN y USING (term)""")
 def q23_harvest_delta(spark, sf_dir):
+    """Two harvests of all documents; what the first calls an order is a work order to the second, so each has a term of its own."""
     count = lambda df: df.groupBy(text.normalise(F.col("doctype")).alias("term")).agg(F.count("*").alias("n"))
-    base = docs_(spark, sf_dir).where("doc_id % 2 = 0")
-    new = docs_(spark, sf_dir, 3).where("doc_id % 5 <> 0 AND doctype <> 'order'")
-    return harvest.delta(count(base), count(new), "term")
+    new = docs_(spark, sf_dir, 3).withColumn("doctype", F.when(F.col("doctype") == "order", "work order").otherwise(F.col("doctype")))
+    return harvest.delta(count(docs_(spark, sf_dir)), count(new), "term")
 
 
 @query(f"""WITH {_dims()}, {DOCS}, {canon_('a', 'x.doc_id')}, have AS (SELECT cd AS domain, count(*) AS documents, count(DISTINCT cc) AS categories, count(DISTINCT ct) AS doctypes FROM k GROUP BY 1),
@@ -444,11 +458,17 @@ merged AS (SELECT * FROM ok WHERE held = 1 UNION ALL SELECT * FROM ok WHERE held
 
 
 def runs_(spark) -> DataFrame:
-    rows = spark.createDataFrame(list(RUNS), "run_id string, folder string, file string, model string, domain_accuracy double, category_accuracy double, vendor_accuracy double, run_order int, held int")
-    folder = F.col("folder")
+    """Held runs, as a dashboard keeps them, and found ones, written as the files of run folders and read from these."""
+    schema = "run_id string, folder string, file string, model string, domain_accuracy double, category_accuracy double, vendor_accuracy double, run_order int"
+    rows = {k: [r[:-1] for r in RUNS if r[-1] == k] for k in (0, 1)}
+    root = f"{storage.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    for run_id, folder, file, model, domain, category, vendor, order in rows[0]:
+        body = {"run_id": run_id, "model": model, "domain_accuracy": domain, "category_accuracy": category, "vendor_accuracy": vendor, "run_order": order, "documents": [{"file": "private"}]}
+        storage.put(spark, f"{root}/{folder}/{file}", plain_json.dumps(body))
+    found = dashboard.described(lines.run_folders(spark, root, f"run_id string, run_order int, {dashboard.RUN}"))
     none = F.lit(None).cast("double")
-    rows = rows.withColumns({"doctype_accuracy": none, "date_accuracy": none, "loader": dashboard.loader_of(F.col("file")), "corpus": dashboard.corpus_of(folder), "date": dashboard.date_of(folder), "loader_variant": dashboard.variant_of(folder)})
-    return dashboard.merged(rows.where("held = 1"), rows.where("held = 0"))
+    held = spark.createDataFrame(rows[1], schema).withColumns({c: none for c in ("doctype_accuracy", "date_accuracy", "runtime_seconds", "wallclock_s")})
+    return dashboard.merged(dashboard.described(held), found)
 
 
 @query(f"WITH {_RUNS} SELECT run_id, date, corpus, model, loader, loader_variant, domain_accuracy FROM merged")
@@ -485,21 +505,25 @@ def q32_json_repair(spark, sf_dir):
     return out.select("conv_id", "turn", "fields.domain", "fields.doctype", "error_code")
 
 
-@query(r"""SELECT page_id, length(html) > 0 AS loaded, length(regexp_replace(html, '[^<]', '', 'g')) AS marks, 'text/html' AS mime_type FROM pages""")
-def q33_html_load(spark, sf_dir):
-    from cartulary.sources.files import mime_type
+_LOADED = references_(r"regexp_replace(regexp_replace(html, '(?is)<script\b.*?(</script\s*>|\z)|<style\b.*?(</style\s*>|\z)', ' ', 'g'), '<[^<>]*>', chr(10), 'g')")
 
-    pages = table(spark, sf_dir, "pages")
-    html = F.col("html")
-    return pages.select("page_id", (F.length(html) > 0).alias("loaded"), F.length(F.regexp_replace(html, "[^<]", "")).cast("long").alias("marks"), mime_type(F.lit("page.HTML")).alias("mime_type"))
 
+@query(f"""WITH t AS (SELECT page_id, {_LOADED} AS t FROM pages),
+c AS (SELECT page_id, array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: {strip_('x')}), lambda x: x <> ''), chr(10)) AS c FROM t)
+SELECT page_id, md5(c) AS content, 1 AS page_count, 'text/html' AS mime_type, CASE WHEN c = '' THEN 'no text in the document' END AS error_message FROM c""")
+def q33_html_load(spark, sf_dir):
+    """Every page as the bytes of an HTML file, through the loader."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".HTML")).alias("path"), F.encode("html", "utf-8").alias("content"))
+    loaded = files.loaded(files.pages(pages))
+    return loaded.select(F.regexp_extract("path", "^[^.]*", 0).cast("long").alias("page_id"), F.md5("content").alias("content"), "page_count", "mime_type", "error_message")
 
-@query(f"""WITH {TRUTH.replace(chr(10) + 'c AS', chr(10) + 'c0 AS')}, c AS (SELECT * FROM c0 WHERE filename % 10 <> 0), q AS (SELECT doc_id AS filename, domain, category, doctype FROM ({answers_sql('documents', 's.doc_id + CASE WHEN s.doc_id % 3 = 0 THEN 1 ELSE 0 END', keep='s.doc_id')})),
-b AS (SELECT filename, lower(domain) = lower(a_domain) AS domain_ok, lower(category) = lower(a_category) AS category_ok, lower(doctype) = lower(a_doctype) AS doctype_ok FROM q JOIN t USING (filename) WHERE filename % 11 <> 0)
+
+@query(f"""WITH {TRUTH}, q AS (SELECT doc_id AS filename, domain, category, doctype FROM ({answers_sql('documents', 's.doc_id + CASE WHEN s.doc_id % 3 = 0 THEN 1 ELSE 0 END', keep='s.doc_id')})),
+b AS (SELECT filename, lower(domain) = lower(a_domain) AS domain_ok, lower(category) = lower(a_category) AS category_ok, lower(doctype) = lower(a_doctype) AS doctype_ok FROM q JOIN t USING (filename))
 SELECT filename, {', '.join(f'c.{a}_ok AS {a}_a, b.{a}_ok AS {a}_b' for a in canonicalise.AXES)} FROM c FULL JOIN b USING (filename)""")
 def q34_ab_compare(spark, sf_dir):
-    one = evaluate.compared(predictions_(spark, sf_dir), truth_(spark, sf_dir)).where("filename % 10 <> 0")
-    other = evaluate.compared(predictions_(spark, sf_dir, 3), truth_(spark, sf_dir)).where("filename % 11 <> 0")
+    one = evaluate.compared(predictions_(spark, sf_dir), truth_(spark, sf_dir))
+    other = evaluate.compared(predictions_(spark, sf_dir, 3), truth_(spark, sf_dir))
     return evaluate.side_by_side(one, other)
 
 
@@ -516,12 +540,21 @@ def q36_injection_filter(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.sanitised(t)).alias("clean"))
 
 
-@query(r"""WITH l AS (SELECT unnest(string_split(text, chr(10))) AS l FROM documents),
-k AS (SELECT CASE WHEN regexp_replace(l, '\s', '', 'g') = '' THEN 'blank' WHEN regexp_matches(l, '^(-{3,}|_{3,}|\*{3,})$') THEN 'rule' WHEN regexp_matches(l, '^\s*\|?[\s:\-|]+\|[\s:\-|]+\|?\s*$') THEN 'separator' WHEN regexp_matches(l, '^\s*\|.*\|\s*$') THEN 'row'
-WHEN regexp_matches(l, '^###\s+.+$') THEN 'h3' WHEN regexp_matches(l, '^##\s+.+$') THEN 'h2' WHEN regexp_matches(l, '^#\s+.+$') THEN 'h1' WHEN regexp_matches(l, '^[\-*]\s+.+$') THEN 'bullet' WHEN regexp_matches(l, '^[0-9]+\.\s+.+$') THEN 'numbered' ELSE 'text' END AS kind FROM l) SELECT kind, count(*) AS n FROM k GROUP BY ALL""")
+#: What is put around the k-th line of a document, so that lines of every kind occur.
+DRESSES = (("", ""), ("# ", ""), ("## ", ""), ("###  ", ""), ("- ", ""), ("12. ", ""), ("| ", " |"), ("--- ", ""), ("#", ""), ("*", ""))
+BARE = ("---", "| --- | :-: |", " \t ", "****", "a|b|")
+_LINES = f"""l AS (SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) AS z FROM documents),
+l2 AS (SELECT CASE WHEN k < {len(DRESSES)} THEN d.before || z[1] || d.after ELSE b.bare END AS l FROM (SELECT z, (doc_id + z[2]) % {len(DRESSES) + len(BARE)} AS k FROM l) x LEFT JOIN (VALUES {values((n, *d) for n, d in enumerate(DRESSES))}) d(n, before, after) ON d.n = k LEFT JOIN (VALUES {values((n + len(DRESSES), b) for n, b in enumerate(BARE))}) b(n, bare) ON b.n = k)"""
+
+
+@query(rf"""WITH {_LINES},
+k AS (SELECT CASE WHEN regexp_replace(l, '\s', '', 'g') = '' THEN 'blank' WHEN regexp_matches(l, '^(-{{3,}}|_{{3,}}|\*{{3,}})$') THEN 'rule' WHEN regexp_matches(l, '^\s*\|?[\s:\-|]+\|[\s:\-|]+\|?\s*$') THEN 'separator' WHEN regexp_matches(l, '^\s*\|.*\|\s*$') THEN 'row'
+WHEN regexp_matches(l, '^###\s+.+$') THEN 'h3' WHEN regexp_matches(l, '^##\s+.+$') THEN 'h2' WHEN regexp_matches(l, '^#\s+.+$') THEN 'h1' WHEN regexp_matches(l, '^[\-*]\s+.+$') THEN 'bullet' WHEN regexp_matches(l, '^[0-9]+\.\s+.+$') THEN 'numbered' ELSE 'text' END AS kind FROM l2) SELECT kind, count(*) AS n FROM k GROUP BY ALL""")
 def q37_markdown_line_kinds(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("l"))
-    return lines.groupBy(text.line_kind(F.col("l")).alias("kind")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
+    k = ((F.col("doc_id") + F.col("i")) % (len(DRESSES) + len(BARE))).cast("int")
+    dressed = F.array(*[F.concat(F.lit(a), "l", F.lit(b)) for a, b in DRESSES], *map(F.lit, BARE))
+    return rows.select(F.get(dressed, k).alias("l")).groupBy(text.line_kind(F.col("l")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query()

@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cartulary import prompts
+from cartulary.backends import TRANSIENT, Answer, ApiError
 from cartulary.functions import json, paths, text
+from cartulary.operators import metrics
 from cartulary.operators.canonicalise import canonicalise, with_singular
 from cartulary.operators.experiments import exit_code
 from cartulary.vocabulary import Vocabulary, get
@@ -24,12 +26,25 @@ from cartulary.vocabulary import Vocabulary, get
 CODES = ("DOCUMENT_LOAD_FAILED", "LLM_PARSE_ERROR", "LLM_API_ERROR", "TAXONOMY_VALIDATION_FAILED", "TEMPLATE_ERROR", "CONFIG_ERROR", "FILENAME_POLICY_VIOLATION", "UNEXPECTED_ERROR")
 
 
-class TransientError(Exception):
+class TransientError(ConnectionError):
     """A failure worth another attempt."""
 
 
+#: Which code an exception of a backend gets: the first that it is an instance of.
+FAILURES = ((prompts.TemplateError, "TEMPLATE_ERROR"), (TRANSIENT, "LLM_API_ERROR"), (ApiError, "LLM_API_ERROR"), (ValueError, "CONFIG_ERROR"), (Exception, "UNEXPECTED_ERROR"))
+TOKENS = ("input_tokens", "output_tokens", "total_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
+
+
 class Backend(Protocol):
-    def answer(self, system: str, human: str) -> str: ...
+    """Answers with a text, or with an Answer that also tells its tokens."""
+
+    def answer(self, system: str, human: str) -> str | Answer: ...
+
+
+def failure(e: Exception) -> tuple[str, str]:
+    """Code and message of a failed call."""
+    code = next(c for kind, c in FAILURES if isinstance(e, kind))
+    return code, f"{type(e).__name__}: {e}" if code == "UNEXPECTED_ERROR" else str(e)
 
 
 class Keywords:
@@ -49,53 +64,70 @@ class Keywords:
         return plain_json.dumps({"domain": domain, "category": category, "doctype": pick(self.doctypes, "document"), "vendor": "unknown", "date": text.NO_DATE, "subject": " ".join(human.split()[:3])})
 
 
-def invoke(df: DataFrame, make: Callable[[], Backend], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0) -> DataFrame:
-    """(path, content, error_code, ...) -> with response and latency_ms; one backend for each partition.
+def invoke(df: DataFrame, make: Callable[[], Backend], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0, stop: bool = False, debug: bool = False) -> DataFrame:
+    """(path, content, error_code, ...) -> with response, latency_ms and tokens; one backend for each partition.
 
-    Transient failures are tried ``attempts`` times in all, waiting twice as long each time; what fails is a row with a code.
+    Transient failures are tried ``attempts`` times in all, waiting twice as long each time, from ``wait`` to
+    ``most_wait`` seconds; what fails is a row with a code.  stop: after a partition's first failure it asks no more, and
+    the rest are rows that say so.  debug: also ``prompt``, what was asked.
     """
     system, human = prompts.split(template)
     system = prompts.render(system, menu, "")
 
+    def one(backend: Backend, content: str) -> tuple[Answer | None, str | None, str | None]:
+        for tried in range(1, attempts + 1):
+            try:
+                got = backend.answer(system, prompts.render(human, menu, content))
+                return (got if isinstance(got, Answer) else Answer(got)), None, None
+            except TRANSIENT as e:
+                if tried == attempts:
+                    return None, *failure(e)
+                time.sleep(min(max(wait, wait * 2 ** (tried - 1)), most_wait))
+            except Exception as e:
+                return None, *failure(e)
+        return None, "CONFIG_ERROR", "no attempts"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend = make()
+        backend, failed = None, False
         for batch in batches:
-            responses, codes, messages, took = [], [], [], []
+            answers, codes, messages, took = [], [], [], []
             for content, code, message in zip(batch["content"], batch["error_code"], batch["error_message"], strict=True):
-                began, response, tried = time.monotonic(), None, 0
-                while code is None and response is None:
-                    tried += 1
-                    try:
-                        response = backend.answer(system, prompts.render(human, menu, content))
-                    except TransientError as e:
-                        if tried >= attempts:
-                            code, message = "LLM_API_ERROR", str(e)
-                        else:
-                            time.sleep(min(wait * 2 ** (tried - 1), most_wait))
-                    except Exception as e:
-                        code, message = "UNEXPECTED_ERROR", f"{type(e).__name__}: {e}"
-                responses.append(response)
+                began, answer = time.monotonic(), None
+                if code is None and stop and failed:
+                    code, message = "UNEXPECTED_ERROR", "not tried: another document failed"
+                elif code is None:
+                    backend = backend or make()
+                    answer, code, message = one(backend, content)
+                failed = failed or code is not None
+                answers.append(answer)
                 codes.append(code)
                 messages.append(message)
                 took.append(1000 * (time.monotonic() - began))
-            yield batch.assign(response=responses, error_code=codes, error_message=messages, latency_ms=took)
+            tokens = {t: pd.array([getattr(a, t, None) for a in answers], dtype="Int64") for t in TOKENS}
+            asked = {"prompt": [f"{system}\n\n{prompts.render(human, menu, c)}" for c in batch["content"].fillna("")]} if debug else {}
+            yield batch.assign(response=[a and a.text for a in answers], error_code=codes, error_message=messages, latency_ms=took, **tokens, **asked)
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", response string, latency_ms double"
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", response string, latency_ms double, " + ", ".join(f"{t} long" for t in TOKENS) + ", prompt string" * debug
     return df.mapInPandas(run, schema)
 
 
-def classify(documents: DataFrame, make: Callable[[], Backend] = Keywords, vocabulary: Vocabulary | None = None, mode: str = "fallback", cap: int = 20_000, partitions: int | None = None, template: str = prompts.DEFAULT, naming: str = "nara") -> DataFrame:
+def classify(documents: DataFrame, make: Callable[[], Backend] = Keywords, vocabulary: Vocabulary | None = None, mode: str = "fallback", cap: int = 20_000, partitions: int | None = None, template: str = prompts.DEFAULT, naming: str = "nara", model: str | None = None, debug: bool = False, **calls) -> DataFrame:
     """(path, content, error_code, error_message) -> original, suggested_path, suggested_filename, six fields, error, code, message.
 
-    partitions bounds the calls that are open at once; without it the input's partitions do.
+    partitions bounds the calls that are open at once; without it the input's partitions do.  ``metrics`` holds latency and
+    tokens, with ``model`` its name and cost, and what the loader said.  debug: also ``prompt`` and ``response``.  Further
+    arguments go to ``invoke``.  The backend is asked again by everything that reads the result: hold it before that.
     """
     v = vocabulary or get()
-    ready = documents.select("path", text.truncate(F.col("content"), cap).alias("content"), "error_code", "error_message")
+    none = lambda kind: F.lit(None).cast(kind)
+    loader = [(F.col(n) if n in documents.columns else none(kind)).alias(n) for n, kind in (("loader_latency_ms", "double"), ("loader_backend", "string"))]
+    ready = documents.select("path", text.truncate(F.col("content"), cap).alias("content"), "error_code", "error_message", *loader)
     ready = ready.repartition(partitions) if partitions else ready
-    answered = invoke(ready, make, template, v.menu())
+    answered = invoke(ready, make, template, v.menu(), debug=debug, **calls)
     rows = json.parsed(answered.withColumnsRenamed({"error_code": "_code", "error_message": "_message"}), "response")
     rows = rows.withColumns({"error_code": F.coalesce("_code", "error_code"), "error_message": F.when(F.col("_code").isNotNull(), F.col("_message")).otherwise(F.col("error_message"))})
-    rows = rows.select("path", "latency_ms", "error_code", "error_message", *[F.col(f"fields.{f}").alias(f) for f in json.FIELDS])
+    kept = ("latency_ms", *TOKENS, "loader_latency_ms", "loader_backend", *(("prompt", "response") if debug else ()))
+    rows = rows.select("path", *kept, "error_code", "error_message", *[F.col(f"fields.{f}").alias(f) for f in json.FIELDS])
     if mode == "strict":
         held = canonicalise(rows.withColumnsRenamed({"error_code": "_code", "error_message": "_message"}), v, "strict")
         held = held.withColumns({"error_code": F.coalesce("_code", "error_code"), "error_message": F.when(F.col("_code").isNotNull(), F.col("_message")).otherwise(F.col("error_message"))}).drop("_code", "_message")
@@ -107,11 +139,14 @@ def classify(documents: DataFrame, make: Callable[[], Backend] = Keywords, vocab
     held = held.withColumns({"_name": name, "_path": F.concat_ws("/", paths.folder(d, c, t), name)})
     bad = F.coalesce(paths.filename_error(F.col("_name")), paths.path_error(F.col("_path")))
     held = held.withColumns({"error_message": F.when(F.col("error_code").isNotNull(), F.col("error_message")).otherwise(bad), "error_code": F.coalesce("error_code", F.when(bad.isNotNull(), "FILENAME_POLICY_VIOLATION"))})
+    price = [F.lit(x).cast("double") for x in metrics.price_of(model) or (None, None)]
+    dollars = metrics.cost(F.col("input_tokens"), F.col("output_tokens"), *price)
+    measured = F.struct(F.lit(model).cast("string").alias("model"), *TOKENS, "latency_ms", dollars.alias("cost_usd"), "loader_latency_ms", "loader_backend")
     ok = F.col("error_code").isNull()
     return held.select(
         text.basename(F.col("path")).alias("original"), "path", F.when(ok, F.col("_path")).alias("suggested_path"), F.when(ok, F.col("_name")).alias("suggested_filename"),
         *[F.when(ok, F.col(f"canon_{a}")).alias(a) for a in ("domain", "category", "doctype")], *[F.when(ok, F.col(a)).alias(a) for a in ("vendor", "date", "subject")],
-        (~ok).alias("error"), "error_code", "error_message", F.struct("latency_ms").alias("metrics"),
+        (~ok).alias("error"), "error_code", "error_message", measured.alias("metrics"), *(("prompt", "response") if debug else ()),
     )
 
 
@@ -123,4 +158,4 @@ def outcome(results: DataFrame, on_error: str = "continue") -> int:
     return 0 if not failed else (1 if failed < n else 2)
 
 
-__all__ = ["CODES", "Backend", "Keywords", "TransientError", "classify", "exit_code", "invoke", "outcome"]
+__all__ = ["CODES", "FAILURES", "Backend", "Keywords", "TransientError", "classify", "exit_code", "failure", "invoke", "outcome"]

@@ -1,22 +1,53 @@
-"""Commands: classify, tag, evaluate, report, harvest, plan.  Each is a DataFrame plan and a sink."""
+"""Commands: classify, tag, organise, evaluate, experiment, report, harvest, discover, dashboard, plan, version-check.
+
+Each is a DataFrame plan and a sink.  Whatever asks a model is held once before it is read, so a document costs one call.
+"""
 
 from __future__ import annotations
 
 import argparse
+import datetime
+import json
+import logging
+import os
 import sys
+import tomllib
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cartulary import config
-from cartulary.classify import Keywords, classify, outcome
-from cartulary.functions import tags
-from cartulary.operators import evaluate, experiments, harvest
-from cartulary.plans import actions
+from cartulary import backends, config, prompts
+from cartulary.classify import Keywords, classify, invoke, outcome
+from cartulary.functions import tags, text
+from cartulary.functions.json import parsed
+from cartulary.operators import canonicalise, dashboard, evaluate, experiments, harvest
+from cartulary.plans import actions, coverage
 from cartulary.sources import files, lines
+from cartulary.storage import held
 from cartulary.vocabulary import get
 
 GATE = 0.5
+LEVELS = {"quiet": logging.ERROR, "verbose": logging.INFO, "debug": logging.DEBUG}
+log = logging.getLogger("cartulary")
+
+
+class JsonLines(logging.Formatter):
+    """A log record as one line of JSON."""
+
+    def format(self, record: logging.LogRecord) -> str:
+        at = datetime.datetime.fromtimestamp(record.created, datetime.UTC).isoformat()
+        return json.dumps({"timestamp": at, "level": record.levelname.lower(), "event": record.getMessage(), **getattr(record, "fields", {})})
+
+
+def _logging(level: str) -> None:
+    handler = logging.StreamHandler(sys.stderr)
+    handler.setFormatter(JsonLines())
+    log.handlers, log.propagate = [handler], False
+    log.setLevel(LEVELS.get(level, logging.ERROR))
+
+
+def _tell(event: str, **fields) -> None:
+    log.info(event, extra={"fields": fields})
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -24,80 +55,266 @@ def _parser() -> argparse.ArgumentParser:
     commands = parser.add_subparsers(dest="command", required=True)
     shared = argparse.ArgumentParser(add_help=False)
     shared.add_argument("--config")
-    for name in ("taxonomy", "taxonomy-mode", "naming-style", "sample-strategy", "on-error", "log-level"):
+    shared.add_argument("--backend", choices=("keywords", "provider"), default="keywords", help="keywords: the stand-in for tests; provider: the language model that is set")
+    shared.add_argument("--url", help="another address of the provider")
+    for name in ("ai-provider", "ai-model", "taxonomy", "taxonomy-mode", "naming-style", "sample-strategy", "on-error", "log-level", "prompt", "debug-dir"):
         shared.add_argument(f"--{name}")
-    shared.add_argument("--max-pages", type=int)
-    shared.add_argument("--concurrency", type=int)
-    one = commands.add_parser("classify", parents=[shared])
-    one.add_argument("folder")
-    one.add_argument("--output")
-    two = commands.add_parser("tag", parents=[shared])
-    two.add_argument("folder")
-    two.add_argument("--tag-fields", default="domain,category,doctype")
-    two.add_argument("--tag-mode", choices=tags.MODES, default="add")
-    two.add_argument("--tags", help="JSON lines of path and existing_tags")
-    three = commands.add_parser("evaluate", parents=[shared])
-    three.add_argument("folder")
-    three.add_argument("--ground-truth", required=True)
-    four = commands.add_parser("report")
-    four.add_argument("records")
-    four.add_argument("--format", choices=("text", "json", "csv"), default="text")
-    five = commands.add_parser("harvest", parents=[shared])
-    five.add_argument("answers", help="JSON lines of domain, category, doctype, vendor, date, subject")
+    for name in ("ai-max-tokens", "max-pages", "concurrency"):
+        shared.add_argument(f"--{name}", type=int)
+    for name in ("metrics", "capture-debug", "debug-structure"):
+        shared.add_argument(f"--{name}", action="store_true", default=None)
+
+    def command(name: str, *arguments: str, parents=(shared,)) -> argparse.ArgumentParser:
+        made = commands.add_parser(name, parents=list(parents))
+        for a in arguments:
+            made.add_argument(a)
+        return made
+
+    made = command("classify", "folder")
+    made.add_argument("--output")
+    made.add_argument("--batch", action="store_true", help="one line of JSON a document, as is always done here")
+    made = command("tag", "folder")
+    made.add_argument("--tag-fields", default="domain,category,doctype")
+    made.add_argument("--tag-mode", choices=tags.MODES, default="add")
+    made.add_argument("--tags", help="JSON lines of path and existing_tags")
+    made.add_argument("--store", choices=sorted(actions.STORES), help="where the driver reads and writes tags; none: tags are planned only")
+    made.add_argument("--dry-run", action="store_true")
+    made = command("organise", "folder")
+    made.add_argument("--dry-run", action="store_true")
+    made = command("evaluate")
+    made.add_argument("folder", nargs="?", help="else the folder documents beside the ground truth")
+    made.add_argument("--ground-truth", required=True)
+    made.add_argument("--output", choices=("summary", "json"), default="json")
+    made = command("experiment-run", "manifest")
+    made.add_argument("--output")
+    made.add_argument("--dry-run", action="store_true")
+    command("experiment-validate", "manifest", parents=())
+    made = command("report", "records", parents=())
+    made.add_argument("--format", choices=("text", "json", "csv"), default="text")
+    for name in ("harvest", "discover"):
+        made = command(name)
+        made.add_argument("answers", help="JSON lines of domain, category, doctype, vendor, date, subject; or a folder of documents, with --documents")
+        made.add_argument("--documents", action="store_true")
+        made.add_argument("--sample", type=int, default=0)
+        made.add_argument("--seed", type=int, default=0)
+        made.add_argument("--output")
+        made.add_argument("--format", choices=("python", "json"), default="python")
+    made = command("dashboard", "runs", "data", parents=())
+    made.add_argument("--page")
+    made = command("plan", "ground_truth")
+    for name, default in (("count", 0), ("min-long", 0), ("documents", 5), ("categories", 3), ("doctypes", 3), ("seed", 0)):
+        made.add_argument(f"--{name}", type=int, default=default)
+    command("version-check", "project", "module", parents=())
     return parser
 
 
 def _settings(args) -> config.Settings:
-    given = {k: getattr(args, k, None) for k in ("taxonomy", "taxonomy_mode", "naming_style", "sample_strategy", "on_error", "log_level", "max_pages", "concurrency")}
+    names = ("taxonomy", "taxonomy_mode", "naming_style", "sample_strategy", "on_error", "log_level", "prompt", "debug_dir", "max_pages", "concurrency", "metrics", "capture_debug", "debug_structure")
+    given = {k: getattr(args, k, None) for k in names}
+    given |= {k: getattr(args, f"ai_{k}", None) for k in ("provider", "model", "max_tokens")}
     return config.load(getattr(args, "config", None), **given)
 
 
-def _classified(spark: SparkSession, args):
-    s = _settings(args)
-    documents = files.documents(spark, args.folder, s.sample_strategy, s.max_pages)
+def _options(args, s: config.Settings) -> dict:
+    """What of the settings goes to every classification."""
+    options = {"vocabulary": get(s.taxonomy), "mode": s.taxonomy_mode, "partitions": s.concurrency if s.concurrency > 1 else None, "naming": s.naming_style}
+    options |= {"attempts": s.max_retries, "wait": s.retry_min_wait, "most_wait": s.retry_max_wait, "stop": s.on_error == "fail", "debug": s.capture_debug}
+    return options | ({"template": prompts.load(s.prompt)[1]} if s.prompt else {})
+
+
+def _maker(args, s: config.Settings):
     v = get(s.taxonomy)
-    return classify(documents, lambda: Keywords(v), v, s.taxonomy_mode, partitions=s.concurrency if s.concurrency > 1 else None, naming=s.naming_style), s
+    return backends.maker(s, args.url) if args.backend == "provider" else lambda: Keywords(v)
+
+
+def _classified(spark: SparkSession, args, documents: DataFrame | None = None) -> tuple[DataFrame, config.Settings]:
+    """Results of a folder, held: whatever is done with them, each file is parsed and each document asked once."""
+    s = _settings(args)
+    _logging(s.log_level)
+    documents = files.documents(spark, args.folder, s.sample_strategy, s.max_pages) if documents is None else documents
+    results = held(classify(documents, _maker(args, s), model=s.model if args.backend == "provider" else None, **_options(args, s)))
+    if s.debug_dir and (s.capture_debug or s.debug_structure):
+        captured = results.select("path", "error_code", *(("prompt", "response") if s.capture_debug else ()), *(("metrics",) if s.debug_structure else ()))
+        captured.write.mode("append").option("ignoreNullFields", "false").json(s.debug_dir)
+    _tell("classified", folder=getattr(args, "folder", None), documents=results.count())
+    return results, s
 
 
-def _print(df) -> None:
+def _print(df: DataFrame) -> None:
     """One line of JSON a row, as rows come; nulls are left out."""
     for row in df.select(F.to_json(F.struct(*df.columns))).toLocalIterator():
         print(row[0])
 
 
+def _write(content: str, path: str | None) -> None:
+    if path:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(content)
+    else:
+        print(content)
+
+
+def _now() -> str:
+    return datetime.datetime.now(datetime.UTC).isoformat()
+
+
+def _report(spark: SparkSession, args) -> int:
+    rows = lines.records(spark, args.records)
+    if args.format == "text":
+        print(experiments.text_report(rows))
+    elif args.format == "json":
+        print(json.dumps(experiments.json_report(rows), indent=2, ensure_ascii=False))
+    else:
+        out = experiments.csv_rows(rows)
+        print(",".join(out.columns))
+        for r in out.toLocalIterator():
+            print(",".join(r))
+    return 0
+
+
+def _experiment(spark: SparkSession, args) -> int:
+    with open(args.manifest, encoding="utf-8") as f:
+        raw = f.read()
+    name, models, documents = lines.manifest(raw)
+    extra = lines.manifest_object(raw).get("config") or {}
+    prompt = os.path.expanduser(extra["prompt"]) if extra.get("prompt") else None
+    issues = lines.manifest_issues(models, documents, os.path.exists, prompt=prompt)
+    for issue in issues:
+        print(issue, file=sys.stderr)
+    if args.command == "experiment-validate" or issues:
+        return int(bool(issues))
+    print(f"{name}: {len(documents)} documents, {len(models)} models, {len(documents) * len(models)} runs", file=sys.stderr)
+    if args.dry_run:
+        return 0
+    known = {k: v for k, v in extra.items() if k in ("taxonomy", "taxonomy_mode", "sample_strategy", "max_pages", "max_tokens", "capture_debug", "debug_dir")}
+    s = config.load(args.config, **known, prompt=prompt)
+    _logging(s.log_level)
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    read = files.pages(spark.read.format("binaryFile").load([os.path.abspath(d["path"]) for d in documents]))
+    loaded = held(files.loaded(read, s.sample_strategy, s.max_pages).withColumn("path", plain))
+    expected = spark.createDataFrame([(os.path.abspath(d["path"]), {k: str(v) for k, v in d["expected"].items()}) for d in documents if d.get("expected")], "document string, expected map<string,string>")
+
+    def make(provider: str, model: str):
+        return _maker(args, config.replace(s, provider=provider, model=model))
+
+    options = {k: v for k, v in _options(args, s).items() if k not in ("stop", "debug")}
+    out = args.output or f"eval/results/{name}-{datetime.datetime.now():%Y%m%d-%H%M%S}.jsonl"
+    # a model's records are on disk before the next one is asked, so an interrupted experiment keeps them
+    for pair in models:
+        lines.write_records(experiments.run(loaded, [pair], make, name, _now(), expected, **options), out)
+    return experiments.summary(lines.records(spark, out)).first()["exit_code"]
+
+
+def _harvest(spark: SparkSession, args) -> int:
+    s, schema = _settings(args), ", ".join(f"{c} string" for c in ("domain", "category", "doctype", "vendor", "date", "subject"))
+    if args.documents:
+        docs = files.documents(spark, args.answers, s.sample_strategy, s.max_pages)
+        asked = harvest.sample(docs, args.sample, args.seed).select("path", text.truncate(F.col("content")).alias("content"), "error_code", "error_message")
+        answered = held(invoke(asked, _maker(args, s), menu=get(s.taxonomy).menu(), attempts=s.max_retries, wait=s.retry_min_wait, most_wait=s.retry_max_wait))
+        answers = parsed(answered.drop("error_code", "error_message"), "response").select("fields.*")
+    else:
+        answers = spark.read.schema(schema).json(args.answers)
+    rows = harvest.normalised(answers, get(s.taxonomy))
+    if args.command == "discover":
+        counted = harvest.counters(rows).first()
+        _write(harvest.vocabulary_text(harvest.discovered(answers), counted["processed"], counted["errors"], args.format), args.output)
+    else:
+        _write(json.dumps(harvest.report(rows, f"{s.provider}/{s.model}", s.taxonomy, _now()), indent=2, ensure_ascii=False), args.output)
+    return 0
+
+
+def _dashboard(spark: SparkSession, args) -> int:
+    """Merge run folders into the dashboard's data, and splice that into its page."""
+    before = open(args.data, encoding="utf-8").read() if os.path.exists(args.data) else None
+    found = lines.run_folders(spark, args.runs, dashboard.RUN).join(lines.run_logs(spark, args.runs), "folder", "left")
+    new = dashboard.aggregates(dashboard.described(found))
+    names = new.columns
+    old = spark.createDataFrame([tuple(r.get(c) for c in names) for r in dashboard.existing(before)], new.schema)
+    data = dashboard.document(dashboard.merged(old, new), _now())
+    _write(data, args.data)
+    if args.page:
+        with open(args.page, encoding="utf-8") as f:
+            page = f.read()
+        _write(dashboard.spliced(page, data), args.page)
+    return 0
+
+
+def _version_check(args) -> int:
+    """0 if the project file and the module name the same version."""
+    with open(args.project, "rb") as f:
+        one = tomllib.load(f)["project"]["version"]
+    with open(args.module, encoding="utf-8") as f:
+        other = next((x.split("=", 1)[1].strip().strip("\"'") for x in f if x.startswith("__version__")), None)
+    print(f"{one} and {other}")
+    return int(one != other)
+
+
+def _tag(spark: SparkSession, results: DataFrame, args, s: config.Settings) -> int:
+    """Plan tags, and write them if there is a store and this is no dry run."""
+    schema, fields = "path string, existing_tags array<string>", tuple(args.tag_fields.split(","))
+    good = results.where("NOT error")
+    store = actions.STORES[args.store]() if args.store else None
+    if store:
+        stored = spark.createDataFrame([(r[0], store.read(r[0])) for r in good.select("path").toLocalIterator()], schema)
+    else:
+        stored = spark.read.schema(schema).json(args.tags) if args.tags else spark.createDataFrame([], schema)
+    tagger = actions.Tagger(store, args.tag_mode, fields)
+    plan = tagger.plan(good.join(stored, "path", "left").withColumn("existing_tags", F.coalesce("existing_tags", F.array().cast("array<string>"))))
+    _print(plan.select("path", "final_tags", "description"))
+    if store is None or args.dry_run:
+        return outcome(results, s.on_error)
+    lost = [d for d in actions.carry_out(plan, tagger) if not d.success]
+    for d in lost:
+        print(json.dumps(vars(d)), file=sys.stderr)
+    total = results.count()
+    return actions.totals(total, total - good.count(), len(lost))
+
+
+def _organise(results: DataFrame, args) -> int:
+    """Rename in place, then say how many were done and passed over.  Files are renamed where the driver sees them."""
+    good, total = results.where("NOT error"), results.count()
+    renamer = actions.Renamer()
+    done = list(actions.carry_out(renamer.plan(good), renamer, args.dry_run)) if total else []
+    for d in done:
+        print(json.dumps({k: v for k, v in vars(d).items() if v is not None}))
+    lost = sum(not d.success for d in done)
+    renamed = sum(d.success and d.description != "already named" for d in done)
+    print(json.dumps({"processed": total, "renamed": renamed, "skipped": total - len(done) + lost, "dry_run": args.dry_run}))
+    return actions.totals(total, total - len(done), lost)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
+    if args.command == "version-check":
+        return _version_check(args)
     spark = spark or SparkSession.builder.appName("cartulary").getOrCreate()
-    if args.command == "report":
-        rows = lines.records(spark, args.records)
-        if args.format == "text":
-            print(experiments.text_report(rows))
-        elif args.format == "csv":
-            out = experiments.csv_rows(rows)
-            print(",".join(out.columns))
-            for r in out.toLocalIterator():
-                print(",".join(str(x) for x in r))
-        else:
-            for part in (experiments.summary(rows), experiments.accuracy_by_model(rows), experiments.accuracy_by_field(rows), experiments.latency(rows)):
-                _print(part)
-        return 0
-    if args.command == "harvest":
-        rows = harvest.normalised(spark.read.schema(", ".join(f"{c} string" for c in ("domain", "category", "doctype", "vendor", "date", "subject"))).json(args.answers), get(_settings(args).taxonomy))
-        for part in (harvest.counters(rows), harvest.term_frequency(rows).orderBy(F.desc("n"), "kind", "axis", "term"), harvest.drift(rows).orderBy(F.desc("n"), "field", "raw", "domain"), harvest.tuples(rows), harvest.vendors(rows), harvest.years(rows)):
-            _print(part)
+    if args.command in ("report", "dashboard", "harvest", "discover", "experiment-run", "experiment-validate"):
+        return {"report": _report, "dashboard": _dashboard, "harvest": _harvest, "discover": _harvest, "experiment-run": _experiment, "experiment-validate": _experiment}[args.command](spark, args)
+    if args.command == "plan":
+        v = get(_settings(args).taxonomy)
+        rows = canonicalise.canonicalise(lines.rows(spark, args.ground_truth), v, "null")
+        rows = rows.select(*[F.col(f"canon_{a}").alias(a) for a in canonicalise.AXES])
+        planned = coverage.from_nothing(spark, args.count, args.min_long, args.seed, v) if args.count else coverage.three_stages(rows, args.documents, args.categories, args.doctypes, args.seed, v)
+        _print(coverage.asked(planned))
         return 0
+    if args.command == "evaluate":
+        args.folder = args.folder or os.path.join(os.path.dirname(args.ground_truth), "documents")
     results, s = _classified(spark, args)
+    if args.command == "organise":
+        return _organise(results, args)
     if args.command == "evaluate":
-        rows = evaluate.compared(results.where("NOT error").withColumnRenamed("original", "filename"), lines.ground_truth(spark, args.ground_truth))
+        rows = held(evaluate.compared(results.where("NOT error").withColumnRenamed("original", "filename"), lines.ground_truth(spark, args.ground_truth)))
         score = evaluate.accuracy(rows)
-        _print(score)
+        if args.output == "summary":
+            print(evaluate.text_summary(rows, s.provider, s.model))
+        else:
+            _print(score)
         return int(score.first()["domain_accuracy"] < GATE)
     if args.command == "tag":
-        held = spark.read.schema("path string, existing_tags array<string>").json(args.tags) if args.tags else spark.createDataFrame([], "path string, existing_tags array<string>")
-        rows = results.where("NOT error").join(held, "path", "left").withColumn("existing_tags", F.coalesce("existing_tags", F.array().cast("array<string>")))
-        _print(actions.tag_plan(rows, args.tag_mode, tuple(args.tag_fields.split(","))).select("path", "final_tags", "description"))
-        return outcome(results, s.on_error)
+        return _tag(spark, results, args, s)
     shown = results.where("NOT error") if s.on_error == "skip" else results
+    shown = shown if s.metrics else shown.drop("metrics")
     if args.output:
         lines.write_results(shown, args.output)
     else:

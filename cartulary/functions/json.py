@@ -115,20 +115,22 @@ def fields(answer) -> dict | None:
 
 @F.pandas_udf(SCHEMA)
 def _slow(responses: pd.Series) -> pd.DataFrame:
-    rows = [fields(read(r)) for r in responses]
+    """Answers that Spark could not read; null: it could, and there is nothing to do."""
+    rows = [None if r is None else fields(read(r)) for r in responses]
     return pd.DataFrame([r or dict.fromkeys(FIELDS) for r in rows], columns=list(FIELDS))
 
 
 def parsed(df: DataFrame, response: str) -> DataFrame:
-    """Add ``fields`` (null if there is no answer), error_code and error_message (with the response's beginning)."""
+    """Add ``fields`` (null if there is no answer), error_code and error_message (with the response's beginning).
+
+    One pass: rows are not split by kind, so whatever made the responses, say a model, runs once.  Of answers that parse
+    at once only a null goes to Python.
+    """
     tree = F.try_parse_json(F.trim(response))
     typed = [F.schema_of_variant(F.try_variant_get(tree, f"$.{f}", "variant")) == "STRING" for f in FIELDS]
     fast = F.when(F.coalesce(F.forall(F.array(*typed), lambda x: F.coalesce(x, F.lit(False))), F.lit(False)), F.struct(*[F.try_variant_get(tree, f"$.{f}", "string").alias(f) for f in FIELDS]))
     quick = df.withColumn("_fast", F.when(F.startswith(F.trim(response), F.lit("{")), fast))
-    # responses that parse at once never reach Python
-    slow = quick.where("_fast IS NULL").withColumn("_slow", _slow(F.coalesce(response, F.lit(""))))
-    done = quick.where("_fast IS NOT NULL").withColumn("fields", F.col("_fast")).drop("_fast")
-    rest = slow.withColumn("fields", F.when(F.col("_slow.domain").isNotNull(), F.col("_slow"))).drop("_fast", "_slow")
-    out = done.unionByName(rest)
+    both = quick.withColumn("_slow", _slow(F.when(F.col("_fast").isNull(), F.coalesce(response, F.lit("")))))
+    out = both.withColumn("fields", F.coalesce("_fast", F.when(F.col("_slow.domain").isNotNull(), F.col("_slow")))).drop("_fast", "_slow")
     failed = F.col("fields").isNull()
     return out.withColumns({"error_code": F.when(failed, PARSE_ERROR), "error_message": F.when(failed, F.concat(F.lit("no classification in: "), F.substring(F.coalesce(response, F.lit("")), 1, 200)))})

@@ -58,7 +58,12 @@ def path_error(path: Column, limits: Limits = LIMITS) -> Column:
 POLICIES = {"nara": filename}
 
 
+def register(name: str, builder) -> None:
+    """Make a naming policy known by name: Columns of doctype, vendor, subject, date and extension to one of the name."""
+    POLICIES[name.lower()] = builder
+
+
 def policy(name: str):
-    if name not in POLICIES:
+    if name.lower() not in POLICIES:
         raise ValueError(f"unknown naming policy {name!r}; available: {', '.join(sorted(POLICIES))}")
-    return POLICIES[name]
+    return POLICIES[name.lower()]

@@ -118,20 +118,25 @@ def sanitised(c: Column) -> Column:
     return F.when(~marked & ~F.startswith(strip(c), F.lit("```")), strip(c))
 
 
+# The kinds of Markdown lines, the first that fits counts.
+LINE_KINDS = (
+    ("rule", r"^(-{3,}|_{3,}|\*{3,})$"),
+    ("separator", r"^\s*\|?[\s:\-|]+\|[\s:\-|]+\|?\s*$"),
+    ("row", r"^\s*\|.*\|\s*$"),
+    ("h3", r"^###\s+.+$"),
+    ("h2", r"^##\s+.+$"),
+    ("h1", r"^#\s+.+$"),
+    ("bullet", r"^[\-*]\s+.+$"),
+    ("numbered", r"^\d+\.\s+.+$"),
+)
+
+
 def line_kind(c: Column) -> Column:
     """What a Markdown line is: rule, separator, row, h1, h2, h3, bullet, numbered, blank or text."""
-    return (
-        F.when(strip(c) == "", "blank")
-        .when(c.rlike(r"^(-{3,}|_{3,}|\*{3,})$"), "rule")
-        .when(c.rlike(r"^\s*\|?[\s:\-|]+\|[\s:\-|]+\|?\s*$"), "separator")
-        .when(c.rlike(r"^\s*\|.*\|\s*$"), "row")
-        .when(c.rlike(r"^###\s+.+$"), "h3")
-        .when(c.rlike(r"^##\s+.+$"), "h2")
-        .when(c.rlike(r"^#\s+.+$"), "h1")
-        .when(c.rlike(r"^[\-*]\s+.+$"), "bullet")
-        .when(c.rlike(r"^\d+\.\s+.+$"), "numbered")
-        .otherwise("text")
-    )
+    kind = F.when(strip(c) == "", "blank")
+    for name, pattern in LINE_KINDS:
+        kind = kind.when(c.rlike(pattern), name)
+    return kind.otherwise("text")
 
 
 def valid_ground_truth_date(c: Column, strict: bool = True) -> Column:

@@ -2,12 +2,64 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("domain_accuracy", "category_accuracy", "doctype_accuracy", "vendor_accuracy", "date_accuracy")
 
 
+#: What of a run may be shown; anything else in its file, such as single documents, is dropped.
+AGGREGATES = (*METRICS, "model", "provider", "total", "errors", "commit_hash", "commit", "runtime_seconds", "wallclock_s")
+VERSION = 1
+OPEN, CLOSE = '<script id="data" type="application/json">', "</script>"
+#: Columns of runs read from files: numbers may be missing.
+RUN = ", ".join([f"{m} double" for m in METRICS] + ["model string", "provider string", "total long", "errors long", "commit_hash string", "commit string", "runtime_seconds double", "wallclock_s double"])
+
+
+def aggregates(df: DataFrame) -> DataFrame:
+    """Only those columns of a run that may be shown, and where it is from."""
+    return df.select(*[c for c in df.columns if c in (*AGGREGATES, "run_id", "date", "corpus", "loader", "loader_variant", "folder", "file")])
+
+
+def described(runs: DataFrame) -> DataFrame:
+    """Runs with folder and file names -> run_id (the file's own, if it has one), date, corpus, loader and variant as the names tell them, and a runtime.
+
+    The runtime is the file's own, or else ``log_seconds``, if there is such a column.
+    """
+    own = [F.col("run_id")] if "run_id" in runs.columns else []
+    named = runs.withColumns({"run_id": F.coalesce(*own, F.concat_ws("/", "folder", "file")), "date": date_of(F.col("folder")), "corpus": corpus_of(F.col("folder")), "loader": loader_of(F.col("file")), "loader_variant": variant_of(F.col("folder"))})
+    log = F.col("log_seconds") if "log_seconds" in runs.columns else F.lit(None).cast("double")
+    return named.withColumn("runtime_seconds", F.coalesce("runtime_seconds", "wallclock_s", log)).drop("log_seconds")
+
+
+def of_corpus(runs: DataFrame, synthetic: bool = True, real: bool = True) -> DataFrame:
+    """The runs of the corpora that are shown."""
+    return runs.where(F.col("corpus").isin([c for c, on in (("synthetic", synthetic), ("real-world", real)) if on]))
+
+
+def existing(text: str | None) -> list[dict]:
+    """The runs of a dashboard's JSON; none where there is no text."""
+    return json.loads(text).get("runs", []) if text and text.strip() else []
+
+
+def document(runs: DataFrame, stamp: str) -> str:
+    """The dashboard's JSON: runs by date, then run_id.  Runs are evaluations, so they are few."""
+    rows = [{k: v for k, v in r.asDict().items() if v is not None} for r in runs.orderBy(F.coalesce("date", F.lit("0000-00-00")), "run_id").collect()]
+    return json.dumps({"schema_version": VERSION, "generated_at": stamp, "runs": rows}, indent=2) + "\n"
+
+
+def spliced(page: str, data: str) -> str:
+    """A page with ``data`` in its data block; without the block's marks that is an error."""
+    head, mark, rest = page.partition(OPEN)
+    end = rest.find(CLOSE)
+    if not mark or end < 0:
+        raise ValueError(f"the page has no block {OPEN} ... {CLOSE}")
+    # a closing mark inside the data would end the block
+    return head + mark + "\n" + data.replace("</", "<\\/") + rest[end:]
+
+
 def loader_of(filename):
     last = F.element_at(F.split(F.regexp_replace(F.element_at(F.split(filename, "/"), -1), r"(?<=.)\.[^.]+$", ""), "_"), -1)
     return F.when(last.isin("docling", "unstructured"), last).otherwise("unknown")

@@ -31,6 +31,33 @@ def accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("total"), *axes, *rest, path, name)
 
 
+def first_mistakes(rows: DataFrame, most: int = 5, axis: str = "domain") -> tuple[list[str], int]:
+    """Lines of the first wrong rows by file name, and how many there are beyond them."""
+    wrong = rows.where(~F.col(f"{axis}_ok"))
+    shown = wrong.orderBy("filename").select("filename", f"a_{axis}", f"p_{axis}").limit(most).collect()
+    return [f"{r[0]}: {r[1]} -> {r[2]}" for r in shown], max(wrong.count() - most, 0)
+
+
+def text_summary(rows: DataFrame, provider: str, model: str) -> str:
+    """The evaluation as text: accuracies, then the first mistakes of the domain."""
+    score = accuracy(rows).first()
+    out = [f"Evaluation Results ({provider}/{model})", "=" * 50, f"Total documents: {score['total']}"]
+    out += [f"{c.capitalize() + ' accuracy:':<18} {100 * score[f'{c}_accuracy']:5.1f}%" for c in (*AXES, *OPTIONAL) if score[f"{c}_accuracy"] is not None]
+    lines, more = first_mistakes(rows)
+    if lines:
+        out += ["", f"Domain misclassifications ({len(lines) + more}):", *[f"  {x}" for x in lines], *([f"  ... and {more} more"] if more else [])]
+    return "\n".join(out)
+
+
+def stub_issues(truth: DataFrame, files: DataFrame, key: str = "filename") -> DataFrame:
+    """(filename, issue): entries with an empty required field, entries without a file, files without an entry."""
+    empty = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    blank = F.array_compact(F.array(*[F.when(empty(F.col(c)), F.lit(c)) for c in AXES]))
+    stubs = truth.withColumn("_b", blank).where(F.size("_b") > 0).select(key, F.concat(F.lit("empty: "), F.array_join("_b", ", ")).alias("issue"))
+    lost = unmatched(truth, files, key).select(key, F.lit("no file").alias("issue"))
+    return stubs.unionByName(lost).unionByName(unmatched(files, truth, key).select(key, F.lit("no entry").alias("issue")))
+
+
 def confusion(rows: DataFrame) -> DataFrame:
     """(axis, actual, predicted, n), all in lower case."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.lower(f"a_{c}").alias("actual"), F.lower(f"p_{c}").alias("predicted")) for c in AXES])).alias("x")).select("x.*")

@@ -17,6 +17,37 @@ def matrix(documents: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
     return documents.crossJoin(F.broadcast(rows))
 
 
+def run(documents: DataFrame, models: list[tuple[str, str]], make, name: str, stamp: str, expected: DataFrame | None = None, **options) -> DataFrame:
+    """Run records of every document with every model: one call each.
+
+    documents: as loaded, parsed once and held; make(provider, model): what makes a partition's backend; expected:
+    (document, expected map).  options go to ``classify``.  What fails is a record too.
+    """
+    from cartulary.classify import classify
+    from cartulary.operators.evaluate import strict_matches
+
+    if len(models) > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} models")
+    parts = []
+    for provider, model in models:
+        done = classify(documents, make(provider, model), model=model, **options)
+        result = F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))])
+        parts.append(
+            done.select(
+                F.lit(name).alias("experiment"), F.lit(stamp).alias("timestamp"), F.col("path").alias("document"), F.lit(provider).alias("provider"), F.lit(model).alias("model"),
+                F.col("metrics.latency_ms").cast("int").alias("latency_ms"), (~F.col("error")).alias("success"), F.when(~F.col("error"), result).alias("result"), "error_code", "error_message",
+            )
+        )
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    none = F.lit(None).cast("map<string,string>")
+    out = out.join(expected, "document", "left") if expected is not None else out.withColumn("expected", none)
+    of = lambda c: {f: F.try_element_at(c, F.lit(f)) for f in FIELDS}
+    matches = F.when(F.col("success") & F.col("expected").isNotNull(), strict_matches(of("expected"), of("result")))
+    return out.withColumn("matches", matches).withColumn("all_match", all_match("matches"))
+
+
 def all_match(matches):
     return F.coalesce(F.forall(F.map_values(matches), lambda x: x), F.lit(False))
 
@@ -81,13 +112,34 @@ def mismatches(records: DataFrame) -> DataFrame:
     return wrong.select("document", "provider", "model", F.explode("matches").alias("field", "right"), "expected", "result").where("NOT right").select("document", "provider", "model", "field", F.try_element_at("expected", "field").alias("expected"), F.try_element_at("result", "field").alias("got"))
 
 
+def distinct(records: DataFrame) -> tuple[list[str], list[str]]:
+    """The models (provider/model) and the documents of some records, each sorted; an experiment's arguments, so few."""
+    names = lambda c: [r[0] for r in records.select(c).where("x IS NOT NULL").distinct().orderBy("x").collect()]
+    return names(F.concat_ws("/", "provider", "model").alias("x")), names(F.col("document").alias("x"))
+
+
+def json_report(records: DataFrame) -> dict:
+    """The report as one object: counts, models, documents, accuracy by model and by field, latency, mistakes."""
+    models, documents = distinct(records)
+    rows = lambda df: [r.asDict() for r in df.collect()]
+    first = records.select("experiment", "timestamp").first()
+    head = {"experiment": first and first["experiment"], "timestamp": first and first["timestamp"], "models": models, "documents": documents}
+    return head | {
+        "summary": summary(records).first().asDict(),
+        "accuracy_by_model": rows(accuracy_by_model(records).orderBy("provider", "model")),
+        "accuracy_by_field": rows(accuracy_by_field(records).orderBy("field")),
+        "latency_ms": rows(latency(records).orderBy("provider", "model")),
+        "mismatches": rows(mismatches(records).orderBy("document", "provider", "model", "field")),
+    }
+
+
 def csv_rows(records: DataFrame) -> DataFrame:
     """The columns of the CSV report: booleans in lower case, blanks where there are no matches."""
     from cartulary.functions.text import basename
 
     flag = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     return records.select(
-        basename(F.col("document")).alias("document"), "provider", "model", flag(F.col("success")).alias("success"), "latency_ms",
+        basename(F.col("document")).alias("document"), *[flag(F.col(c)).alias(c) for c in ("provider", "model", "success", "latency_ms")],
         *[flag(F.try_element_at("matches", F.lit(f))).alias(f"match_{f}") for f in FIELDS], flag(F.coalesce("all_match", F.lit(False))).alias("all_match"),
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +60,61 @@ def discovered(df: DataFrame) -> DataFrame:
     return norm.select(each).select("x.*").where("term IS NOT NULL").distinct().groupBy("kind", "domain").agg(F.array_join(F.sort_array(F.collect_list("term")), ",").alias("terms"))
 
 
+def report(rows: DataFrame, model: str, taxonomy: str, stamp: str) -> dict:
+    """The harvest as one object; only counted terms, as many as the vocabulary and its drift, come to the driver."""
+    plural = {"domain": "domains", "category": "categories", "doctype": "doctypes"}
+    frequency: dict = {"raw": {p: {} for p in plural.values()}, "canonical": {p: {} for p in plural.values()}}
+    for r in term_frequency(rows).orderBy(F.desc("n"), "term").collect():
+        frequency[r["kind"]][plural[r["axis"]]][r["term"]] = r["n"]
+    each = lambda df, *order: [r.asDict() for r in df.withColumnRenamed("n", "count").orderBy(F.desc("count"), *order).collect()]
+    pairs = {kind: each(tuples(rows).where(F.col("kind") == kind).drop("kind"), *AXES) for kind in ("raw", "canonical")}
+    count = counters(rows).first()
+    one = lambda df, c: {r[c]: r["n"] for r in df.orderBy(F.desc("n"), c).collect()}
+    return {
+        "metadata": {"corpus_size": count["processed"] + count["errors"], "processed": count["processed"], "errors": count["errors"], "model": model, "taxonomy": taxonomy, "timestamp": stamp},
+        "raw_term_frequency": frequency["raw"],
+        "canonical_term_frequency": frequency["canonical"],
+        "drift": each(drift(rows), "field", "raw", "domain"),
+        "raw_tuples": pairs["raw"],
+        "canonical_tuples": pairs["canonical"],
+        "vendor_frequency": one(vendors(rows), "vendor"),
+        "date_frequency": one(years(rows), "year"),
+    }
+
+
+def vocabulary_text(found: DataFrame, files: int, errors: int, form: str = "python") -> str:
+    """``discovered`` terms as Python source or JSON."""
+    terms: dict = {"domain": [], "category": {}, "doctype": []}
+    for r in found.collect():
+        listed = r["terms"].split(",")
+        if r["kind"] == "category":
+            terms["category"][r["domain"] or ""] = listed
+        else:
+            terms[r["kind"]] = listed
+    categories = dict(sorted(terms["category"].items()))
+    if form == "json":
+        return json.dumps({"metadata": {"file_count": files, "error_count": errors}, "domains": terms["domain"], "categories": categories, "doctypes": terms["doctype"]}, indent=2)
+    if form != "python":
+        raise ValueError(f"unknown format {form!r}")
+    quoted = lambda xs: "{" + ", ".join(json.dumps(x, ensure_ascii=False) for x in xs) + "}" if xs else "set()"
+    body = "".join(f"    {json.dumps(d, ensure_ascii=False)}: {quoted(c)},\n" for d, c in categories.items())
+    return f"# Discovered from {files} documents ({errors} errors)\nDISCOVERED_DOMAINS: set[str] = {quoted(terms['domain'])}\nDISCOVERED_CATEGORIES: dict[str, set[str]] = {{\n{body}}}\nDISCOVERED_DOCTYPES: set[str] = {quoted(terms['doctype'])}\n"
+
+
+def verdicts(joined: DataFrame, least: int = 5, *, moved: int = 8) -> DataFrame:
+    """``delta`` with ``verdict``: new (reaches ``least`` and did not before), gone (the reverse), moved (by ``moved``), or steady."""
+    was, now = F.col("base") >= least, F.col("new") >= least
+    return joined.withColumn("verdict", F.when(now & ~was, "new").when(was & ~now, "gone").when(F.abs("delta") >= moved, "moved").otherwise("steady"))
+
+
+def within(base: DataFrame, new: DataFrame, documents: int = 10, errors: int = 25) -> DataFrame:
+    """Counters of two harvests -> one row: whether as many documents (give or take) were processed, with few errors."""
+    a, b = base.select(F.col("processed").alias("base_processed")), new.select("processed", "errors")
+    one = F.lit(1).alias("_one")
+    both = a.withColumn("_one", one).join(b.withColumn("_one", one), "_one").drop("_one")
+    return both.withColumn("accepted", (F.abs(F.col("processed") - F.col("base_processed")) <= documents) & (F.col("errors") <= errors))
+
+
 def delta(base: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """Two frequencies side by side and their difference; a term that one lacks counts as 0 there."""
     a, b = base.select(*keys, F.col("n").alias("base")), new.select(*keys, F.col("n").alias("new"))

@@ -22,6 +22,12 @@ PRICES = (
 )
 
 
+def price_of(model: str | None) -> tuple[float, float] | None:
+    """The listed prices of one model by the rule of ``priced``, on the driver."""
+    fits = [(model != k, -len(k), n, i, o) for n, (k, i, o) in enumerate(PRICES) if model is not None and (k in model or model in k)]
+    return min(fits)[3:] if fits else None
+
+
 def priced(df: DataFrame, model: str = "model", first: bool = False) -> DataFrame:
     """Add price_in and price_out: of the model itself, else of the longest listed name it holds or is part of.
 
@@ -50,6 +56,12 @@ def cached_cost(tokens_in, read, written, tokens_out, rates: dict[str, float] |
     return (plain * rates["input"] + read * rates["read"] + written * rates["write"] + tokens_out * rates["output"]) / F.lit(1e6)
 
 
+def generation(df: DataFrame, tokens: str, accepted: str, long: int = 512, most_rejected: float = 0.1) -> DataFrame:
+    """One row on generated documents: written, rejected, those of more than ``long`` tokens, and whether too many were rejected."""
+    written, rejected = F.count_if(F.col(accepted)), F.count_if(~F.col(accepted))
+    return df.agg(written.alias("written"), rejected.alias("rejected"), F.count_if(F.col(accepted) & (F.col(tokens) > long)).alias("long_documents"), (rejected > (written + rejected) * F.lit(most_rejected)).alias("warn"))
+
+
 def running_cost(df: DataFrame, order: str, amount: str, cap: float, *keys: str) -> DataFrame:
     """Add ``running`` and keep what began before the sum passed ``cap``: the row that passes it is the last.
 

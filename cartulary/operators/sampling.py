@@ -24,10 +24,10 @@ def sampled(page: Column, count: Column, strategy: str, most: int = 10) -> Colum
     return (count <= most) | rule
 
 
-def joined_pages(pages: DataFrame, key: str = "path", page: str = "page_no", text: str = "content") -> DataFrame:
-    """The pages that are not blank, in order, with an empty line between; and how many pages were read.
+def joined_pages(pages: DataFrame, key: str = "path", page: str = "page_no", text: str = "content", *also: Column) -> DataFrame:
+    """The pages that are not blank, in order, with an empty line between; how many pages were read; and other aggregates.
 
     A document's pages meet in one row, so its sampling bounds them.
     """
     full = F.filter(F.sort_array(F.collect_list(F.struct(F.col(page).alias("p"), F.col(text).alias("t")))), lambda x: strip(x["t"]) != "")
-    return pages.groupBy(key).agg(F.array_join(F.transform(full, lambda x: x["t"]), "\n\n").alias("content"), F.count("*").alias("pages_sampled"))
+    return pages.groupBy(key).agg(F.array_join(F.transform(full, lambda x: x["t"]), "\n\n").alias("content"), F.count("*").alias("pages_sampled"), *also)

@@ -1,8 +1,18 @@
-"""Plans of what to do with files: tags and renames.  Carrying one out is an adapter's part."""
+"""Plans of what to do with files, tags and renames, and carrying them out.
+
+A plan is a DataFrame.  An action carries out rows of it where the files are: renames on a file system that the driver
+sees, tags through an adapter.  What fails is a row too.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+import re
+from collections.abc import Iterator
+from dataclasses import dataclass
+from typing import Protocol
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cartulary.functions import tags
@@ -23,6 +33,34 @@ def rename_plan(df: DataFrame, folder: str, target: str, order: str, mark: str =
     return df.withColumn("_k", k).withColumn("new_name", F.when(F.col("_k") > 0, F.concat(base, F.lit(mark), F.col("_k").cast("string"), ext)).otherwise(F.col(target))).drop("_k")
 
 
+def rename_all(df: DataFrame, folder: str, target: str, order: str, existing: DataFrame, mark: str = "-") -> DataFrame:
+    """``rename_plan`` that also keeps clear of names that exist, or that other rows want as they are.
+
+    existing: (folder, name).  Each row that cannot have its own name gets the k-th free suffix of its folder and target:
+    suffixes that are taken are counted out, so no two rows and no file share a name, and no loop is needed.  A row whose
+    file already bears its name, or that name with a suffix (column ``own``, if there is one), keeps it.
+    """
+    base, ext = F.regexp_replace(target, r"(?<=.)\.[^.]+$", ""), F.regexp_extract(target, r"^.+(\.[^.]+)$", 1)
+    rows = df.withColumns({"_base": base, "_ext": ext, "_own": F.col("own") if "own" in df.columns else F.lit(None).cast("string")})
+    held = existing.select(F.col("folder").alias("_folder"), F.col("name").alias("_name")).distinct()
+    wish = rows.select(F.col(folder).alias("_folder"), F.col(target).alias("_name"))
+    # its own name, or that with a suffix from an earlier time
+    bare = F.regexp_replace("_own", rf"{re.escape(mark)}[1-9][0-9]{{0,8}}(\.[^.]+)?$", "$1")
+    stays = F.coalesce((F.col("_own") == F.col(target)) | (bare == F.col(target)), F.lit(False))
+    rows = rows.join(held.withColumn("_held", F.lit(True)), (F.col(folder) == F.col("_folder")) & (F.col(target) == F.col("_name")), "left").drop("_folder", "_name")
+    rows = rows.withColumn("_stays", stays).withColumn("_seat", F.expr(f"row_number() OVER (PARTITION BY {folder}, {target}, _stays ORDER BY {order})"))
+    rows = rows.withColumn("_first", F.col("_stays") | (F.col("_held").isNull() & (F.col("_seat") == 1)))
+    need = rows.where("NOT _first").withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY {folder}, {target} ORDER BY {order})"))
+    # suffixes of a (folder, target) that some file or other target bears; the k-th free one is k plus those at or below it
+    taken = held.unionByName(wish).distinct().withColumns({"_n": F.regexp_extract("_name", rf"^.+{re.escape(mark)}([1-9][0-9]{{0,8}})(\.[^.]+)?$", 1), "_base": F.regexp_replace("_name", rf"{re.escape(mark)}[1-9][0-9]{{0,8}}(\.[^.]+)?$", ""), "_ext": F.regexp_extract("_name", r"^.+(\.[^.]+)$", 1)}).where("_n <> ''")
+    spots = taken.groupBy(F.col("_folder").alias(folder), "_base", "_ext").agg(F.sort_array(F.collect_set(F.col("_n").cast("int"))).alias("_taken"))
+    placed = need.join(spots, [folder, "_base", "_ext"], "left")
+    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_k"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
+    placed = placed.withColumn("new_name", F.concat("_base", F.lit(mark), free.cast("string"), "_ext"))
+    kept = rows.where("_first").withColumn("new_name", F.when(F.col("_stays"), F.col("_own")).otherwise(F.col(target)))
+    return kept.select(*df.columns, "new_name").unionByName(placed.select(*df.columns, "new_name"))
+
+
 def first_match(results: DataFrame, paths: DataFrame, name: str = "original") -> DataFrame:
     """Each result with the first path of its base name."""
     first = paths.groupBy("name").agg(F.min("path").alias("path"))
@@ -34,3 +72,115 @@ def by_rank(results: DataFrame, paths: DataFrame, name: str = "original", order:
     r = results.withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY {name} ORDER BY {order})"))
     p = paths.withColumn("_k", F.expr("row_number() OVER (PARTITION BY name ORDER BY path)")).withColumnRenamed("name", name)
     return r.join(p, [name, "_k"], "left").drop("_k")
+
+
+@dataclass(frozen=True)
+class Done:
+    """What became of one planned row."""
+
+    file: str
+    success: bool
+    description: str
+    error: str | None = None
+
+
+class Action(Protocol):
+    """plan: classified rows to rows with a ``description``; execute: carry out one of them."""
+
+    def plan(self, results: DataFrame) -> DataFrame: ...
+
+    def execute(self, row: Row) -> Done: ...
+
+
+class TagStore(Protocol):
+    """Where the tags of files are kept."""
+
+    def read(self, path: str) -> list[str]: ...
+
+    def write(self, path: str, tags: list[str]) -> None: ...
+
+
+class AttributeTags:
+    """Tags in a file's extended attribute, comma-separated, as desktops on Linux keep them."""
+
+    NAME = "user.xdg.tags"
+
+    def read(self, path: str) -> list[str]:
+        try:
+            held = os.getxattr(path.removeprefix("file:"), self.NAME).decode("utf-8", "replace")
+        except OSError:  # none, or a file system without attributes
+            return []
+        return [t for t in held.split(",") if t]
+
+    def write(self, path: str, tags: list[str]) -> None:
+        path = path.removeprefix("file:")
+        if tags:
+            os.setxattr(path, self.NAME, ",".join(tags).encode())
+        elif self.read(path):
+            os.removexattr(path, self.NAME)
+
+
+STORES: dict[str, type] = {"attributes": AttributeTags}
+
+
+class Tagger:
+    """Plans tags by mode, and writes them to a store; no tags are a cleared file."""
+
+    def __init__(self, store: TagStore | None, mode: str = "add", fields: tuple[str, ...] = ("domain", "category", "doctype")):
+        self.store, self.mode, self.fields = store, mode, fields
+
+    def plan(self, results: DataFrame) -> DataFrame:
+        """results: with ``path`` and, if the store was read, ``existing_tags``."""
+        if "existing_tags" not in results.columns:
+            results = results.withColumn("existing_tags", F.array().cast("array<string>"))
+        return tag_plan(results, self.mode, self.fields)
+
+    def execute(self, row: Row) -> Done:
+        if row["tags_added"] or row["tags_removed"]:
+            self.store.write(row["path"], list(row["final_tags"]))
+        return Done(row["path"], True, row["description"])
+
+
+class Renamer:
+    """Renames in place to the suggested name, with a suffix where that is taken."""
+
+    def plan(self, results: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+        parts = F.split("path", "/")
+        rows = results.withColumns({"folder": F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/"), "own": F.element_at(parts, -1)})
+        existing = rows.select("folder", F.col("own").alias("name")) if existing is None else existing
+        out = rename_all(rows, "folder", "suggested_filename", "path", existing)
+        said = F.when(F.col("new_name") == F.col("own"), "already named").otherwise(F.concat(F.lit("rename to "), F.col("new_name")))
+        return out.withColumn("description", said)
+
+    def execute(self, row: Row) -> Done:
+        source = row["path"].removeprefix("file:")
+        target = os.path.join(os.path.dirname(source), row["new_name"])
+        if source == target:
+            return Done(row["path"], True, "already named")
+        if os.path.exists(target):
+            raise FileExistsError(target)
+        os.rename(source, target)
+        return Done(row["path"], True, row["description"])
+
+
+ACTIONS: dict[str, type] = {"tag": Tagger, "rename": Renamer}
+
+
+def register(name: str, action: type) -> None:
+    """Make an action known by name."""
+    ACTIONS[name.lower()] = action
+
+
+def carry_out(plan: DataFrame, action: Action, dry_run: bool = False) -> Iterator[Done]:
+    """Each row of a plan, carried out as it comes; a dry run only says what would be done.  A failure ends nothing."""
+    for row in plan.toLocalIterator():
+        try:
+            yield Done(row["path"], True, row["description"]) if dry_run else action.execute(row)
+        except Exception as e:
+            yield Done(row["path"], False, row["description"], f"{type(e).__name__}: {e}")
+
+
+def totals(results: int, failed: int, action_errors: int) -> int:
+    """0, 1 or 2: of ``results`` documents none, some or all failed, in classification or in the action."""
+    lost = failed + action_errors
+    return 0 if not lost else (1 if lost < results else 2)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,17 +16,48 @@ RECORD = (
 )
 
 
+def _entries(raw: DataFrame) -> DataFrame:
+    """(line, raw) -> the lines that are objects, with their fields."""
+    some = raw.select("line", F.trim("raw").alias("raw")).where("raw <> '' AND NOT startswith(raw, '#')")
+    rows = some.select("line", F.from_json("raw", TRUTH + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("line", "r.*")
+    return rows.where("_bad IS NULL").drop("_bad")
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """A file's lines with their numbers; it is read whole, as ground truth is hand-made and small."""
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "raw"))
+
+
+def truth_of(raw: DataFrame) -> DataFrame:
+    """Entries of numbered lines (line, raw), with their ``line``: blank, # and bad lines are skipped; of a repeated filename the last counts."""
+    good = _entries(raw).where("filename IS NOT NULL AND domain IS NOT NULL AND category IS NOT NULL AND doctype IS NOT NULL")
+    fields = [c for c in good.columns if c != "filename"]
+    return good.groupBy("filename").agg(F.max_by(F.struct(*fields), "line").alias("r")).select("filename", "r.*")
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of a JSONL file: blank and # lines are skipped, bad lines too; of a repeated filename the last counts.
+    """Entries of a JSONL file, as ``truth_of`` takes them from its lines."""
+    return truth_of(_numbered(spark, path)).drop("line")
+
+
+def rows(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a ground-truth file read tolerantly: any line that is an object, with its number, repeats kept."""
+    return _entries(_numbered(spark, path))
 
-    Line numbers follow the file's lines, so a file is read whole; ground truth is hand-made and small.
-    """
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "raw"))
-    lines = lines.select("line", F.trim("raw").alias("raw")).where("raw <> '' AND NOT startswith(raw, '#')")
-    rows = lines.select("line", F.from_json("raw", TRUTH + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r")).select("line", "r.*")
-    good = rows.where("_bad IS NULL AND filename IS NOT NULL AND domain IS NOT NULL AND category IS NOT NULL AND doctype IS NOT NULL").drop("_bad")
-    last = F.expr("row_number() OVER (PARTITION BY filename ORDER BY line DESC)")
-    return good.withColumn("_n", last).where("_n = 1").drop("_n", "line")
+
+def append(path: str, record: dict) -> None:
+    """Add a line to a file on the driver's disk so that a reader sees all of it or nothing: a sibling is written, then renamed."""
+    held = b""
+    if os.path.exists(path):
+        with open(path, "rb") as f:
+            held = f.read()
+    if held and not held.endswith(b"\n"):
+        held += b"\n"
+    with tempfile.NamedTemporaryFile(dir=os.path.dirname(path) or ".", delete=False) as f:
+        f.write(held + json.dumps(record).encode() + b"\n")
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(f.name, path)
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
@@ -51,25 +83,39 @@ def log_runtime(content: Column) -> Column:
 
 
 def run_folders(spark: SparkSession, root: str, schema: str) -> DataFrame:
-    """JSON files of the folders right below ``root``, with folder and file names."""
+    """JSON files of the folders right below ``root``, with folder and file names; files that cannot be read are skipped."""
     place = F.split(F.col("_metadata.file_path"), "/")
-    return spark.read.option("multiLine", "true").schema(schema).json(f"{root}/*/*.json").withColumns({"file": F.element_at(place, -1), "folder": F.element_at(place, -2)})
+    bad = schema + ", _bad string"
+    held = spark.read.option("multiLine", "true").option("columnNameOfCorruptRecord", "_bad").schema(bad).json(f"{root}/*/*.json")
+    # the plan may not read the column of bad files alone, so it is asked beside the others
+    return held.withColumns({"file": F.element_at(place, -1), "folder": F.element_at(place, -2)}).where("_bad IS NULL AND file IS NOT NULL").drop("_bad")
 
 
-def manifest(text: str) -> tuple[str, list[tuple[str, str]], list[dict]]:
-    """(name, models, documents) of an experiment in YAML (where that can be imported) or JSON; ~ stands for the home folder."""
+def run_logs(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, log_seconds) of the .stderr logs beside runs: from the first to the last time stamp of a folder's log."""
+    held = spark.read.text(f"{root}/*/*.stderr", wholetext=True)
+    place = F.split(F.col("_metadata.file_path"), "/")
+    return held.select(F.element_at(place, -2).alias("folder"), log_runtime(F.col("value")).alias("s")).groupBy("folder").agg(F.max("s").cast("double").alias("log_seconds"))
+
+
+def manifest_object(text: str) -> dict:
+    """An experiment in YAML (where that can be imported) or JSON."""
     try:
         import yaml
-
-        raw = yaml.safe_load(text)
     except ImportError:
-        raw = json.loads(text)
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def manifest(text: str) -> tuple[str, list[tuple[str, str]], list[dict]]:
+    """(name, models, documents) of an experiment in YAML (where that can be imported) or JSON; ~ stands for the home folder."""
+    raw = manifest_object(text)
     models = [(m["provider"], m["name"] if "name" in m else m["model"]) for m in raw["models"]]
     return raw["name"], models, [{**d, "path": os.path.expanduser(d["path"])} for d in raw["documents"]]
 
 
-def manifest_issues(models: list[tuple[str, str]], documents: list[dict], exists, providers=("ollama", "openai", "anthropic", "openrouter")) -> list[str]:
-    """Missing paths, further occurrences of a path, unknown providers."""
+def manifest_issues(models: list[tuple[str, str]], documents: list[dict], exists, providers=("ollama", "openai", "anthropic", "openrouter"), prompt: str | None = None) -> list[str]:
+    """Missing paths, further occurrences of a path, unknown providers, a missing prompt template."""
     seen, out = set(), []
     for d in documents:
         if d["path"] in seen:
@@ -77,4 +123,5 @@ def manifest_issues(models: list[tuple[str, str]], documents: list[dict], exists
         elif not exists(d["path"]):
             out.append(f"document not found: {d['path']}")
         seen.add(d["path"])
-    return out + [f"unknown provider: {p}" for p, _ in models if p not in providers]
+    out += [f"unknown provider: {p}" for p, _ in models if p not in providers]
+    return out + [f"prompt template not found: {prompt}"] * bool(prompt and not exists(prompt))

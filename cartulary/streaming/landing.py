@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartulary.classify import Keywords, classify
+from cartulary.storage import shared_folder
 
 SCHEMA = "doc_id long, text string"
 
@@ -30,8 +31,7 @@ def unique_within(df: DataFrame, time: str, key: str = "path", delay: str = "1 h
 
 def drained(spark: SparkSession, path: str) -> DataFrame:
     """Classify all that lies in the folder, batch by batch, into a table in the shared folder; the result is that table."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-    base = f"{named}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def sink(batch: DataFrame, number: int) -> None:
         classify(as_documents(batch), Keywords).select("original", "suggested_path", "domain", "category", "doctype", "error_code").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
