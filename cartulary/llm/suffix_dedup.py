@@ -389,8 +389,8 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     blob = lambda key: f"{key} long, kind int, blob binary"
     found = docs.select("d", "text").mapInArrow(_find_anchors(shards), blob("bucket"))
     compared = found.groupBy("bucket").applyInArrow(_compare_slices(shards), blob("shard"))
-    plain = docs.select("shard", "d", "text")
-    read = plain.groupBy("shard").cogroup(compared.groupBy("shard")).applyInArrow(_read_slices(shards), blob("bucket"))
+    # the same columns in both cogroups, so that the documents are shuffled once
+    read = docs.groupBy("shard").cogroup(compared.groupBy("shard")).applyInArrow(_read_slices(shards), blob("bucket"))
     sorted_ = read.groupBy("bucket").applyInArrow(_sort_slices(shards), blob("shard"))
     both = compared.unionByName(sorted_)
 
