@@ -87,6 +87,22 @@ def give_back() -> None:
         pass
 
 
+#: Keys that may be called hot: each has more than one in HOT of all rows, so there are fewer than HOT of them.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], total: int, many: str = "many") -> DataFrame:
+    """Inner join of ``rows`` with one row a key of ``table``, whose column ``many`` says how many rows of ``rows`` the key has.
+
+    total: of all rows.  Hot keys' rows of ``table``, fewer than HOT, are broadcast, so that no key's rows meet in one task;
+    of the others none has more than one in HOT of all rows.  ``rows`` is read twice.
+    """
+    limit = total // HOT + 1
+    hot = F.broadcast(table.where(F.col(many) > limit))
+    cool = rows.join(F.broadcast(table.where(F.col(many) > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cool.join(table.where(F.col(many) <= limit), keys))
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, each with underscores after it until no column of ``df`` bears it (Spark takes letters of either case for one)."""
     taken, out = {c.lower() for c in df.columns}, []

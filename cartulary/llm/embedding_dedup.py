@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import cut, fresh
+from cartulary.llm.common import cut, fresh, join_hot
 from cartulary.llm.components import components
 
 LIMIT = 0.93
@@ -137,8 +137,9 @@ def classes(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     rows = rows.where(sound).groupBy("id").agg(F.min(F.struct("label", "vector")).alias("r")).select("id", "r.*")
     # equal vectors meet by two hashes, counted before they are shuffled, so a hot one is a row of each task
     rows = cut(rows.withColumns({"h": F.xxhash64("vector"), "h2": F.xxhash64(F.lit(SEED), F.reverse("vector"))}))
-    same = rows.groupBy("label", "h", "h2").agg(F.min("id").alias("node"), F.count("*").alias("many"))
-    copies = cut(rows.select("id", "label", "h", "h2").join(same, ["label", "h", "h2"]).select("id", "node", "many"))
+    same = cut(rows.groupBy("label", "h", "h2").agg(F.min("id").alias("node"), F.count("*").alias("many")))
+    total = same.agg(F.sum("many")).first()[0] or 0
+    copies = cut(join_hot(rows.select("id", "label", "h", "h2"), same, ["label", "h", "h2"], total).select("id", "node", "many"))
     sizes = same.groupBy("label").agg(F.count("*").alias("size"))
     steps = F.lit(LEVELS[-1])
     for b in reversed(LEVELS[:-1]):
@@ -150,10 +151,11 @@ def classes(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     wide = F.when(F.col("bits") <= 8, 1).otherwise(4)
     short = F.expr("transform(sequence(0, _tables - 1), t -> struct(t AS t, substring(codes, t * _wide + 1, _wide) AS code))")
     keyed = nodes.withColumns({"_tables": many, "_wide": wide}).select("node", "label", "width", "bits", F.explode(short).alias("k")).select("node", "label", "width", "bits", "k.*")
-    shared = keyed.groupBy("label", "width", "bits", "t", "code").agg(F.count("*").alias("size")).where("size > 1")
-    placed = keyed.join(shared, ["label", "width", "bits", "t", "code"])
+    shared = cut(keyed.groupBy("label", "width", "bits", "t", "code").agg(F.count("*").alias("size")).where("size > 1"))
     # every block of a bucket meets every other: a row goes once to each of its bucket's blocks on either side
-    rows_in_all = shared.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK) * 2)).first()[0] or 0
+    rows_in_all, in_buckets = shared.agg(F.sum(F.col("size") * F.ceil(F.col("size") / BLOCK) * 2), F.sum("size")).first()
+    rows_in_all = rows_in_all or 0
+    placed = join_hot(keyed, shared, ["label", "width", "bits", "t", "code"], in_buckets or 0, "size")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     sides = placed.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     key = ("label", "width", "bits", "t", "code", "l", "r")
@@ -162,11 +164,11 @@ def classes(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding",
     )
     full = tasks.join(nodes.drop("label", "width", "bits"), "node").withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(rows_in_all // DEAL + 1)))
     links = cut(full.groupBy("deal").applyInArrow(_linked, "u long, v long, n long"))
-    found = components(links.select("u", "v"))
+    roots = components(links.select("u", "v"))
     counts = links.groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     rest = [c for c in df.columns if c not in ("n_links", "component_id", "kept")]
     own, other, n, c = fresh(df.select(*rest), "own", "other", "n", "c")
-    total = copies.join(counts, "node", "left").join(found, copies.node == found.id, "left").select(copies.id.alias(other), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias(n), F.coalesce("component", "node").alias(c))
-    out = df.select(*rest, F.col(vec_id).cast("long").alias(own)).join(total, F.col(own) == F.col(other), "left")
+    found = copies.join(counts, "node", "left").join(roots, copies.node == roots.id, "left").select(copies.id.alias(other), (F.coalesce("n", F.lit(0)) + F.col("many") - 1).alias(n), F.coalesce("component", "node").alias(c))
+    out = df.select(*rest, F.col(vec_id).cast("long").alias(own)).join(found, F.col(own) == F.col(other), "left")
     component = F.coalesce(c, own)
     return out.select(*rest, F.coalesce(n, F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col(own), F.lit(True)).alias("kept"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary.llm.common import WORD, cut, fresh, memo, per_slice
+from cartulary.llm.common import HOT, WORD, cut, fresh, join_hot, memo, per_slice
 from cartulary.llm.components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -171,7 +171,12 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         ok = [alike(of(t), of(s)) >= SIMILARITY for t, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(k) for k in (0, 1)], names=["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "t", "s").mapInArrow(per_slice(run, 2), "u long, v long")
+    # a hub's stars are dealt to as many tasks as they fill, each with the hub's text; fewer than HOT hubs are of that kind
+    limit = pairs.count() // HOT + 1
+    hubs = F.broadcast(pairs.groupBy("v").agg(F.ceil(F.count("*") / limit).cast("int").alias("tasks")).where("tasks > 1"))
+    dealt = pairs.join(hubs, "v", "left").withColumn("task", F.pmod(F.xxhash64("u"), F.coalesce("tasks", F.lit(1))).cast("int")).drop("tasks")
+    spread = right.join(hubs, "v", "left").select("v", "s", F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)).alias("task"))
+    return dealt.join(left, "u").join(spread, ["v", "task"]).select("u", "v", "t", "s").mapInArrow(per_slice(run, 2), "u long, v long")
 
 
 def _rest_links(members: DataFrame) -> DataFrame:
@@ -231,12 +236,15 @@ def _rest_links(members: DataFrame) -> DataFrame:
 def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Every row of ``df`` with ``class_id``, the smallest id of its class, and ``kept``, whether it is that document."""
     rows = cut(fingerprints(df, doc_id, text))
-    same = rows.where("id IS NOT NULL AND a IS NOT NULL").groupBy("a", "b").agg(F.min("id").alias("node"))
-    named = cut(rows.join(same, ["a", "b"], "left").select("id", F.coalesce("node", "id").alias("node"), "bands", "sketch"))
-    nodes = named.where("id = node AND bands IS NOT NULL").select("id", "bands", "sketch")
+    worded = rows.where("id IS NOT NULL AND a IS NOT NULL")
+    same = cut(worded.groupBy("a", "b").agg(F.min("id").alias("node"), F.count("*").alias("many")))
+    total = same.agg(F.sum("many")).first()[0] or 0
+    # rows of the same words: a hot group is joined by a broadcast of its one node
+    named = cut(join_hot(worded, same, ["a", "b"], total).select("id", "node", "bands", "sketch"))
+    nodes = named.where("id = node").select("id", "bands", "sketch")
     buckets = nodes.select("id", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    members = cut(buckets.join(shared, "bucket").select("bucket", "id", "least"))
+    shared = cut(buckets.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("many")).where("least < most"))
+    members = cut(join_hot(buckets, shared, ["bucket"], total * BANDS).select("bucket", "id", "least"))
     stars = cut(members.where("id <> least").select(F.col("id").alias("u"), F.col("least").alias("v")).distinct())
     wanted = stars.select(F.col("u").alias("id")).union(stars.select("v")).distinct()
     texts = cut(df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
