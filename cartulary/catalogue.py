@@ -494,9 +494,9 @@ def q31_json_parse_required_fields(spark, sf_dir):
     return rows.select("event_id", F.col("fields").isNotNull().alias("parsed"), F.col("fields.vendor").alias("vendor"), "error_code")
 
 
-@query()
+@query(f"""WITH a AS ({answers_sql('conversations', '(s.conv_id + s.turn)', keep='s.conv_id, s.turn')}) SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 < 5 THEN domain END AS domain, CASE WHEN (conv_id + turn) % 6 < 5 THEN doctype END AS doctype, CASE WHEN (conv_id + turn) % 6 = 5 THEN 'LLM_PARSE_ERROR' END AS error_code FROM a""")
 def q32_json_repair(spark, sf_dir):
-    """Answers wrapped and bent in ways that only the repair can read."""
+    """Answers wrapped and bent in ways that only the repair can read, and one in six that is none; the SQL knows what was bent."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     rows = answered(turns, F.col("conv_id") + F.col("turn"))
     body = F.to_json(F.struct(*COLUMNS))
@@ -565,8 +565,11 @@ def q38_stream_classify(spark, sf_dir):
 
 
 def queries() -> dict:
+    from cartulary import catalogue_more  # noqa: F401, its queries add themselves
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
