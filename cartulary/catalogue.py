@@ -39,6 +39,9 @@ ANSWERS = (
     ("utilities", "electric", "bill", "Power Corp.", "12/31/2022 23:59", "electric bill"),
     ("travel", "trip", "itinerary", "Air Line", "20250102", "summer trip"),
     ("insurance", "billing", "insurance policy", "Safe Ltd.", "202506", "car policy"),
+    ("\u00a0Finance\u2003", "\u3000checking", "bank statement\u2028", "Café\u00a0du Nord\u2003Inc.", "2024\u20130115", "\u2003Été à la mer"),
+    ("", "", "", "", "", ""),
+    ("\u00a0", "\t", " \n ", "\u2003", "\u00a0", "\u205f"),
 )
 COLUMNS = ("domain", "category", "doctype", "vendor", "date", "subject")
 #: A cell of the fixed lists as SQL.
@@ -62,11 +65,14 @@ def answers_sql(source: str, key: str, shift: int = 0, prefix: str = "", keep: s
     return f"SELECT {keep}, {picked} FROM {source} s JOIN (VALUES {values((n, *a) for n, a in enumerate(ANSWERS))}) e(n, {', '.join(COLUMNS)}) ON e.n = ({key} + {shift}) % {len(ANSWERS)}"
 
 
-# ---- SQL of the text functions; inputs here are ASCII, so plain classes do -------------------------------------------
+# ---- SQL of the text functions ---------------------------------------------------------------------------------------
+
+#: Unicode's white space.
+WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
 def strip_(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
 
 
 def references_(x: str) -> str:
@@ -81,7 +87,7 @@ def norm_(x: str) -> str:
 
 
 def component_(x: str, limit: int = 40) -> str:
-    words = rf"regexp_replace(regexp_replace({strip_(f'lower({x})')}, '\s+', '_', 'g'), '[^a-z0-9_]', '', 'g')"
+    words = rf"regexp_replace(regexp_replace({strip_(f'lower({x})')}, '{WS}+', '_', 'g'), '[^a-z0-9_]', '', 'g')"
     return f"regexp_replace(substr(regexp_replace(regexp_replace({words}, '_+', '_', 'g'), '^_+|_+$', '', 'g'), 1, {limit}), '_+$', '')"
 
 
@@ -183,7 +189,7 @@ VENDORS = ("Acme Inc.", "Test LLC", "Smith & Sons Co.", "Harvest Table Co-op", "
 
 @query(f"""WITH v AS (SELECT s_suppkey AS k, s_name || ' ' || x.suffix AS vendor FROM supplier JOIN (VALUES {values((n, s) for n, s in enumerate(VENDORS))}) x(n, suffix) ON x.n = s_suppkey % {len(VENDORS)}
 UNION ALL SELECT c_custkey + 1000000, c_name || ', Inc' FROM customer)
-SELECT k, {vendor_('vendor')} AS part, nullif(regexp_replace(regexp_replace({strip_('lower(vendor)')}, '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '') AS slug, array_to_string(regexp_extract_all(lower(vendor), '[a-z0-9]+'), ' ') AS tokens FROM v""")
+SELECT k, {vendor_('vendor')} AS part, nullif(regexp_replace(regexp_replace({strip_('lower(vendor)')}, '{WS}+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '') AS slug, array_to_string(regexp_extract_all(lower(vendor), '[a-z0-9]+'), ' ') AS tokens FROM v""")
 def q05_vendor_normalize(spark, sf_dir):
     suffix = F.element_at(F.array(*map(F.lit, VENDORS)), (F.col("s_suppkey") % len(VENDORS) + 1).cast("int"))
     suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.concat_ws(" ", "s_name", suffix).alias("vendor"))
@@ -494,7 +500,7 @@ def q31_json_parse_required_fields(spark, sf_dir):
     return rows.select("event_id", F.col("fields").isNotNull().alias("parsed"), F.col("fields.vendor").alias("vendor"), "error_code")
 
 
-@query(f"""WITH a AS ({answers_sql('conversations', '(s.conv_id + s.turn)', keep='s.conv_id, s.turn')}) SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 < 5 THEN domain END AS domain, CASE WHEN (conv_id + turn) % 6 < 5 THEN doctype END AS doctype, CASE WHEN (conv_id + turn) % 6 = 5 THEN 'LLM_PARSE_ERROR' END AS error_code FROM a""")
+@query(f"""WITH a AS ({answers_sql('conversations', '(s.conv_id + s.turn)', keep='s.conv_id, s.turn')}) SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 6 < 5 THEN domain END AS domain, CASE WHEN (conv_id + turn) % 6 < 5 THEN doctype END AS doctype, CASE WHEN (conv_id + turn) % 6 = 5 OR domain IS NULL THEN 'LLM_PARSE_ERROR' END AS error_code FROM a""")
 def q32_json_repair(spark, sf_dir):
     """Answers wrapped and bent in ways that only the repair can read, and one in six that is none; the SQL knows what was bent."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
