@@ -253,8 +253,9 @@ def classes(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     of = lambda d: d.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     home = found.select(F.col("id").alias("least"), F.col("component").alias("home"))
     placed = of(members).join(home, "least", "left").withColumn("home", F.coalesce("home", "least"))
-    outside = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("home")).alias("n_rest")).where("n_rest > 0 AND n > 2")
-    mixed = placed.join(outside, "bucket").where("id <> least").join(nodes, "id").join(texts, "id")
+    outside = cut(placed.groupBy("bucket").agg(F.count("*").alias("n"), F.count_if(F.col("component") != F.col("home")).alias("n_rest")).where("n_rest > 0 AND n > 2"))
+    in_mixed = outside.agg(F.sum("n")).first()[0] or 0
+    mixed = join_hot(placed, outside, ["bucket"], in_mixed, "n").where("id <> least").join(nodes, "id").join(texts, "id")
     added = cut(_rest_links(mixed))
     final = components(links.unionByName(added)) if added.limit(1).count() else found
     # a row's node is the smallest id with its words, and an id stands for one document
