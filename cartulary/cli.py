@@ -209,8 +209,11 @@ def _experiment(spark: SparkSession, args) -> int:
 def _harvest(spark: SparkSession, args) -> int:
     s, schema = _settings(args), ", ".join(f"{c} string" for c in ("domain", "category", "doctype", "vendor", "date", "subject"))
     if args.documents:
-        docs = files.documents(spark, args.answers, s.sample_strategy, s.max_pages)
-        asked = harvest.sample(docs, args.sample, args.seed).select("path", text.truncate(F.col("content")).alias("content"), "error_code", "error_message")
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(args.answers)
+        if args.sample > 0:  # of the paths, before any file is read
+            few = harvest.sample(raw.where(files.extension(F.col("path")).isin(*files.TYPES)).select("path"), args.sample, args.seed)
+            raw = raw.join(F.broadcast(few), "path", "left_semi")
+        asked = files.loaded(files.pages(raw), s.sample_strategy, s.max_pages).select("path", text.truncate(F.col("content")).alias("content"), "error_code", "error_message")
         answered = held(invoke(asked, _maker(args, s), menu=get(s.taxonomy).menu(), attempts=s.max_retries, wait=s.retry_min_wait, most_wait=s.retry_max_wait))
         answers = parsed(answered.drop("error_code", "error_message"), "response").select("fields.*")
     else:

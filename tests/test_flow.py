@@ -363,6 +363,15 @@ def test_evaluation_summary(spark, tmp_path, capsys):
     assert issues == {("e", "empty: domain, category"), ("e", "no file"), ("z", "no entry")}
 
 
+def test_side_by_side_keeps_one_sided_rows(spark):
+    schema = "filename string, domain string, category string, doctype string, vendor string, date string"
+    truth = spark.createDataFrame([(f, "x", "c", "t", None, None) for f in "abc"], schema)
+    guess = lambda names: spark.createDataFrame([(f, "x", "d", "t", None, None) for f in names], schema)
+    rows = evaluate.side_by_side(evaluate.compared(guess("ab"), truth), evaluate.compared(guess("bc"), truth))
+    got = {r["filename"]: (r["domain_a"], r["category_a"], r["domain_b"], r["category_b"]) for r in rows.collect()}
+    assert got == {"a": (True, False, None, None), "b": (True, False, True, False), "c": (None, None, True, False)}
+
+
 def test_files_of_lines(spark, tmp_path):
     path = tmp_path / "t.jsonl"
     for i in range(3):
