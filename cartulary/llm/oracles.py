@@ -38,3 +38,13 @@ f AS (SELECT w.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
         "SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND g >= 0.5 AS kept FROM j",
     ]
     return "\n".join(parts)
+
+
+LINE_DEDUP_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+each AS (SELECT doc_id, i, l[i] AS line, translate(trim(l[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM d, unnest(range(1, len(l) + 1)) AS u(i)),
+often AS (SELECT key, max(doc_id) AS keeper FROM each WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+told AS (SELECT doc_id, i, line, coalesce(doc_id <> keeper, false) AS gone FROM each LEFT JOIN often USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id"""

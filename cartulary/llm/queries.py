@@ -93,7 +93,14 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-QUERIES = (op1_suffix_dedup, op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import line_dedup
+
+    left = line_dedup.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = (op1_suffix_dedup, op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text, op12_line_dedup)
 
 
 def queries() -> dict:
@@ -103,4 +110,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from cartulary.llm import oracles
 
-    return {"op4_quality_rules": oracles.quality_rules_sql()}
+    return {"op4_quality_rules": oracles.quality_rules_sql(), "op12_line_dedup": oracles.LINE_DEDUP_SQL}
