@@ -100,7 +100,14 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = (op1_suffix_dedup, op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text, op12_line_dedup)
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import spelling
+
+    words = spelling.vocabulary(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = (op1_suffix_dedup, op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text, op12_line_dedup, op13_spelling)
 
 
 def queries() -> dict:
