@@ -93,6 +93,28 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def damaged(df: DataFrame) -> DataFrame:
+    """Turns with one fault in four at most: dropped, emptied, without sentence ends, repeated, or the user's; nulls are one space."""
+    filled = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fault = (F.crc32(F.concat_ws(":", filled["conv_id"], filled["turn"]).cast("binary")) % 20).alias("fault")
+    each = df.select("conv_id", "turn", filled["role"].alias("role"), filled["text"].alias("text"), fault).where("fault <> 0")
+    text = F.when(F.col("fault") == 1, F.lit("")).when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, F.lit("user")).otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("fault") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("time")
+    return each.select("conv_id", "turn", role.alias("role"), text.alias("text"), times).drop("time")
+
+
+def op11_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from cartulary.llm import turns
+
+    source = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    found = turns.report(turns.parts(damaged(source)))
+    ids = source.select("conv_id").distinct()
+    met = ids.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return met.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from cartulary.llm import line_dedup
 
@@ -107,7 +129,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-QUERIES = (op1_suffix_dedup, op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text, op12_line_dedup, op13_spelling)
+QUERIES = (op1_suffix_dedup, op2_embedding_dedup, op3_byte_bpe, op4_quality_rules, op5_mixing, op6_quality_classifier, op7_toxicity, op8_minhash, op9_pii, op10_html_text, op11_turns, op12_line_dedup, op13_spelling)
 
 
 def queries() -> dict:
