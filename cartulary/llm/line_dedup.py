@@ -86,10 +86,10 @@ def kept_lines(text: str, keep: str, n_lines: str) -> F.Column:
 def dedup(df: DataFrame, text: str = "text", doc: str = "doc_id", least_chars: int = 20, least_docs: int = 3, hot: int = HOT) -> DataFrame:
     """Every row with n_lines, n_dropped, its bitmap ``keep`` (null: all lines stay) and ``kept``, its text without the dropped lines, in place of the text."""
     rest = [c for c in df.columns if c != text and c.lower() not in ("n_lines", "n_dropped", "keep", "kept")]
-    t, row = fresh(df, "t", "row")
+    t, row, its_doc, its_row = fresh(df, "t", "row", "its_doc", "its_row")
     source = df.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(t))
     found, _ = stored_at(lines(source, t, doc, least_chars))
-    maps = bitmaps(dropped(found, least_docs, hot)).withColumnsRenamed({"doc": "_doc", "row": "_row"})
+    maps = bitmaps(dropped(found, least_docs, hot)).withColumnsRenamed({"doc": its_doc, "row": its_row})
     rows = source.withColumn(row, F.xxhash64(F.col(doc), F.col(t))).withColumn("n_lines", F.size(F.split(F.col(t), "\n", -1)).cast("long"))
-    met = rows.join(maps, (F.col(row) == F.col("_row")) & F.col(doc).eqNullSafe(F.col("_doc")), "left")
+    met = rows.join(maps, (F.col(row) == F.col(its_row)) & F.col(doc).eqNullSafe(F.col(its_doc)), "left")
     return met.select(*[F.col(f"`{c}`") for c in rest], "n_lines", F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.col("keep").cast(KEEP), kept_lines(f"`{t}`", "keep", "n_lines").alias("kept"))

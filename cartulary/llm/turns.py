@@ -168,7 +168,7 @@ def _tuples(rows: list[dict]) -> list[tuple]:
     return [(r["turn"], r["role"], r["text"]) for r in rows]
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Turns in order, with their place ``at``, to parts; a part that begins and ends within this stream's conversations is repaired."""
     rows: list[tuple] = []
     conv, at, size, began, kind, empty = None, None, 0, False, None, True
@@ -188,7 +188,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = batch.schema.field(0).type
         for new_conv, new_at, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             other = not empty and new_conv != conv
-            if rows and (other or len(rows) >= PART or size + len(text) > PART_BYTES):
+            if rows and (other or len(rows) >= most or size + len(text) > PART_BYTES):
                 yield part(other)
                 rows, size, began = [], 0, other
             if not rows:
@@ -201,7 +201,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def packed(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+def packed(df: DataFrame, conv: str, turn: str, role: str, text: str, most: int = PART) -> DataFrame:
     """(conv, at, whole, source, facts, cost, turns): one row a part, in the order of ``at``."""
     plain = df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit(" ")).alias("role"), F.coalesce(F.col(text), F.lit(" ")).alias("text"))
     # bounds of ranges are sampled rows, so they hold no whole text; equal turns of one conversation fall apart by the draw
@@ -209,7 +209,7 @@ def packed(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFra
     order = [F.col("conv").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "head", "mark", "draw"]
     ranged = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("conv", F.monotonically_increasing_id().alias("at"), "turn", "role", "text")
     kind = plain.schema["conv"].dataType.simpleString()
-    return stored_at(ranged.mapInArrow(_pack, f"conv {kind}, at long, whole boolean, source {ROWS}, {FACTS}, cost long, turns {TURNS}"))[0]
+    return stored_at(ranged.mapInArrow(lambda batches: _pack(batches, most), f"conv {kind}, at long, whole boolean, source {ROWS}, {FACTS}, cost long, turns {TURNS}"))[0]
 
 
 def _with_repeats(opened: DataFrame) -> DataFrame:
@@ -353,9 +353,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def parts(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+def parts(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", most: int = PART) -> DataFrame:
     """(conv, at, whole, facts, cost, turns): the repaired turns of each part, in the order of ``at``; a conversation's facts and cost stand with its last part."""
-    cut = packed(df, conv, turn, role, text)
+    cut = packed(df, conv, turn, role, text, most)
     columns = ["conv", "at", *(c for c, _ in FACT_TYPES), "cost", "turns"]
     done = cut.where("whole").select(*columns).withColumn("whole", F.lit(True))
     return done.unionByName(_divided(cut.where("NOT whole")).select(*columns).withColumn("whole", F.lit(False)))
