@@ -7,7 +7,7 @@ stand-in for tests: it looks for vocabulary terms in the text, and says nothing
 from __future__ import annotations
 
 import json as plain_json
-import time
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cartulary import prompts
+from cartulary import calls, prompts, storage
 from cartulary.backends import TRANSIENT, Answer, ApiError
 from cartulary.functions import json, paths, text
 from cartulary.operators import metrics
@@ -32,7 +32,9 @@ class TransientError(ConnectionError):
 
 #: Which code an exception of a backend gets: the first that it is an instance of.
 FAILURES = ((prompts.TemplateError, "TEMPLATE_ERROR"), (TRANSIENT, "LLM_API_ERROR"), (ApiError, "LLM_API_ERROR"), (ValueError, "CONFIG_ERROR"), (Exception, "UNEXPECTED_ERROR"))
-TOKENS = ("input_tokens", "output_tokens", "total_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")
+TOKENS = calls.TOKENS
+#: Rows that a partition hands on together, as their calls have ended.
+AT_ONCE = 32
 
 
 class Backend(Protocol):
@@ -64,69 +66,81 @@ class Keywords:
         return plain_json.dumps({"domain": domain, "category": category, "doctype": pick(self.doctypes, "document"), "vendor": "unknown", "date": text.NO_DATE, "subject": " ".join(human.split()[:3])})
 
 
-def invoke(df: DataFrame, make: Callable[[], Backend], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0, stop: bool = False, debug: bool = False) -> DataFrame:
-    """(path, content, error_code, ...) -> with response, latency_ms and tokens; one backend for each partition.
-
-    Transient failures are tried ``attempts`` times in all, waiting twice as long each time, from ``wait`` to
-    ``most_wait`` seconds; what fails is a row with a code.  stop: after a partition's first failure it asks no more, and
-    the rest are rows that say so.  debug: also ``prompt``, what was asked.
-    """
+def asker(make: Callable[[str | None, str | None], Callable[[], Backend]], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0) -> calls.Asker:
+    """Asks with a template's two parts; make(provider, model): what makes a thread's backend."""
     system, human = prompts.split(template)
     system = prompts.render(system, menu, "")
+    return calls.Asker(make, lambda content: (system, prompts.render(human, menu, content)), failure, attempts, wait, most_wait)
+
 
-    def one(backend: Backend, content: str) -> tuple[Answer | None, str | None, str | None]:
-        for tried in range(1, attempts + 1):
-            try:
-                got = backend.answer(system, prompts.render(human, menu, content))
-                return (got if isinstance(got, Answer) else Answer(got)), None, None
-            except TRANSIENT as e:
-                if tried == attempts:
-                    return None, *failure(e)
-                time.sleep(min(max(wait, wait * 2 ** (tried - 1)), most_wait))
-            except Exception as e:
-                return None, *failure(e)
-        return None, "CONFIG_ERROR", "no attempts"
+def invoke(df: DataFrame, make: Callable[[], Backend], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0, stop: bool = False, debug: bool = False, width: int = 1, sign: str | None = None) -> DataFrame:
+    """(path, content, error_code, ...) -> with response, latency_ms and tokens.
+
+    Each partition has up to ``width`` calls open, each of these with a backend of its own, and hands rows on as calls end.
+    Transient failures are tried ``attempts`` times in all, waiting twice as long each time, from ``wait`` to
+    ``most_wait`` seconds; what fails is a row with a code.  stop: after the first failure no more is asked, in the
+    partition where it was and, if ``sign`` names a file in a folder that all tasks share, in every other; the rest are rows
+    that say so.  debug: also ``prompt``, what was asked.
+    """
+    ask = asker(lambda provider, model: make, template, menu, attempts, wait, most_wait)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        backend, failed = None, False
-        for batch in batches:
-            answers, codes, messages, took = [], [], [], []
-            for content, code, message in zip(batch["content"], batch["error_code"], batch["error_message"], strict=True):
-                began, answer = time.monotonic(), None
-                if code is None and stop and failed:
-                    code, message = "UNEXPECTED_ERROR", "not tried: another document failed"
-                elif code is None:
-                    backend = backend or make()
-                    answer, code, message = one(backend, content)
-                failed = failed or code is not None
-                answers.append(answer)
-                codes.append(code)
-                messages.append(message)
-                took.append(1000 * (time.monotonic() - began))
-            tokens = {t: pd.array([getattr(a, t, None) for a in answers], dtype="Int64") for t in TOKENS}
-            asked = {"prompt": [f"{system}\n\n{prompts.render(human, menu, c)}" for c in batch["content"].fillna("")]} if debug else {}
-            yield batch.assign(response=[a and a.text for a in answers], error_code=codes, error_message=messages, latency_ms=took, **tokens, **asked)
-
-    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", response string, latency_ms double, " + ", ".join(f"{t} long" for t in TOKENS) + ", prompt string" * debug
+        def one(row: tuple[pd.DataFrame, int]) -> calls.Outcome:
+            batch, i = row
+            code = batch["error_code"].iat[i]
+            return ask(batch["content"].iat[i]) if code is None else calls.Outcome(None, code, batch["error_message"].iat[i], asked=False)
+
+        def given(rows: list[tuple[tuple[pd.DataFrame, int], calls.Outcome]]) -> Iterator[pd.DataFrame]:
+            by_batch: dict[int, list] = {}
+            for (batch, i), got in rows:
+                by_batch.setdefault(id(batch), [batch]).append((i, got))
+            for batch, *some in by_batch.values():
+                part, outs = batch.iloc[[i for i, _ in some]], [got for _, got in some]
+                tokens = {t: pd.array([getattr(o.answer, t, None) for o in outs], dtype="Int64") for t in calls.TOKENS}
+                asked = {"prompt": ["\n\n".join(ask.render(c)) for c in part["content"].fillna("")]} if debug else {}
+                yield part.assign(response=[o.answer and o.answer.text for o in outs], error_code=[o.code for o in outs], error_message=[o.message for o in outs], latency_ms=[o.latency_ms for o in outs], **tokens, **asked)
+
+        rows, ended = ((batch, i) for batch in batches for i in range(len(batch))), []
+        for pair in calls.pooled(rows, one, width, calls.Stop(sign) if stop else None):
+            ended.append(pair)
+            if len(ended) >= AT_ONCE:
+                yield from given(ended)
+                ended = []
+        yield from given(ended)
+
+    schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", response string, latency_ms double, " + ", ".join(f"{t} long" for t in calls.TOKENS) + ", prompt string" * debug
     return df.mapInPandas(run, schema)
 
 
-def classify(documents: DataFrame, make: Callable[[], Backend] = Keywords, vocabulary: Vocabulary | None = None, mode: str = "fallback", cap: int = 20_000, partitions: int | None = None, template: str = prompts.DEFAULT, naming: str = "nara", model: str | None = None, debug: bool = False, **calls) -> DataFrame:
+def prepared(documents: DataFrame, cap: int = 20_000) -> DataFrame:
+    """Documents with their text cut to ``cap`` characters and the columns that tell how they were loaded."""
+    none = lambda kind: F.lit(None).cast(kind)
+    loader = [(F.col(n) if n in documents.columns else none(kind)).alias(n) for n, kind in (("loader_latency_ms", "double"), ("loader_backend", "string"))]
+    return documents.select("path", text.truncate(F.col("content"), cap).alias("content"), "error_code", "error_message", *loader)
+
+
+def classify(documents: DataFrame, make: Callable[[], Backend] = Keywords, vocabulary: Vocabulary | None = None, mode: str = "fallback", cap: int = 20_000, partitions: int | None = None, template: str = prompts.DEFAULT, naming: str = "nara", model: str | None = None, debug: bool = False, stop: bool = False, **options) -> DataFrame:
     """(path, content, error_code, error_message) -> original, suggested_path, suggested_filename, six fields, error, code, message.
 
-    partitions bounds the calls that are open at once; without it the input's partitions do.  ``metrics`` holds latency and
-    tokens, with ``model`` its name and cost, and what the loader said.  debug: also ``prompt`` and ``response``.  Further
-    arguments go to ``invoke``.  The backend is asked again by everything that reads the result: hold it before that.
+    partitions times ``width`` bounds the calls that are open at once; without partitions the input's count.  ``metrics``
+    holds latency and tokens, with ``model`` its name and cost, and what the loader said.  debug: also ``prompt`` and
+    ``response``.  stop: the first failure ends the calls of all partitions.  Further arguments go to ``invoke``.  The backend is asked
+    again by everything that reads the result: hold it before that.
     """
     v = vocabulary or get()
-    none = lambda kind: F.lit(None).cast(kind)
-    loader = [(F.col(n) if n in documents.columns else none(kind)).alias(n) for n, kind in (("loader_latency_ms", "double"), ("loader_backend", "string"))]
-    ready = documents.select("path", text.truncate(F.col("content"), cap).alias("content"), "error_code", "error_message", *loader)
+    ready = prepared(documents, cap)
     ready = ready.repartition(partitions) if partitions else ready
-    answered = invoke(ready, make, template, v.menu(), debug=debug, **calls)
+    sign = f"{storage.shared_folder(documents.sparkSession)}/stops/{uuid.uuid4().hex}" if stop else None
+    answered = invoke(ready, make, template, v.menu(), debug=debug, stop=stop, sign=sign, **options)
+    return finished(answered, v, mode, naming, model, debug)
+
+
+def finished(answered: DataFrame, vocabulary: Vocabulary | None = None, mode: str = "fallback", naming: str = "nara", model: str | None = None, debug: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """What ``invoke`` or a log of calls says, parsed, canonical, with path and name; ``keep``: further columns that stay."""
+    v = vocabulary or get()
     rows = json.parsed(answered.withColumnsRenamed({"error_code": "_code", "error_message": "_message"}), "response")
     rows = rows.withColumns({"error_code": F.coalesce("_code", "error_code"), "error_message": F.when(F.col("_code").isNotNull(), F.col("_message")).otherwise(F.col("error_message"))})
-    kept = ("latency_ms", *TOKENS, "loader_latency_ms", "loader_backend", *(("prompt", "response") if debug else ()))
+    kept = ("latency_ms", *TOKENS, "loader_latency_ms", "loader_backend", *(("prompt", "response") if debug else ()), *keep)
     rows = rows.select("path", *kept, "error_code", "error_message", *[F.col(f"fields.{f}").alias(f) for f in json.FIELDS])
     if mode == "strict":
         held = canonicalise(rows.withColumnsRenamed({"error_code": "_code", "error_message": "_message"}), v, "strict")
@@ -146,7 +160,7 @@ def classify(documents: DataFrame, make: Callable[[], Backend] = Keywords, vocab
     return held.select(
         text.basename(F.col("path")).alias("original"), "path", F.when(ok, F.col("_path")).alias("suggested_path"), F.when(ok, F.col("_name")).alias("suggested_filename"),
         *[F.when(ok, F.col(f"canon_{a}")).alias(a) for a in ("domain", "category", "doctype")], *[F.when(ok, F.col(a)).alias(a) for a in ("vendor", "date", "subject")],
-        (~ok).alias("error"), "error_code", "error_message", measured.alias("metrics"), *(("prompt", "response") if debug else ()),
+        (~ok).alias("error"), "error_code", "error_message", measured.alias("metrics"), *(("prompt", "response") if debug else ()), *keep,
     )
 
 
@@ -158,4 +172,4 @@ def outcome(results: DataFrame, on_error: str = "continue") -> int:
     return 0 if not failed else (1 if failed < n else 2)
 
 
-__all__ = ["CODES", "FAILURES", "Backend", "Keywords", "TransientError", "classify", "exit_code", "failure", "invoke", "outcome"]
+__all__ = ["CODES", "FAILURES", "Backend", "Keywords", "TransientError", "asker", "classify", "exit_code", "failure", "finished", "invoke", "outcome", "prepared"]

@@ -88,6 +88,8 @@ def _parser() -> argparse.ArgumentParser:
     made = command("experiment-run", "manifest")
     made.add_argument("--output")
     made.add_argument("--dry-run", action="store_true")
+    made.add_argument("--log", help="folder of the calls made so far, which are not made again; else the output with .calls after it")
+    made.add_argument("--retry-failed", action="store_true", help="ask again for what failed in the log")
     command("experiment-validate", "manifest", parents=())
     made = command("report", "records", parents=())
     made.add_argument("--format", choices=("text", "json", "csv"), default="text")
@@ -117,7 +119,9 @@ def _settings(args) -> config.Settings:
 
 def _options(args, s: config.Settings) -> dict:
     """What of the settings goes to every classification."""
-    options = {"vocabulary": get(s.taxonomy), "mode": s.taxonomy_mode, "partitions": s.concurrency if s.concurrency > 1 else None, "naming": s.naming_style}
+    # as many calls as are asked for are open at once: a partition for each core first, then several in each
+    parts = min(s.concurrency, SparkSession.active().sparkContext.defaultParallelism)
+    options = {"vocabulary": get(s.taxonomy), "mode": s.taxonomy_mode, "partitions": parts if s.concurrency > 1 else None, "width": -(-s.concurrency // parts), "naming": s.naming_style}
     options |= {"attempts": s.max_retries, "wait": s.retry_min_wait, "most_wait": s.retry_max_wait, "stop": s.on_error == "fail", "debug": s.capture_debug}
     return options | ({"template": prompts.load(s.prompt)[1]} if s.prompt else {})
 
@@ -188,7 +192,7 @@ def _experiment(spark: SparkSession, args) -> int:
     if args.dry_run:
         return 0
     known = {k: v for k, v in extra.items() if k in ("taxonomy", "taxonomy_mode", "sample_strategy", "max_pages", "max_tokens", "capture_debug", "debug_dir")}
-    s = config.load(args.config, **known, prompt=prompt)
+    s = config.load(args.config, **known, prompt=prompt, **{k: v for k in ("on_error", "concurrency") if (v := getattr(args, k)) is not None})
     _logging(s.log_level)
     plain = F.regexp_replace("path", "^file:/+", "/")
     read = files.pages(spark.read.format("binaryFile").load([os.path.abspath(d["path"]) for d in documents]))
@@ -198,12 +202,13 @@ def _experiment(spark: SparkSession, args) -> int:
     def make(provider: str, model: str):
         return _maker(args, config.replace(s, provider=provider, model=model))
 
-    options = {k: v for k, v in _options(args, s).items() if k not in ("stop", "debug")}
+    options = {k: v for k, v in _options(args, s).items() if k != "debug"}
     out = args.output or f"eval/results/{name}-{datetime.datetime.now():%Y%m%d-%H%M%S}.jsonl"
-    # a model's records are on disk before the next one is asked, so an interrupted experiment keeps them
-    for pair in models:
-        lines.write_records(experiments.run(loaded, [pair], make, name, _now(), expected, **options), out)
-    return experiments.summary(lines.records(spark, out)).first()["exit_code"]
+    # every call is in the log as it ends: an experiment that was broken off goes on where it stood
+    log = os.path.abspath(args.log or f"{out}.calls")
+    lines.write_records(experiments.run(loaded, models, make, name, _now(), expected, log=log, again=args.retry_failed, **options), out, "overwrite")
+    code = experiments.summary(lines.records(spark, out)).first()["exit_code"]
+    return 2 if code and s.on_error == "fail" else code
 
 
 def _harvest(spark: SparkSession, args) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,30 +19,37 @@ def matrix(documents: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
     return documents.crossJoin(F.broadcast(rows))
 
 
-def run(documents: DataFrame, models: list[tuple[str, str]], make, name: str, stamp: str, expected: DataFrame | None = None, **options) -> DataFrame:
+def run(documents: DataFrame, models: list[tuple[str, str]], make, name: str, stamp: str, expected: DataFrame | None = None, log: str | None = None, again: bool = False, **options) -> DataFrame:
     """Run records of every document with every model: one call each.
 
-    documents: as loaded, parsed once and held; make(provider, model): what makes a partition's backend; expected:
-    (document, expected map).  options go to ``classify``.  What fails is a record too.
+    documents: as loaded, parsed once and held; make(provider, model): what makes a backend; expected: (document,
+    expected map).  Models are rows, so the plan is the same for one and for many.  log: a folder in which every call's outcome
+    is kept as it ends; (document, provider, model) that are there are not asked again.  Without one, a folder of its own in the shared
+    folder.  again: failures of the log are asked again.  options go to ``calls.log`` (partitions, width, stop), to the asker and to
+    ``finished``.  What fails is a record too.
     """
-    from cartulary.classify import classify
+    from cartulary import calls, storage
+    from cartulary.classify import asker, finished, prepared
     from cartulary.operators.evaluate import strict_matches
+    from cartulary.vocabulary import get
 
     if len(models) > BROADCAST_ROWS:
         raise ValueError(f"more than {BROADCAST_ROWS} models")
-    parts = []
-    for provider, model in models:
-        done = classify(documents, make(provider, model), model=model, **options)
-        result = F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))])
-        parts.append(
-            done.select(
-                F.lit(name).alias("experiment"), F.lit(stamp).alias("timestamp"), F.col("path").alias("document"), F.lit(provider).alias("provider"), F.lit(model).alias("model"),
-                F.col("metrics.latency_ms").cast("int").alias("latency_ms"), (~F.col("error")).alias("success"), F.when(~F.col("error"), result).alias("result"), "error_code", "error_message",
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    spark, v = documents.sparkSession, options.pop("vocabulary", None) or get()
+    told = {k: options.pop(k) for k in ("template", "attempts", "wait", "most_wait") if k in options}
+    shape = {k: options.pop(k) for k in ("mode", "naming") if k in options}
+    ready = prepared(documents, options.pop("cap", 20_000)).withColumnRenamed("path", "document")
+    rows = spark.createDataFrame(list(dict.fromkeys(models)), "provider string, model string")
+    path = log or f"{storage.shared_folder(spark)}/calls-{uuid.uuid4().hex}"
+    logged = calls.log(ready, rows, path, asker(make, menu=v.menu(), **told), again=again, **options)
+    # a log may hold more than this experiment's pairs
+    asked = logged.join(F.broadcast(rows), ["provider", "model"], "left_semi").join(ready.select("document", "loader_latency_ms", "loader_backend"), "document").withColumnRenamed("document", "path")
+    done = finished(asked, v, keep=("provider", "model"), **shape)
+    result = F.create_map(*[x for f in FIELDS for x in (F.lit(f), F.col(f))])
+    out = done.select(
+        F.lit(name).alias("experiment"), F.lit(stamp).alias("timestamp"), F.col("path").alias("document"), "provider", "model",
+        F.col("metrics.latency_ms").cast("int").alias("latency_ms"), (~F.col("error")).alias("success"), F.when(~F.col("error"), result).alias("result"), "error_code", "error_message",
+    )
     none = F.lit(None).cast("map<string,string>")
     out = out.join(expected, "document", "left") if expected is not None else out.withColumn("expected", none)
     of = lambda c: {f: F.try_element_at(c, F.lit(f)) for f in FIELDS}

@@ -65,9 +65,9 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RECORD).option("mode", "FAILFAST").json(path)
 
 
-def write_records(df: DataFrame, path: str) -> None:
-    """Append, nulls kept."""
-    df.write.mode("append").option("ignoreNullFields", "false").json(path)
+def write_records(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Append, or what ``mode`` says; nulls kept."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_results(df: DataFrame, path: str) -> None:
