@@ -202,13 +202,14 @@ def _experiment(spark: SparkSession, args) -> int:
     def make(provider: str, model: str):
         return _maker(args, config.replace(s, provider=provider, model=model))
 
-    options = {k: v for k, v in _options(args, s).items() if k != "debug"}
+    # an experiment goes on after failures unless it is told not to
+    options = {k: v for k, v in _options(args, s).items() if k != "debug"} | {"stop": args.on_error == "fail"}
     out = args.output or f"eval/results/{name}-{datetime.datetime.now():%Y%m%d-%H%M%S}.jsonl"
     # every call is in the log as it ends: an experiment that was broken off goes on where it stood
     log = os.path.abspath(args.log or f"{out}.calls")
     lines.write_records(experiments.run(loaded, models, make, name, _now(), expected, log=log, again=args.retry_failed, **options), out, "overwrite")
     code = experiments.summary(lines.records(spark, out)).first()["exit_code"]
-    return 2 if code and s.on_error == "fail" else code
+    return 2 if code and args.on_error == "fail" else code
 
 
 def _harvest(spark: SparkSession, args) -> int:
