@@ -328,18 +328,95 @@ def splits(node):
 
 def test_tree_decides_by_words_links_and_neighbours():
     used = splits(html_text.tree())
-    assert {"words", "links"} <= used and used & {"before_words", "after_words"} and used & {"before_links", "after_links"}
+    assert {"words", "links", "mark"} <= used and used & {"before_words", "after_words"} and used & {"before_links", "after_links"}
+
+
+def shuffled_error(names):
+    """Share of the given pages' blocks that come out otherwise when these features are dealt out anew."""
+    found = [html_text.features(html_text.blocks(p)) for _, p in rows_of("pages", "page_id, html")]
+    whole, tree = np.concatenate(found), html_text.tree()
+    before = [html_text.judge(tree, r) for r in whole]
+    at = [html_text.FEATURES.index(n) for n in names]
+    other = whole.copy()
+    other[:, at] = other[np.random.default_rng(0).permutation(len(other))][:, at]
+    return np.mean([html_text.judge(tree, r) != v for r, v in zip(other, before, strict=True)])
+
+
+def test_words_links_and_neighbours_matter_on_the_given_pages():
+    assert shuffled_error(["words"]) > 0.005 and shuffled_error(["links"]) > 0.02 and shuffled_error(["words", "links"]) > 0.02
+    assert shuffled_error([n for n in html_text.FEATURES if n.startswith(("before", "after"))]) > 0.001
+
+
+UNMARKED = ("paragraphs", "divisions", "bare")
 
 
 def test_held_out_pages():
-    right = {0: [], 1: []}
+    counts = {f: np.zeros(3, int) for f in html_text.FRAMES}
     rows = html_text.SHAPED
     for k in range(0, len(rows), 3):
-        tree = html_text.grow(*html_text.labelled_blocks([*html_text.LABELLED, *html_text.shaped_pages(rows[:k] + rows[k + 3 :])]))
-        for n, page in enumerate(html_text.shaped_pages(rows[k : k + 3])):
-            x, y = html_text.labelled_blocks([page])
-            right[n % 2] += [html_text.judge(tree, r) == v for r, v in zip(x, y, strict=True)]
-    assert np.mean(right[1]) >= 0.97 and np.mean(right[0]) >= 0.8  # with marks; by words, links and neighbours alone
+        tree = html_text.grow(*html_text.labelled_blocks(html_text.table(rows[:k] + rows[k + 3 :])))
+        for frame in html_text.FRAMES:
+            x, y = html_text.labelled_blocks(html_text.shaped_pages(rows[k : k + 3], (frame,)))
+            said = np.array([html_text.judge(tree, r) for r in x])
+            counts[frame] += [(said & y).sum(), (said & ~y).sum(), (~said & y).sum()]
+    for marked in (True, False):
+        right, wrong, lost = sum(c for f, c in counts.items() if (f not in UNMARKED) == marked)
+        assert right / (right + wrong) >= (0.98 if marked else 0.9) and right / (right + lost) >= (0.96 if marked else 0.9)
+
+
+LONG = "Long words in a paragraph that goes on for quite a while, as the text of an article on some subject does in general, without any link at all in it."
+SHORT = " ".join(LONG.split()[:20])
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *[(f"<div class='{c}'><nav><a href='/'>Home</a></nav><article><h1>Title</h1><p>{LONG}</p><p>Yes.</p></article></div>", f"Title\n{LONG}\nYes.") for c in ("page has-sidebar", "site header-fixed", "research search", "menu-open", "with-ads")],
+        *[(f"<div class='{c}'><h1>Title of it</h1><p>{LONG}</p><p>{LONG}</p></div>", f"Title of it\n{LONG}\n{LONG}") for c in ("research search", "banner-history", "comments-policy essay", "notice", "related-work")],
+        (f"<article><p>{LONG}</p><div class='related-work'><p>{LONG}</p></div></article>", f"{LONG}\n{LONG}"),
+        (f"<h1>The title here</h1><p>{LONG}</p><article><p>{LONG}</p></article><footer>c 2020</footer>", f"The title here\n{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p><div class='related'><a href='x'>Read also this other story</a></div><p>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<article><p>{LONG}</p></article><nav><a href='x'>Next page</a></nav><p>{SHORT}</p>", f"{LONG}\n{SHORT}"),
+        (f"<p>The first <a href='1'>paragraph</a> has two <a href='2'>links</a> in its words and goes on like a text for a while.</p><p>{LONG}</p><p>{LONG}</p><p>Yes.</p>", f"The first paragraph has two links in its words and goes on like a text for a while.\n{LONG}\n{LONG}\nYes."),
+        (f"<article><p>{LONG}</p></article><section id='comments'><h3>2 comments</h3><article><p>{LONG[:90]}</p></article><p>Thanks!</p></section>", LONG),
+        (f"<form id='f' action='x'><div><a href='/'>Home</a></div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></form>", f"Title\n{LONG}\n{LONG}"),
+        (f"<article hidden><p>{LONG}</p></article><article><p>{SHORT}</p></article>", SHORT),
+    ],
+)
+def test_names_of_wrappers_and_furniture(page, text):
+    assert html_text.main_text(page, html_text.tree()) == text
+
+
+def test_features_by_brute_force():
+    """Words, links, marks, kinds and distances of flat pages, worked out from their parts."""
+    rng = random.Random(8)
+    for _ in range(40):
+        parts, page, article = [], "", rng.random() < 0.5
+        for i in range(rng.randrange(1, 9)):
+            words, links = rng.randrange(1, 30), rng.choice([0, 0, 1])
+            tag, mark = rng.choice([("p", 0.0), ("div", 0.0), ("h2", 0.0), ("footer", 1.0), ("div class='ad-box'", 1.0), ("div class='x has-ads'", 0.5)])
+            inside = article and 2 <= i <= 3
+            text = (f"<a href='x'>{' '.join(['w'] * links)}</a> " if links else "") + " ".join(["w"] * (words - links if links else words))
+            kind = 1 if tag == "h2" else 2 if tag == "p" else 0
+            page += "<article>" * (article and i == 2) + f"<{tag}>{text}</{tag.split()[0]}>" + "</article>" * (article and i == 3)
+            parts.append((words if words > links else links, links, mark, kind, inside))
+        held = [i for i, p in enumerate(parts) if p[4]]
+        got = html_text.features(html_text.blocks(page))
+        assert len(got) == len(parts)
+        for i, (words, links, mark, kind, _) in enumerate(parts):
+            row = dict(zip(html_text.FEATURES, got[i], strict=True))
+            assert row["words"] == words and row["links"] == min(1.0, links / words) and row["kind"] == kind and row["article"] == bool(held)
+            wrapper = mark > 0 and parts[i][4]  # holds most of its article
+            assert row["mark"] == mark or wrapper and row["mark"] == 0
+            for name, at in (("before", i - 1), ("after", i + 1), ("before2", i - 2), ("after2", i + 2)):
+                there = 0 <= at < len(parts)
+                assert row[f"{name}_words"] == (parts[at][0] if there else 0)
+                assert row[f"{name}_links"] == (min(1.0, parts[at][1] / parts[at][0]) if there else 0)
+            if held:
+                near = min(held, key=lambda h: (abs(h - i), h > i))
+                assert row["gap"] == max(-9, min(9, i - near))
+            else:
+                assert (row["from_start"], row["from_end"], row["gap"]) == (i, len(parts) - 1 - i, 0)
 
 
 def test_main_text_is_the_planted_article():
