@@ -142,6 +142,15 @@ about ### ### people and #,###,### more
 between #### and #### it grew ##.#%
 hash b#c###e###b#f###### of the block
 key a##b##c##d##e##f in hex
+token ##BC###E#### was found
+the digest ##A#F###C##E## of it
+secret AKIA##QX##ZT##LM##PR leaked
+password pw######## and ##hunter##
+serial AB-######-CD-#### here
+word ################ and more
+parts ###-####-### and ####-####-#### in stock
+account ########## balance ####
+license ##########-#### granted
 room ### floor ## tower #
 the ## and the ## of ####
 isbn ###-#-##-######-# in print
@@ -337,14 +346,32 @@ def _clusters(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def _passes(kind: int, s: str) -> bool:
-    if kind == 0:
-        return bool(re.search(r"@|[\[({](?:at|AT)[\])}]", s)) and bool(re.search(r"[A-Za-z]\W*$", s)) and ("." in s or "dot" in s.lower())
-    if kind == 1:
-        return is_ip(re.sub(r"[\[\]()]", "", s))
-    if kind == 2:
-        return is_card(s)
-    return 9 <= len(_digits(s)) <= 15
+#: What an added span of each kind may consist of, from its first character to its last.
+WHOLE = (
+    re.compile(r"[A-Za-z0-9._%+-]+\s?(?:@|[\[({](?:at|AT)[\])}])\s?[A-Za-z0-9-]+(?:\s?(?:\.|[\[({](?:dot|DOT|\.)[\])}])\s?[A-Za-z0-9-]+)*\s?(?:\.|[\[({](?:dot|DOT|\.)[\])}])\s?[A-Za-z]+"),
+    re.compile(r"[0-9]+(?:[\[(]?\.[\])]?[0-9]+){3}"),
+    re.compile(r"[0-9](?:[\x20-]?[0-9])+"),
+    re.compile(r"[+(]?[0-9](?:[\x20().-]{0,2}[0-9])+"),
+)
+#: The characters that such a span may begin and end with; others at its ends are cut off.
+FIRST = (LOCAL, frozenset("0123456789"), frozenset("0123456789"), frozenset("0123456789+("))
+
+
+def trimmed(kind: int, text: str, start: int, end: int) -> tuple[int, int] | None:
+    """The part of a decoded span that is its kind and nothing else, or None.
+
+    Letters can be no part of a number, and a number that is part of a longer word or key is none.
+    """
+    last = LOCAL - set("._%+-") if kind == 0 else FIRST[1]
+    while start < end and text[start] not in FIRST[kind]:
+        start += 1
+    while end > start and text[end - 1] not in last:
+        end -= 1
+    held = text[start:end]
+    if not WHOLE[kind].fullmatch(held) or (start and (text[start - 1].isalnum() or text[start - 1] == "_")) or (end < len(text) and (text[end].isalnum() or text[end] == "_")):
+        return None
+    good = is_ip(re.sub(r"[\[\]()]", "", held)) if kind == 1 else is_card(held) if kind == 2 else 9 <= len(_digits(held)) <= 15 if kind == 3 else True
+    return (start, end) if good else None
 
 
 def all_spans(texts: list[str], trained: Field) -> list[tuple[list[Span], list[Span]]]:
@@ -368,9 +395,9 @@ def all_spans(texts: list[str], trained: Field) -> list[tuple[list[Span], list[S
                 last = b
                 while last + 1 < len(labels) and labels[last + 1] == 2 + 2 * kind:
                     last += 1
-                s, e = starts[b], ends[last]
-                if _passes(kind, texts[i][s:e]) and not any(s < y and x < e for x, _, y in base):
-                    added.append((s, kind, e))
+                cut = trimmed(kind, texts[i], starts[b], ends[last])
+                if cut and not any(cut[0] < y and x < cut[1] for x, _, y in base):
+                    added.append((cut[0], kind, cut[1]))
     return found
 
 
