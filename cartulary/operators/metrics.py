@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cartulary.operators import prefix
+
 # Dollars for a million tokens in and out.
 PRICES = (
     ("gpt-4o", 2.50, 10.00),
@@ -62,10 +64,9 @@ def generation(df: DataFrame, tokens: str, accepted: str, long: int = 512, most_
     return df.agg(written.alias("written"), rejected.alias("rejected"), F.count_if(F.col(accepted) & (F.col(tokens) > long)).alias("long_documents"), (rejected > (written + rejected) * F.lit(most_rejected)).alias("warn"))
 
 
-def running_cost(df: DataFrame, order: str, amount: str, cap: float, *keys: str) -> DataFrame:
+def running_cost(df: DataFrame, order: str, amount: str, cap: float, *keys: str, per_task: int = prefix.PER_TASK) -> DataFrame:
     """Add ``running`` and keep what began before the sum passed ``cap``: the row that passes it is the last.
 
-    The sum follows one order, so within a key it is one task's; keys (say, runs) make it many.
+    The sum follows one order over all rows, or over those of each key (say, a run); see ``prefix.running``.
     """
-    over = (f"PARTITION BY {', '.join(keys)} " if keys else "") + f"ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    return df.withColumn("running", F.expr(f"sum({amount}) OVER ({over})")).where(F.col("running") - F.col(amount) <= cap)
+    return prefix.running(df, order, amount, keys, per_task=per_task).where(F.col("running") - F.col(amount) <= cap)
