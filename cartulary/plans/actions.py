@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from cartulary.functions import tags
+from cartulary.operators import prefix
+from cartulary.storage import held
 
 
 def tag_plan(df: DataFrame, mode: str, fields: tuple[str, ...] = ("domain", "category", "doctype")) -> DataFrame:
@@ -26,39 +28,43 @@ def tag_plan(df: DataFrame, mode: str, fields: tuple[str, ...] = ("domain", "cat
     return out.withColumn("description", tags.description(F.col("tags_added"), F.col("tags_removed")))
 
 
-def rename_plan(df: DataFrame, folder: str, target: str, order: str, mark: str = "-") -> DataFrame:
-    """Add ``new_name``: the k-th further file of a folder that wants a name gets -k before the extension."""
-    k = F.expr(f"row_number() OVER (PARTITION BY {folder}, {target} ORDER BY {order}) - 1")
-    base, ext = F.regexp_replace(target, r"(?<=.)\.[^.]+$", ""), F.regexp_extract(target, r"^.+(\.[^.]+)$", 1)
-    return df.withColumn("_k", k).withColumn("new_name", F.when(F.col("_k") > 0, F.concat(base, F.lit(mark), F.col("_k").cast("string"), ext)).otherwise(F.col(target))).drop("_k")
-
-
-def rename_all(df: DataFrame, folder: str, target: str, order: str, existing: DataFrame, mark: str = "-") -> DataFrame:
-    """``rename_plan`` that also keeps clear of names that exist, or that other rows want as they are.
+def rename_all(df: DataFrame, folder: str, target: str, order: str, existing: DataFrame | None = None, mark: str = "-", per_task: int = prefix.PER_TASK) -> DataFrame:
+    """Add ``new_name``: the first of a folder's rows that want a name gets it, the others that name with the next free suffix.
 
-    existing: (folder, name).  Each row that cannot have its own name gets the k-th free suffix of its folder and target:
-    suffixes that are taken are counted out, so no two rows and no file share a name, and no loop is needed.  A row whose
-    file already bears its name, or that name with a suffix (column ``own``, if there is one), keeps it.
+    existing: (folder, name) of files that are there.  A suffix is taken where such a file, or another row's wish, bears
+    it; no two rows and no file share a name.  A row whose file already bears its name, or that name with a suffix (column
+    ``own``, if there is one), keeps it.  The k-th row that needs a suffix gets k plus as many as are taken below
+    it: places among the rows, places among what is taken and the one between the other are running counts, so a name
+    that very many rows want is many tasks' work.
     """
     base, ext = F.regexp_replace(target, r"(?<=.)\.[^.]+$", ""), F.regexp_extract(target, r"^.+(\.[^.]+)$", 1)
-    rows = df.withColumns({"_base": base, "_ext": ext, "_own": F.col("own") if "own" in df.columns else F.lit(None).cast("string")})
-    held = existing.select(F.col("folder").alias("_folder"), F.col("name").alias("_name")).distinct()
-    wish = rows.select(F.col(folder).alias("_folder"), F.col(target).alias("_name"))
+    own = F.col("own") if "own" in df.columns else F.lit(None).cast("string")
+    # names may be costly to make, and are read several times
+    rows = held(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(folder).alias("_folder"), F.col(target).alias("_target"), F.col(order).alias("_order"), base.alias("_base"), ext.alias("_ext"), own.alias("_own")))
+    if existing is None:
+        existing = df.sparkSession.createDataFrame([], f"folder {df.schema[folder].dataType.simpleString()}, name string")
+    there = existing.select(F.col("folder").alias("_folder"), F.col("name").alias("_name")).distinct()
+    wish = rows.select("_folder", F.col("_target").alias("_name"))
+    suffix = rf"{re.escape(mark)}([1-9][0-9]{{0,8}})(\.[^.]+)?$"
     # its own name, or that with a suffix from an earlier time
-    bare = F.regexp_replace("_own", rf"{re.escape(mark)}[1-9][0-9]{{0,8}}(\.[^.]+)?$", "$1")
-    stays = F.coalesce((F.col("_own") == F.col(target)) | (bare == F.col(target)), F.lit(False))
-    rows = rows.join(held.withColumn("_held", F.lit(True)), (F.col(folder) == F.col("_folder")) & (F.col(target) == F.col("_name")), "left").drop("_folder", "_name")
-    rows = rows.withColumn("_stays", stays).withColumn("_seat", F.expr(f"row_number() OVER (PARTITION BY {folder}, {target}, _stays ORDER BY {order})"))
-    rows = rows.withColumn("_first", F.col("_stays") | (F.col("_held").isNull() & (F.col("_seat") == 1)))
-    need = rows.where("NOT _first").withColumn("_k", F.expr(f"row_number() OVER (PARTITION BY {folder}, {target} ORDER BY {order})"))
-    # suffixes of a (folder, target) that some file or other target bears; the k-th free one is k plus those at or below it
-    taken = held.unionByName(wish).distinct().withColumns({"_n": F.regexp_extract("_name", rf"^.+{re.escape(mark)}([1-9][0-9]{{0,8}})(\.[^.]+)?$", 1), "_base": F.regexp_replace("_name", rf"{re.escape(mark)}[1-9][0-9]{{0,8}}(\.[^.]+)?$", ""), "_ext": F.regexp_extract("_name", r"^.+(\.[^.]+)$", 1)}).where("_n <> ''")
-    spots = taken.groupBy(F.col("_folder").alias(folder), "_base", "_ext").agg(F.sort_array(F.collect_set(F.col("_n").cast("int"))).alias("_taken"))
-    placed = need.join(spots, [folder, "_base", "_ext"], "left")
-    free = F.aggregate(F.coalesce("_taken", F.array().cast("array<int>")), F.col("_k"), lambda k, t: F.when(t <= k, k + 1).otherwise(k))
-    placed = placed.withColumn("new_name", F.concat("_base", F.lit(mark), free.cast("string"), "_ext"))
-    kept = rows.where("_first").withColumn("new_name", F.when(F.col("_stays"), F.col("_own")).otherwise(F.col(target)))
-    return kept.select(*df.columns, "new_name").unionByName(placed.select(*df.columns, "new_name"))
+    bare = F.regexp_replace("_own", suffix, "$2")
+    stays = F.coalesce((F.col("_own") == F.col("_target")) | (bare == F.col("_target")), F.lit(False))
+    rows = rows.join(there.withColumnsRenamed({"_folder": "_f", "_name": "_n"}).withColumn("_held", F.lit(True)), F.col("_folder").eqNullSafe(F.col("_f")) & (F.col("_target") == F.col("_n")), "left").drop("_f", "_n")
+    rows = rows.withColumns({"_stays": stays, "_one": F.lit(1).cast("long")})
+    rows = held(prefix.running(rows, "_order", "_one", ("_folder", "_target", "_stays"), "_seat", per_task))
+    takes = F.col("_held").isNull() & (F.col("_seat") == 1)
+    kept = rows.where(F.col("_stays") | takes).select("_row", F.when(F.col("_stays"), F.col("_own")).otherwise(F.col("_target")).alias("new_name"))
+    keys = ("_folder", "_base", "_ext")
+    # the seat among those that need a suffix; where the name was free, its first seat has it
+    need = rows.where(~F.col("_stays") & ~takes).select("_row", *keys, (F.col("_seat") - F.col("_held").isNull().cast("int")).alias("_k"))
+    # suffixes that are taken; below the j-th of them, n, stand n - j free ones
+    names = there.unionByName(wish).distinct().where(F.col("_name").rlike(suffix))
+    taken = names.select("_folder", F.regexp_replace("_name", suffix, "").alias("_base"), F.regexp_extract("_name", suffix, 2).alias("_ext"), F.regexp_extract("_name", suffix, 1).cast("long").alias("_n"), F.lit(1).cast("long").alias("_one"))
+    free = prefix.running(taken, "_n", "_one", keys, "_j", per_task).select(F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), *keys, (F.col("_n") - F.col("_j") + 1).alias("_k"), F.lit(1).cast("long").alias("_one"))
+    both = free.unionByName(need.withColumn("_one", F.lit(0).cast("long"))).withColumn("_last", F.col("_one") == 0)
+    met = prefix.running(both, ["_k", "_last"], "_one", keys, "_passed", per_task).where("_last")
+    placed = met.select("_row", F.concat("_base", F.lit(mark), (F.col("_k") + F.col("_passed")).cast("string"), "_ext").alias("new_name"))
+    return kept.unionByName(placed).select(*[F.col("_row").getField(c).alias(c) for c in df.columns], "new_name")
 
 
 def first_match(results: DataFrame, paths: DataFrame, name: str = "original") -> DataFrame:

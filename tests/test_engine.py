@@ -82,7 +82,7 @@ def test_dashboard(spark):
 
 def test_plans(spark):
     rows = spark.createDataFrame([(1, "f", "a.pdf"), (2, "f", "a.pdf"), (3, "g", "a.pdf")], "n int, folder string, target string")
-    assert [r["new_name"] for r in actions.rename_plan(rows, "folder", "target", "n").orderBy("n").collect()] == ["a.pdf", "a-1.pdf", "a.pdf"]
+    assert [r["new_name"] for r in actions.rename_all(rows, "folder", "target", "n").orderBy("n").collect()] == ["a.pdf", "a-1.pdf", "a.pdf"]
     have = spark.createDataFrame([("financial", "banking", "statements")], "domain string, category string, doctype string")
     lack = {r["domain"]: r for r in coverage.state(have, 3).collect()}
     assert len(lack) == 16 and lack["financial"]["deficit"] == 2 and lack["financial"]["missing_categories"] == 6 and lack["food"]["documents"] == 0
