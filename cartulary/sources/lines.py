@@ -9,7 +9,11 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartulary.storage import held
+
 TRUTH = "filename string, domain string, category string, doctype string, vendor string, date string, subject string, notes string"
+#: Fields that an entry of ground truth must have.
+REQUIRED = ("filename", "domain", "category", "doctype")
 RECORD = (
     "experiment string, timestamp string, document string, provider string, model string, latency_ms int, success boolean, result map<string,string>, "
     "error_code string, error_message string, expected map<string,string>, matches map<string,boolean>, all_match boolean"
@@ -23,26 +27,50 @@ def _entries(raw: DataFrame) -> DataFrame:
     return rows.where("_bad IS NULL").drop("_bad")
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """A file's lines with their numbers; it is read whole, as ground truth is hand-made and small."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "raw"))
+#: Blocks of files up to which their table is broadcast.
+FEW_BLOCKS = 200_000
+
+
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw): the lines of text files with their numbers from 0, however large a file is.
+
+    Files are read in blocks by many tasks.  One pass counts each block's lines; a line's number is the lines of its file's
+    earlier blocks and its place in its own, as rows of a block come in order.
+    """
+    # rows of one read are numbered alike in both passes: blocks are dealt to tasks by sizes of files and settings alone
+    read = spark.read.option("lineSep", "\n").text(path)
+    raw = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
+    blocks = held(raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first")))
+    before = F.expr("coalesce(sum(n) OVER (PARTITION BY file ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    starts = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
+    few = F.broadcast(starts) if blocks.count() <= FEW_BLOCKS else starts
+    return raw.join(few, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "raw")
+
+
+def bad_lines(spark: SparkSession, path: str, shown: int = 80) -> DataFrame:
+    """(file, number, reason, start): what readers of ground truth pass over, with its number from 1: no object, or a field that is missing."""
+    some = numbered(spark, path).withColumn("raw", F.trim(F.regexp_replace("raw", r"\r$", ""))).where("raw <> '' AND NOT startswith(raw, '#')")
+    read = some.withColumn("r", F.from_json("raw", TRUTH + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
+    gaps = F.filter(F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in REQUIRED]), lambda x: x.isNotNull())
+    reason = F.when(F.col("r._bad").isNotNull(), "no object").when(F.size(gaps) > 0, F.concat(F.lit("missing: "), F.array_join(gaps, ", ")))
+    return read.select("file", (F.col("line") + 1).alias("number"), reason.alias("reason"), F.substring("raw", 1, shown).alias("start")).where("reason IS NOT NULL")
 
 
 def truth_of(raw: DataFrame) -> DataFrame:
     """Entries of numbered lines (line, raw), with their ``line``: blank, # and bad lines are skipped; of a repeated filename the last counts."""
-    good = _entries(raw).where("filename IS NOT NULL AND domain IS NOT NULL AND category IS NOT NULL AND doctype IS NOT NULL")
+    good = _entries(raw).where(" AND ".join(f"{c} IS NOT NULL" for c in REQUIRED))
     fields = [c for c in good.columns if c != "filename"]
     return good.groupBy("filename").agg(F.max_by(F.struct(*fields), "line").alias("r")).select("filename", "r.*")
 
 
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a JSONL file, as ``truth_of`` takes them from its lines."""
-    return truth_of(_numbered(spark, path)).drop("line")
+    return truth_of(numbered(spark, path)).drop("line")
 
 
 def rows(spark: SparkSession, path: str) -> DataFrame:
     """Entries of a ground-truth file read tolerantly: any line that is an object, with its number, repeats kept."""
-    return _entries(_numbered(spark, path))
+    return _entries(numbered(spark, path))
 
 
 def append(path: str, record: dict) -> None:
