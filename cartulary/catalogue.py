@@ -414,7 +414,7 @@ def q25_tag_plan(spark, sf_dir):
 @query(f"WITH {_dims()}, {PLACED}, r AS (SELECT o_orderkey, folder, regexp_replace(name, '-[0-9]+\\.pdf$', '.pdf') AS target FROM p), w AS (SELECT *, row_number() OVER (PARTITION BY folder, target ORDER BY o_orderkey) - 1 AS kk FROM r) SELECT o_orderkey, folder, CASE WHEN kk > 0 THEN regexp_replace(target, '\\.pdf$', '') || '-' || kk || '.pdf' ELSE target END AS new_name FROM w")
 def q26_rename_collisions(spark, sf_dir):
     rows = placed_(spark, sf_dir).select("o_orderkey", "folder", F.regexp_replace("name", r"-[0-9]+\.pdf$", ".pdf").alias("target"))
-    return actions.rename_plan(rows, "folder", "target", "o_orderkey").select("o_orderkey", "folder", "new_name")
+    return actions.rename_all(rows, "folder", "target", "o_orderkey").select("o_orderkey", "folder", "new_name")
 
 
 NAMES = ("openai/gpt-4o", "openai/gpt-4o-mini", "openai/gpt-4-turbo-2024", "ollama/gemma4:latest", "anthropic/claude-3-5-haiku-latest", "nobody/none", "gpt-4")
@@ -571,7 +571,7 @@ def q38_stream_classify(spark, sf_dir):
 
 
 def queries() -> dict:
-    from cartulary import catalogue_more  # noqa: F401, its queries add themselves
+    from cartulary import catalogue_more, catalogue_runs  # noqa: F401, their queries add themselves
 
     return dict(QUERIES)
 
