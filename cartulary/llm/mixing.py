@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 BLOCK, RANKED = 16, 2_000
 #: Sources up to which their table is broadcast.
 FEW = 50_000
+#: Slots up to which their table is broadcast (16 bytes each); blocks of a stretch, by which parts and phases meet.
+SLOTS, STRETCH = 100_000, 128
 POWER, TOTAL = 0.5, 1000
 
 
@@ -122,14 +124,20 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     few = F.broadcast if len(names) <= FEW else (lambda d: d)
     parted = keyed.join(few(sources), keyed["_s"].eqNullSafe(sources["_s"])).drop(sources["_s"]).withColumn("_part", F.least(part, F.col("_parts") - 1))
     held_by = parted.groupBy("_k", "_part").agg(F.count("*").alias("_n"))
-    before = held_by.select("_k", "_part", F.expr("sum(_n) OVER (PARTITION BY _k ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)").alias("_before"))
-    ranked = parted.withColumn("_rank", F.expr("row_number() OVER (PARTITION BY _k, _part ORDER BY shiftrightunsigned(_h, 1), _h)")).join(before, ["_k", "_part"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.coalesce("_before", F.lit(0))).withColumn("block", F.floor(F.col("_rank") / BLOCK))
+    before = held_by.select("_k", "_part", "_n", F.expr("coalesce(sum(_n) OVER (PARTITION BY _k ORDER BY _part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)").alias("_before"))
     span_rows = spark.createDataFrame(spans, "_phase int, _k int, _from long, _to long, _start long, _period long, _w long")
+    # parts, of which there is one for some thousand rows, meet the phases that their blocks are in; rows get those of their part
+    stretch = lambda first, last: F.explode(F.expr(f"sequence(({first}) div {STRETCH}, ({last}) div {STRETCH})")).alias("_at")
+    in_parts = before.select("_k", "_part", F.expr(f"_before div {BLOCK}").alias("_b0"), F.expr(f"(_before + _n - 1) div {BLOCK}").alias("_b1")).select("*", stretch("_b0", "_b1"))
+    in_spans = span_rows.select("*", stretch("_from", "_to - 1"))
+    one = F.struct("_phase", "_from", "_to", "_start", "_period", "_w")
+    met = in_parts.join(in_spans, ["_k", "_at"]).where("_from <= _b1 AND _to > _b0").groupBy("_k", "_part").agg(F.collect_set(one).alias("_spans"))
+    ranked = parted.withColumn("_rank", F.expr("row_number() OVER (PARTITION BY _k, _part ORDER BY shiftrightunsigned(_h, 1), _h)")).join(before.join(met, ["_k", "_part"]), ["_k", "_part"])
+    ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).withColumn("block", F.floor(F.col("_rank") / BLOCK))
+    own = F.expr("CASE WHEN size(_spans) = 1 THEN _spans[0] ELSE filter(_spans, s -> s._from <= block AND block < s._to)[0] END")
+    placed = ranked.withColumn("_span", own).select("row", "_k", "_rank", "block", "_span.*").withColumn("_i", F.col("block") - F.col("_from")).withColumn("_j", F.col("_i") % F.col("_w"))
     slot_rows = spark.createDataFrame(slots, "_phase int, _k int, _j long, _p long")
-    # both tables are bounded by sources and weights; Spark joins them otherwise where they are beyond its broadcast limit
-    placed = ranked.join(span_rows, ["_k"]).where("block >= _from AND block < _to").withColumn("_i", F.col("block") - F.col("_from")).withColumn("_j", F.col("_i") % F.col("_w"))
-    placed = placed.join(slot_rows, ["_phase", "_k", "_j"])
+    placed = placed.join(F.broadcast(slot_rows) if len(slots) <= SLOTS else slot_rows, ["_phase", "_k", "_j"])
     slot = F.expr("_start + _i div _w * _period + _p")
     return placed.select(
         *[F.col("row").getField(c).alias(c) for c in rest],

@@ -3,6 +3,7 @@
 import base64
 import collections
 import random
+import time
 import re
 import zlib
 
@@ -282,6 +283,28 @@ def test_mix_equals_a_simulation(spark, monkeypatch):
         assert [names[i] for i in order] == [None if x is None or x != x else x for x in first.source]
 
 
+def test_many_sources_and_one_of_most_rows(spark):
+    rows = [(i, f"text {i}", "large" if i % 3 else f"s{i % 1500}") for i in range(12_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    mixed = mixing.mix(frame)
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    # rows meet phases by nothing but their part
+    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+    got = mixed.toPandas().sort_values("place")
+    counts = {k: v for k, v in frame.groupBy("source").count().collect()}
+    names, held = sorted(counts), mixing.default_weights(counts)
+    order = plain_mix({i: -(-counts[s] // mixing.BLOCK) for i, s in enumerate(names)}, {i: held[s] for i, s in enumerate(names)})
+    assert len(got) == 12_000 and got.place.is_unique and [names[i] for i in order] == list(got.drop_duplicates("slot").source)
+
+
+def test_five_thousand_sources_are_scheduled_in_seconds():
+    blocks = {s: 1 + s % 9 for s in range(5000)} | {5000: 2_000_000}
+    began = time.time()
+    spans, slots = mixing.phases(blocks, mixing.default_weights({s: 16 * n for s, n in blocks.items()}))
+    assert time.time() - began < 60 and len(spans) <= sum(blocks.values())
+    assert sum(end - first for _, _, first, end, *_ in spans) == sum(blocks.values()) and len(slots) < 200_000
+
+
 def test_mix_edges(spark):
     rows = [(1, "a", "x"), (1, "a", "x"), (None, None, None), (2, "", "x")]
     frame = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("slot", F.lit("old"))
