@@ -33,3 +33,9 @@ def put(spark: SparkSession, path: str, content: str) -> None:
         out.write(bytearray(content.encode()))
     finally:
         out.close()
+
+
+def stands(spark: SparkSession, path: str) -> bool:
+    """Whether a file is there, asked of the file system that Spark reads it with."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
