@@ -77,6 +77,8 @@ class Asker:
     """Asks a model for one document, with bounded retries of what is transient.
 
     make: which backend a (provider, model) needs; each thread has its own, made once.  failure: code and message of an exception.
+    on_token: before the call that counts, a backend that can is asked for a stream, and what comes is handed on as it
+    comes; a stream that breaks off, or a sink that fails, changes nothing.
     """
 
     make: Callable[[str | None, str | None], Callable]
@@ -85,6 +87,7 @@ class Asker:
     attempts: int = 3
     wait: float = 0.0
     most_wait: float = 10.0
+    on_token: Callable[[str], None] | None = None
 
     def __post_init__(self):
         self.own = threading.local()
@@ -101,12 +104,22 @@ class Asker:
         answer, code, message = self._ask(content, provider, model)
         return Outcome(answer, code, message, 1000 * (time.monotonic() - began))
 
+    def _stream(self, backend, content: str) -> None:
+        if hasattr(backend, "stream"):
+            try:
+                for token in backend.stream(*self.render(content)):
+                    self.on_token(token)
+            except Exception:  # the call that counts tells what is wrong
+                return
+
     def _ask(self, content: str, provider: str | None, model: str | None) -> tuple[Answer | None, str | None, str | None]:
         held = self.own.__dict__.setdefault("backends", {})
         for tried in range(1, self.attempts + 1):
             try:
                 if (provider, model) not in held:
                     held[provider, model] = self.make(provider, model)()
+                if self.on_token is not None and tried == 1:
+                    self._stream(held[provider, model], content)
                 got = held[provider, model].answer(*self.render(content))
                 return (got if isinstance(got, Answer) else Answer(got)), None, None
             except TRANSIENT as e:

@@ -66,23 +66,23 @@ class Keywords:
         return plain_json.dumps({"domain": domain, "category": category, "doctype": pick(self.doctypes, "document"), "vendor": "unknown", "date": text.NO_DATE, "subject": " ".join(human.split()[:3])})
 
 
-def asker(make: Callable[[str | None, str | None], Callable[[], Backend]], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0) -> calls.Asker:
+def asker(make: Callable[[str | None, str | None], Callable[[], Backend]], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0, on_token: Callable[[str], None] | None = None) -> calls.Asker:
     """Asks with a template's two parts; make(provider, model): what makes a thread's backend."""
     system, human = prompts.split(template)
     system = prompts.render(system, menu, "")
-    return calls.Asker(make, lambda content: (system, prompts.render(human, menu, content)), failure, attempts, wait, most_wait)
+    return calls.Asker(make, lambda content: (system, prompts.render(human, menu, content)), failure, attempts, wait, most_wait, on_token)
 
 
-def invoke(df: DataFrame, make: Callable[[], Backend], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0, stop: bool = False, debug: bool = False, width: int = 1, sign: str | None = None) -> DataFrame:
+def invoke(df: DataFrame, make: Callable[[], Backend], template: str = prompts.DEFAULT, menu: str = "", attempts: int = 3, wait: float = 0.0, most_wait: float = 10.0, stop: bool = False, debug: bool = False, width: int = 1, sign: str | None = None, on_token: Callable[[str], None] | None = None) -> DataFrame:
     """(path, content, error_code, ...) -> with response, latency_ms and tokens.
 
     Each partition has up to ``width`` calls open, each of these with a backend of its own, and hands rows on as calls end.
     Transient failures are tried ``attempts`` times in all, waiting twice as long each time, from ``wait`` to
     ``most_wait`` seconds; what fails is a row with a code.  stop: after the first failure no more is asked, in the
     partition where it was and, if ``sign`` names a file in a folder that all tasks share, in every other; the rest are rows
-    that say so.  debug: also ``prompt``, what was asked.
+    that say so.  debug: also ``prompt``, what was asked.  on_token: see ``calls.Asker``; it runs in the workers.
     """
-    ask = asker(lambda provider, model: make, template, menu, attempts, wait, most_wait)
+    ask = asker(lambda provider, model: make, template, menu, attempts, wait, most_wait, on_token)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(row: tuple[pd.DataFrame, int]) -> calls.Outcome:
