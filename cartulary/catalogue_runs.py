@@ -7,13 +7,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cartulary import calls, storage
+from cartulary import calls, sql, storage
 from cartulary import catalogue as c
 from cartulary.backends import Answer, ApiError
 from cartulary.catalogue import query, table, values
 from cartulary.classify import asker
-from cartulary.operators import metrics, prefix
+from cartulary.operators import canonicalise, metrics, prefix
 from cartulary.sources import lines
+from cartulary.streaming import landing
 
 #: A template that hands a document on as it is.
 BARE = "# System Prompt\n{taxonomy_menu}\n# Human Prompt\n{document_content}"
@@ -85,3 +86,54 @@ def q60_bad_lines_by_number(spark, sf_dir):
     """Numbers of bad lines in large files of ground truth, which many tasks read in blocks."""
     bad = lines.bad_lines(spark, f"{truth_files_(spark, sf_dir)}/*")
     return bad.select(F.regexp_extract("file", "part=([^/]+)/", 1).alias("part"), "number", "reason")
+
+
+# ---- in SQL ----------------------------------------------------------------------------------------------------------
+
+
+@query(c.SQL["q03_suggested_path"])
+def q61_sql_filing_paths(spark, sf_dir):
+    """The paths of q03 with the registered SQL functions."""
+    sql.register(spark)
+    canonicalise.with_singular(canonicalise.canonicalise(c.filings_(spark, sf_dir))).createOrReplaceTempView("canonical_filings")
+    return spark.sql("""SELECT o_orderkey, file_name(singular, c_name, subject, day, '.PDF') AS suggested_filename,
+filing_path(canon_domain, canon_category, canon_doctype, singular, c_name, subject, day, '.PDF') AS suggested_path FROM canonical_filings""")
+
+
+@query(f"""WITH d AS (SELECT doc_id, ((length(text) + {c.PAGE - 1}) // {c.PAGE}) AS pages FROM documents), p AS (SELECT doc_id, pages, n AS page FROM d, unnest(range(1, pages + 1)) u(n))
+SELECT doc_id, strategy, page::INT AS page FROM p JOIN (VALUES ('full'), ('first_n'), ('bookends'), ('adaptive')) x(strategy) ON pages <= {c.MOST} OR strategy = 'full' OR (strategy = 'first_n' AND page <= {c.MOST})
+OR (strategy = 'bookends' AND (page <= {c.MOST - c.MOST // 2} OR page > pages - {c.MOST // 2})) OR (strategy = 'adaptive' AND (pages <= 5 OR (pages <= 20 AND page <= {c.MOST}) OR (pages > 20 AND (page <= {c.MOST - c.MOST // 2} OR page > pages - {c.MOST // 2}))))""")
+def q62_sql_sampled_pages(spark, sf_dir):
+    """The pages of q08 with the registered table function."""
+    sql.register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("all_documents")
+    return spark.sql(f"""WITH d AS (SELECT doc_id, CAST(ceil(length(text) / {c.PAGE}) AS INT) AS pages FROM all_documents WHERE length(text) > 0)
+SELECT doc_id, strategy, page FROM d CROSS JOIN (VALUES ('full'), ('first_n'), ('bookends'), ('adaptive')) AS x(strategy), LATERAL sampled_pages(pages, strategy, {c.MOST})""")
+
+
+# ---- as a stream -----------------------------------------------------------------------------------------------------
+
+FULL = 12  # of the fixed answers, those that lack nothing
+
+
+class Full(ByLength):
+    def answer(self, system: str, human: str) -> Answer:
+        if len(human) % REFUSED == 0:
+            raise ApiError("refused")
+        return Answer(json.dumps(dict(zip(c.COLUMNS, c.ANSWERS[len(human) % FULL], strict=True))))
+
+
+@query(f"""WITH {c._dims()}, n AS (SELECT doc_id, CASE WHEN length(coalesce(text, '')) > 20000 THEN 20023 ELSE length(coalesce(text, '')) END AS n FROM documents),
+a AS (SELECT n.doc_id, n.n, e.* FROM n JOIN (VALUES {values((k, *x) for k, x in enumerate(c.ANSWERS[:FULL]))}) e(k, {', '.join(c.COLUMNS)}) ON e.k = n.n % {FULL}), {c.canon_('a', 'x.*')}
+SELECT doc_id || '.txt' AS original, 1::BIGINT AS calls, CASE WHEN n % {REFUSED} = 0 THEN 'LLM_API_ERROR' END AS error_code, CASE WHEN n % {REFUSED} <> 0 THEN coalesce(cd, 'other') END AS domain, CASE WHEN n % {REFUSED} <> 0 THEN subject END AS subject FROM k""")
+def q63_stream_of_late_copies(spark, sf_dir):
+    """Every document arrives twice, the second time after the first has been classified: one call and one row each."""
+    base = f"{storage.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    none = F.lit(None).cast("string")
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"), none.alias("error_code"), none.alias("error_message"))
+    for minutes in (0, 10):
+        docs.withColumn("time", F.lit("2024-01-01 00:00:00").cast("timestamp") + F.expr(f"INTERVAL {minutes} MINUTES")).write.mode("append").parquet(f"{base}/landing")
+        arriving = landing.unique_within(spark.readStream.schema("path string, content string, error_code string, error_message string, time timestamp").parquet(f"{base}/landing"), "time")
+        landing.classified(arriving, base, lambda p, m: lambda: Full(0), template=BARE, width=4).trigger(availableNow=True).start().awaitTermination()
+    made = spark.read.schema(calls.RECORD).json(f"{base}/calls").groupBy(F.col("document").alias("original")).agg(F.count("*").alias("calls"))
+    return landing.results(spark, base).join(made, "original").select("original", "calls", "error_code", "domain", "subject")
