@@ -22,8 +22,8 @@ from cartulary.functions import tags, text
 from cartulary.functions.json import parsed
 from cartulary.operators import canonicalise, dashboard, evaluate, experiments, harvest
 from cartulary.plans import actions, coverage
-from cartulary.sources import files, lines
-from cartulary.storage import held
+from cartulary.sources import files, lines, structure
+from cartulary.storage import held, spooled
 from cartulary.vocabulary import get
 
 GATE = 0.5
@@ -81,6 +81,9 @@ def _parser() -> argparse.ArgumentParser:
     made.add_argument("--dry-run", action="store_true")
     made = command("organise", "folder")
     made.add_argument("--dry-run", action="store_true")
+    made.add_argument("--store", choices=sorted(actions.STORES), help="also tag what has been renamed, in this store")
+    made.add_argument("--tag-fields", default="domain,category,doctype")
+    made.add_argument("--tag-mode", choices=tags.MODES, default="add")
     made = command("evaluate")
     made.add_argument("folder", nargs="?", help="else the folder documents beside the ground truth")
     made.add_argument("--ground-truth", required=True)
@@ -136,10 +139,13 @@ def _classified(spark: SparkSession, args, documents: DataFrame | None = None) -
     s = _settings(args)
     _logging(s.log_level)
     documents = files.documents(spark, args.folder, s.sample_strategy, s.max_pages) if documents is None else documents
+    if s.debug_dir and s.debug_structure:
+        documents = held(documents)  # parsed once, though it is asked about and looked into
+        structure.outline(documents.where("error_code IS NULL"), "path").write.mode("append").json(f"{s.debug_dir.rstrip('/')}/structure")
     results = held(classify(documents, _maker(args, s), model=s.model if args.backend == "provider" else None, **_options(args, s)))
     if s.debug_dir and (s.capture_debug or s.debug_structure):
         captured = results.select("path", "error_code", *(("prompt", "response") if s.capture_debug else ()), *(("metrics",) if s.debug_structure else ()))
-        captured.write.mode("append").option("ignoreNullFields", "false").json(s.debug_dir)
+        captured.write.mode("append").option("ignoreNullFields", "false").json(f"{s.debug_dir.rstrip('/')}/calls")
     _tell("classified", folder=getattr(args, "folder", None), documents=results.count())
     return results, s
 
@@ -265,7 +271,7 @@ def _tag(spark: SparkSession, results: DataFrame, args, s: config.Settings) -> i
     good = results.where("NOT error")
     store = actions.STORES[args.store]() if args.store else None
     if store:
-        stored = spark.createDataFrame([(r[0], store.read(r[0])) for r in good.select("path").toLocalIterator()], schema)
+        stored = _stored_tags(spark, good, store)
     else:
         stored = spark.read.schema(schema).json(args.tags) if args.tags else spark.createDataFrame([], schema)
     tagger = actions.Tagger(store, args.tag_mode, fields)
@@ -273,24 +279,52 @@ def _tag(spark: SparkSession, results: DataFrame, args, s: config.Settings) -> i
     _print(plan.select("path", "final_tags", "description"))
     if store is None or args.dry_run:
         return outcome(results, s.on_error)
-    lost = [d for d in actions.carry_out(plan, tagger) if not d.success]
-    for d in lost:
-        print(json.dumps(vars(d)), file=sys.stderr)
+    lost = 0
+    for d in actions.carry_out(plan, tagger):
+        if not d.success:
+            lost += 1
+            print(json.dumps(vars(d)), file=sys.stderr)
     total = results.count()
-    return actions.totals(total, total - good.count(), len(lost))
+    return actions.totals(total, total - good.count(), lost)
+
+
+def _stored_tags(spark: SparkSession, rows: DataFrame, store) -> DataFrame:
+    """(path, existing_tags) of files, read where the driver sees them."""
+    read = ({"path": r[0], "existing_tags": store.read(r[0])} for r in rows.select("path").toLocalIterator())
+    return spooled(spark, read, "path string, existing_tags array<string>")
+
 
+def _organise(spark: SparkSession, results: DataFrame, args) -> int:
+    """Rename in place and, if there is a store, tag what bears its name now; then say how many were renamed, tagged and passed over.
 
-def _organise(results: DataFrame, args) -> int:
-    """Rename in place, then say how many were done and passed over.  Files are renamed where the driver sees them."""
+    Files are renamed and tagged where the driver sees them, one after the other as rows come.
+    """
     good, total = results.where("NOT error"), results.count()
-    renamer = actions.Renamer()
-    done = list(actions.carry_out(renamer.plan(good), renamer, args.dry_run)) if total else []
-    for d in done:
-        print(json.dumps({k: v for k, v in vars(d).items() if v is not None}))
-    lost = sum(not d.success for d in done)
-    renamed = sum(d.success and d.description != "already named" for d in done)
-    print(json.dumps({"processed": total, "renamed": renamed, "skipped": total - len(done) + lost, "dry_run": args.dry_run}))
-    return actions.totals(total, total - len(done), lost)
+    renamer, tagged, plan = actions.Renamer(), {}, None
+    counts = dict.fromkeys(("renamed", "tagged", "done", "lost", "untagged"), 0)
+    if total:
+        plan = renamer.plan(good)
+    store = actions.STORES[args.store]() if getattr(args, "store", None) else None
+    if plan is not None and store is not None:
+        tagger = actions.Tagger(store, args.tag_mode, tuple(args.tag_fields.split(",")))
+        # tags stand with a file as it was before; they are planned at once with its name
+        plan = plan.join(_stored_tags(spark, good, store), "path", "left")
+        plan = tagger.plan(plan.withColumnRenamed("description", "_renames")).withColumnsRenamed({"description": "tag_changes", "_renames": "description"})
+        tagged = {"action": tagger}
+    for row in plan.toLocalIterator() if plan is not None else ():
+        d = actions.one(row, renamer, args.dry_run)
+        shown = {k: v for k, v in vars(d).items() if v is not None}
+        counts["done"] += 1
+        counts["lost"] += not d.success
+        counts["renamed"] += d.success and d.description != "already named"
+        if tagged and d.success:
+            t = actions.one(actions.moved(row), tagged["action"], args.dry_run)
+            counts["tagged" if t.success else "untagged"] += 1
+            shown |= {"tags": row["tag_changes"]} if t.success else {"tag_error": t.error}
+        print(json.dumps(shown))
+    skipped = total - counts["done"] + counts["lost"]
+    print(json.dumps({"processed": total, "renamed": counts["renamed"], "tagged": counts["tagged"], "skipped": skipped, "dry_run": args.dry_run}))
+    return actions.totals(total, total - counts["done"], counts["lost"] + counts["untagged"])
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -311,7 +345,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         args.folder = args.folder or os.path.join(os.path.dirname(args.ground_truth), "documents")
     results, s = _classified(spark, args)
     if args.command == "organise":
-        return _organise(results, args)
+        return _organise(spark, results, args)
     if args.command == "evaluate":
         rows = held(evaluate.compared(results.where("NOT error").withColumnRenamed("original", "filename"), lines.ground_truth(spark, args.ground_truth)))
         score = evaluate.accuracy(rows)

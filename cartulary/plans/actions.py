@@ -177,13 +177,24 @@ def register(name: str, action: type) -> None:
     ACTIONS[name.lower()] = action
 
 
+def one(row: Row, action: Action, dry_run: bool = False) -> Done:
+    """A planned row, carried out; a dry run only says what would be done.  A failure is what became of it."""
+    try:
+        return Done(row["path"], True, row["description"]) if dry_run else action.execute(row)
+    except Exception as e:
+        return Done(row["path"], False, row["description"], f"{type(e).__name__}: {e}")
+
+
+def moved(row: Row) -> Row:
+    """The row of a file under the name that it has been given."""
+    folder, slash, _ = row["path"].rpartition("/")
+    return Row(**(row.asDict(False) | {"path": f"{folder}{slash}{row['new_name']}"}))
+
+
 def carry_out(plan: DataFrame, action: Action, dry_run: bool = False) -> Iterator[Done]:
-    """Each row of a plan, carried out as it comes; a dry run only says what would be done.  A failure ends nothing."""
+    """Each row of a plan, carried out as it comes.  A failure ends nothing."""
     for row in plan.toLocalIterator():
-        try:
-            yield Done(row["path"], True, row["description"]) if dry_run else action.execute(row)
-        except Exception as e:
-            yield Done(row["path"], False, row["description"], f"{type(e).__name__}: {e}")
+        yield one(row, action, dry_run)
 
 
 def totals(results: int, failed: int, action_errors: int) -> int:

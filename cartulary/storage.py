@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +41,21 @@ def stands(spark: SparkSession, path: str) -> bool:
     """Whether a file is there, asked of the file system that Spark reads it with."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
+def spooled(spark: SparkSession, rows: Iterable[dict], schema: str, size: int = 1_000_000) -> DataFrame:
+    """Rows that only the driver can make, one after the other, as a DataFrame: they go to the shared folder in pieces and are never all in memory."""
+    path = f"{shared_folder(spark)}/spooled-{uuid.uuid4().hex}.jsonl"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out, held_lines, n = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True), [], 0
+    try:
+        for row in rows:
+            held_lines.append(json.dumps(row).encode() + b"\n")
+            n += len(held_lines[-1])
+            if n >= size:
+                out.write(bytearray(b"".join(held_lines)))
+                held_lines, n = [], 0
+        out.write(bytearray(b"".join(held_lines)))
+    finally:
+        out.close()
+    return spark.read.schema(schema).json(path)

@@ -10,7 +10,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from cartulary import backends, cli, config, prompts
+from cartulary import backends, cli, config, prompts, storage
 from cartulary.classify import classify, failure, invoke
 from cartulary.functions import paths, text
 from cartulary.operators import dashboard, evaluate, experiments, harvest, metrics
@@ -422,3 +422,43 @@ def test_plan_command(spark, tmp_path, capsys):
     assert len(capsys.readouterr().out.splitlines()) == 20
     assert cli.main(["plan", str(truth)], spark) == 0
     assert '"subject"' in capsys.readouterr().out
+
+
+def test_organise_with_tags_and_counters(spark, tmp_path, capsys):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    for n in ("one", "two"):
+        (docs / f"{n}.txt").write_text("financial banking statement")
+    (docs / "bad.pdf").write_bytes(b"x")
+    store = actions.AttributeTags()
+    try:
+        store.write(str(docs / "one.txt"), ["mine"])
+    except OSError:
+        pytest.skip("no extended attributes here")
+    argv = ["organise", str(docs), "--store", "attributes", "--tag-fields", "domain,doctype"]
+    assert cli.main([*argv, "--dry-run"], spark) == 1
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"processed": 3, "renamed": 2, "tagged": 2, "skipped": 1, "dry_run": True}
+    assert (docs / "one.txt").exists() and store.read(str(docs / "one.txt")) == ["mine"]
+    assert cli.main(argv, spark) == 1
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"processed": 3, "renamed": 2, "tagged": 2, "skipped": 1, "dry_run": False}
+    found = {p.name: store.read(str(p)) for p in docs.iterdir() if p.suffix == ".txt"}
+    assert len(found) == 2 and "one.txt" not in found
+    assert sorted(map(len, found.values())) == [2, 3] and all("financial" in t for t in found.values())
+    assert cli.main(argv, spark) == 1
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {"processed": 3, "renamed": 0, "tagged": 2, "skipped": 1, "dry_run": False}
+
+
+def test_structure_beside_the_results(spark, tmp_path, capsys):
+    docs, debug = tmp_path / "docs", tmp_path / "debug"
+    docs.mkdir()
+    (docs / "a.md").write_text("# Financial\n\nA banking statement.\n\n- one\n- two\n")
+    assert cli.main(["classify", str(docs), "--debug-dir", str(debug), "--debug-structure", "--capture-debug"], spark) == 0
+    rows = spark.read.json(f"{debug}/structure").collect()
+    assert [n["kind"] for n in json.loads(rows[0]["structure"])] == ["heading", "paragraph", "list", "item", "item"]
+    assert spark.read.json(f"{debug}/calls").first()["prompt"]
+
+
+def test_spooled_rows(spark):
+    rows = storage.spooled(spark, ({"path": f"é{i}\n", "tags": ["a"] * (i % 3)} for i in range(500)), "path string, tags array<string>", size=1000)
+    assert {r["path"]: len(r["tags"]) for r in rows.collect()} == {f"é{i}\n": i % 3 for i in range(500)}
+    assert storage.spooled(spark, [], "path string").count() == 0
