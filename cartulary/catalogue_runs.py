@@ -13,7 +13,7 @@ from cartulary.backends import Answer, ApiError
 from cartulary.catalogue import query, table, values
 from cartulary.classify import asker
 from cartulary.operators import canonicalise, metrics, prefix
-from cartulary.sources import lines
+from cartulary.sources import lines, structure
 from cartulary.streaming import landing
 
 #: A template that hands a document on as it is.
@@ -137,3 +137,25 @@ def q63_stream_of_late_copies(spark, sf_dir):
         landing.classified(arriving, base, lambda p, m: lambda: Full(0), template=BARE, width=4).trigger(availableNow=True).start().awaitTermination()
     made = spark.read.schema(calls.RECORD).json(f"{base}/calls").groupBy(F.col("document").alias("original")).agg(F.count("*").alias("calls"))
     return landing.results(spark, base).join(made, "original").select("original", "calls", "error_code", "domain", "subject")
+
+
+@query("""SELECT doc_id, sum(length(coalesce(text, ''))) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS of_all,
+sum(length(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS of_source FROM documents""")
+def q64_characters_so_far(spark, sf_dir):
+    """How many characters all documents, and those of a source, hold up to each one."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"))
+    of_all = prefix.running(rows, "doc_id", "n", out="of_all")
+    return prefix.running(of_all, "doc_id", "n", ("source",), "of_source", per_task=10_000).select("doc_id", "of_all", "of_source")
+
+
+_BLOCK = r"<(h1|p|li|div|footer)\b[^>]*>((?:[^<]|<br>|</?[ab]\b[^>]*>)*)"
+
+
+@query(rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script\b.*?</script>', '', 'g'), '(?s)<style\b.*?</style>', '', 'g'), '(?s)<title\b.*?</title>', '', 'g'), '(?s)<!--.*?-->', '', 'g') AS body FROM pages),
+x AS (SELECT page_id, unnest(regexp_extract_all(body, '{_BLOCK}', 1)) AS tag, unnest(regexp_extract_all(body, '{_BLOCK}', 2)) AS raw FROM b),
+t AS (SELECT page_id, CASE tag WHEN 'h1' THEN 'heading' WHEN 'p' THEN 'paragraph' WHEN 'li' THEN 'item' ELSE 'text' END AS kind, {c.strip_(f"regexp_replace({c.references_("regexp_replace(regexp_replace(raw, '<br>', ' ', 'g'), '<[^>]*>', '', 'g')")}, '{c.WS}+', ' ', 'g')")} AS text FROM x)
+SELECT page_id, kind, count(*) AS n, sum(length(text))::BIGINT AS chars FROM t WHERE text <> '' GROUP BY ALL UNION ALL SELECT page_id, 'list', len(regexp_extract_all(body, '<ul')), 0 FROM b WHERE contains(body, '<ul')""")
+def q65_page_structure(spark, sf_dir):
+    """Nodes of the pages' trees by kind, and the characters that they hold."""
+    found = structure.nodes(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", "html")
+    return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
