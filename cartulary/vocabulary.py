@@ -36,101 +36,281 @@ itineraries journals leases letters licenses listings manuals maps menus notices
 policies portfolios presentations quotes receipts recipes records references referrals reports reservations resumes returns
 statements titles trusts warranties wills
 """
-# Aliases, by what they stand for.
-DOMAIN_ALIASES = """
-housing: apartment lease real_estate realestate rental rentals
-legal: attorney law lawyer
-household: auto automobile car truck vehicle vehicles
-financial: banking finance finances money
-utilities: bills
-education: college school university
-medical: doctor health healthcare hospital
-government: federal gov govt state
-property: home house
-career: job work
-lifestyle: travel
-personal: non_profit nonprofit
-"""
-CATEGORY_ALIASES = """
-career job_search: interviewing resume
-career documentation: docs
-career expense: receipts purchases spending purchase
-career compensation: billing
-reference documentation: manual
-property mortgage: agreement
-property improvement: home_improvement home_improvements
-property maintenance: repairs home_repairs termination_of_service
-property hoa: association condo
-property rental: lease housing
-property expense: receipts purchases spending purchase
-housing rental: agreement apartment lease
-housing property: real_estate mortgage home
-personal identity: goals
-personal membership: annual_report
-personal expense: purchase
-personal travel: traveling
-financial banking: bank checking savings account account_information account_statement accounting statement transaction transfer transfer_money correspondence
-financial credit: credit_card credit_cards cards credit_card_statement
-financial investment: stocks bonds brokerage equities
-financial retirement: 401k ira pension distribution
-financial tax: taxes irs
-financial loan: loan_documents
-financial payment: payment_services billing compensation
-medical expense: bills
-medical claim: claims
-medical prescription: rx medications
-medical lab_result: labs tests
-medical primary_care: annual_examination exam visit
-medical mental_health: behavior_modification
-medical payment: billing
-insurance auto: car vehicle
-insurance home: homeowners property
-insurance health: medical
-insurance payment: billing
-lifestyle travel: trip vacation trips trip_itinerary traveling
-lifestyle planning: travel_planning career job_search
-lifestyle expense: receipts purchases spending purchase gift_giving
-lifestyle interest: training
-lifestyle volunteering: volunteer_programming
-pets expense: receipts purchases spending
-household expense: receipts purchases spending
-household registration: vehicle_registration_renewal
-household insurance: vehicle_related_policies
-household vehicle: vehicle_service_records
-education expense: receipts purchases spending tuition
-food expense: purchase
-"""
+# Aliases and what they stand for.
+DOMAIN_ALIASES = {
+    "apartment": "housing",
+    "lease": "housing",
+    "real_estate": "housing",
+    "realestate": "housing",
+    "rental": "housing",
+    "rentals": "housing",
+    "attorney": "legal",
+    "law": "legal",
+    "lawyer": "legal",
+    "auto": "household",
+    "automobile": "household",
+    "car": "household",
+    "truck": "household",
+    "vehicle": "household",
+    "vehicles": "household",
+    "banking": "financial",
+    "finance": "financial",
+    "finances": "financial",
+    "money": "financial",
+    "bills": "utilities",
+    "college": "education",
+    "school": "education",
+    "university": "education",
+    "doctor": "medical",
+    "health": "medical",
+    "healthcare": "medical",
+    "hospital": "medical",
+    "federal": "government",
+    "gov": "government",
+    "govt": "government",
+    "state": "government",
+    "home": "property",
+    "house": "property",
+    "job": "career",
+    "work": "career",
+    "travel": "lifestyle",
+    "non_profit": "personal",
+    "nonprofit": "personal",
+}
+CATEGORY_ALIASES = {
+    "career": {
+        "interviewing": "job_search",
+        "resume": "job_search",
+        "docs": "documentation",
+        "receipts": "expense",
+        "purchases": "expense",
+        "spending": "expense",
+        "purchase": "expense",
+        "billing": "compensation",
+    },
+    "reference": {
+        "manual": "documentation",
+    },
+    "property": {
+        "agreement": "mortgage",
+        "home_improvement": "improvement",
+        "home_improvements": "improvement",
+        "repairs": "maintenance",
+        "home_repairs": "maintenance",
+        "termination_of_service": "maintenance",
+        "association": "hoa",
+        "condo": "hoa",
+        "lease": "rental",
+        "housing": "rental",
+        "receipts": "expense",
+        "purchases": "expense",
+        "spending": "expense",
+        "purchase": "expense",
+    },
+    "housing": {
+        "agreement": "rental",
+        "apartment": "rental",
+        "lease": "rental",
+        "real_estate": "property",
+        "mortgage": "property",
+        "home": "property",
+    },
+    "personal": {
+        "goals": "identity",
+        "annual_report": "membership",
+        "purchase": "expense",
+        "traveling": "travel",
+    },
+    "financial": {
+        "bank": "banking",
+        "checking": "banking",
+        "savings": "banking",
+        "account": "banking",
+        "account_information": "banking",
+        "account_statement": "banking",
+        "accounting": "banking",
+        "statement": "banking",
+        "transaction": "banking",
+        "transfer": "banking",
+        "transfer_money": "banking",
+        "correspondence": "banking",
+        "credit_card": "credit",
+        "credit_cards": "credit",
+        "cards": "credit",
+        "credit_card_statement": "credit",
+        "stocks": "investment",
+        "bonds": "investment",
+        "brokerage": "investment",
+        "equities": "investment",
+        "401k": "retirement",
+        "ira": "retirement",
+        "pension": "retirement",
+        "distribution": "retirement",
+        "taxes": "tax",
+        "irs": "tax",
+        "loan_documents": "loan",
+        "payment_services": "payment",
+        "billing": "payment",
+        "compensation": "payment",
+    },
+    "medical": {
+        "bills": "expense",
+        "claims": "claim",
+        "rx": "prescription",
+        "medications": "prescription",
+        "labs": "lab_result",
+        "tests": "lab_result",
+        "annual_examination": "primary_care",
+        "exam": "primary_care",
+        "visit": "primary_care",
+        "behavior_modification": "mental_health",
+        "billing": "payment",
+    },
+    "insurance": {
+        "car": "auto",
+        "vehicle": "auto",
+        "homeowners": "home",
+        "property": "home",
+        "medical": "health",
+        "billing": "payment",
+    },
+    "lifestyle": {
+        "trip": "travel",
+        "vacation": "travel",
+        "trips": "travel",
+        "trip_itinerary": "travel",
+        "traveling": "travel",
+        "travel_planning": "planning",
+        "career": "planning",
+        "job_search": "planning",
+        "receipts": "expense",
+        "purchases": "expense",
+        "spending": "expense",
+        "purchase": "expense",
+        "gift_giving": "expense",
+        "training": "interest",
+        "volunteer_programming": "volunteering",
+    },
+    "pets": {
+        "receipts": "expense",
+        "purchases": "expense",
+        "spending": "expense",
+    },
+    "household": {
+        "receipts": "expense",
+        "purchases": "expense",
+        "spending": "expense",
+        "vehicle_registration_renewal": "registration",
+        "vehicle_related_policies": "insurance",
+        "vehicle_service_records": "vehicle",
+    },
+    "education": {
+        "receipts": "expense",
+        "purchases": "expense",
+        "spending": "expense",
+        "tuition": "expense",
+    },
+    "food": {
+        "purchase": "expense",
+    },
+}
 #: Beside these, every doctype's singular is its alias.
-DOCTYPE_ALIASES = """
-reservations: boat_reservation bus_reservation event_reservation flight_reservation food_establishment_reservation lodging_reservation rental_car_reservation reservation_package taxi_reservation train_reservation ticket tickets
-receipts: order pay_bill payment payment_receipt purchase transaction
-agreements: contract contracts service_agreement mortgage
-statements: bank_statement account_statement monthly_statement closing_docs settlement_statement hud1 hoa_dues hoa_bill billing_statement medical_billing_statement
-letters: correspondence mail
-notices: notification alert reminder request_for_termination_of_service
-forms: document paperwork w2 w-2 1099
-policies: insurance_policy coverage insurance
-certificates: cert certification credential
-reports: assessment summary analysis patient_care_summary discharge_summary
-records: history log shot_record call_notes service_record
-estimates: proposal
-quotes: bid
-manuals: owner_manual
-guides: instructions how_to
-returns: 1040
-deeds: property_deed
-titles: car_title vehicle_title
-licenses: drivers_license registration
-recipes: cookbook
-resumes: cv
-itineraries: travel_plan
-paystubs: pay_stub paycheck earnings_statement
-leases: rental_agreement apartment_lease rental_lease lease_agreement
-listings: property_listing mls_listing real_estate_listing job_listing job_posting
-offers: purchase_offer real_estate_offer
-confirmations: claim_confirmation payment_confirmation payment_scheduled transfer_money_confirmation
-references: article list webpage
-"""
+DOCTYPE_ALIASES = {
+    "boat_reservation": "reservations",
+    "bus_reservation": "reservations",
+    "event_reservation": "reservations",
+    "flight_reservation": "reservations",
+    "food_establishment_reservation": "reservations",
+    "lodging_reservation": "reservations",
+    "rental_car_reservation": "reservations",
+    "reservation_package": "reservations",
+    "taxi_reservation": "reservations",
+    "train_reservation": "reservations",
+    "ticket": "reservations",
+    "tickets": "reservations",
+    "order": "receipts",
+    "pay_bill": "receipts",
+    "payment": "receipts",
+    "payment_receipt": "receipts",
+    "purchase": "receipts",
+    "transaction": "receipts",
+    "contract": "agreements",
+    "contracts": "agreements",
+    "service_agreement": "agreements",
+    "mortgage": "agreements",
+    "bank_statement": "statements",
+    "account_statement": "statements",
+    "monthly_statement": "statements",
+    "closing_docs": "statements",
+    "settlement_statement": "statements",
+    "hud1": "statements",
+    "hoa_dues": "statements",
+    "hoa_bill": "statements",
+    "billing_statement": "statements",
+    "medical_billing_statement": "statements",
+    "correspondence": "letters",
+    "mail": "letters",
+    "notification": "notices",
+    "alert": "notices",
+    "reminder": "notices",
+    "request_for_termination_of_service": "notices",
+    "document": "forms",
+    "paperwork": "forms",
+    "w2": "forms",
+    "w-2": "forms",
+    "1099": "forms",
+    "insurance_policy": "policies",
+    "coverage": "policies",
+    "insurance": "policies",
+    "cert": "certificates",
+    "certification": "certificates",
+    "credential": "certificates",
+    "assessment": "reports",
+    "summary": "reports",
+    "analysis": "reports",
+    "patient_care_summary": "reports",
+    "discharge_summary": "reports",
+    "history": "records",
+    "log": "records",
+    "shot_record": "records",
+    "call_notes": "records",
+    "service_record": "records",
+    "proposal": "estimates",
+    "bid": "quotes",
+    "owner_manual": "manuals",
+    "instructions": "guides",
+    "how_to": "guides",
+    "1040": "returns",
+    "property_deed": "deeds",
+    "car_title": "titles",
+    "vehicle_title": "titles",
+    "drivers_license": "licenses",
+    "registration": "licenses",
+    "cookbook": "recipes",
+    "cv": "resumes",
+    "travel_plan": "itineraries",
+    "pay_stub": "paystubs",
+    "paycheck": "paystubs",
+    "earnings_statement": "paystubs",
+    "rental_agreement": "leases",
+    "apartment_lease": "leases",
+    "rental_lease": "leases",
+    "lease_agreement": "leases",
+    "property_listing": "listings",
+    "mls_listing": "listings",
+    "real_estate_listing": "listings",
+    "job_listing": "listings",
+    "job_posting": "listings",
+    "purchase_offer": "offers",
+    "real_estate_offer": "offers",
+    "claim_confirmation": "confirmations",
+    "payment_confirmation": "confirmations",
+    "payment_scheduled": "confirmations",
+    "transfer_money_confirmation": "confirmations",
+    "article": "references",
+    "list": "references",
+    "webpage": "references",
+}
 
 
 def singular(plural: str) -> str:
@@ -192,11 +372,11 @@ class Vocabulary:
 
 
 def household() -> Vocabulary:
-    domains = {alias: target for target, aliases in _lines(DOMAIN_ALIASES) for alias in aliases} | {d: d for d in DOMAINS.split()}
-    categories = {(head.split()[0], alias): head.split()[1] for head, aliases in _lines(CATEGORY_ALIASES) for alias in aliases}
+    domains = DOMAIN_ALIASES | {d: d for d in DOMAINS.split()}
+    categories = {(domain, alias): target for domain, own in CATEGORY_ALIASES.items() for alias, target in own.items()}
     categories |= {(domain, c): c for domain, own in _lines(CATEGORIES) for c in own}
     plural = DOCTYPES.split()
-    doctypes = {alias: target for target, aliases in _lines(DOCTYPE_ALIASES) for alias in aliases} | {singular(p): p for p in plural} | {p: p for p in plural}
+    doctypes = DOCTYPE_ALIASES | {singular(p): p for p in plural} | {p: p for p in plural}
     return Vocabulary("household", domains, categories, doctypes, {p: singular(p) for p in plural})
 
 
