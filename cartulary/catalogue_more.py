@@ -136,10 +136,12 @@ def q50_not_yet_written(spark, sf_dir):
     return coverage.not_yet(planned, name("customer", "c_name"), name("supplier", "s_name")).select("o_orderkey", "filename")
 
 
-@query(f"""WITH {c._dims()}, t AS (SELECT canonical AS term FROM ds UNION SELECT one FROM ds) SELECT raw AS term, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains FROM dc WHERE raw = canonical AND raw IN (SELECT term FROM t) AND raw NOT IN ('agreement') GROUP BY 1""")
+@query(f"""WITH {c._dims()}, {c.DOCS}, t AS (SELECT canonical AS term FROM ds UNION SELECT one FROM ds), s AS (SELECT raw AS term, string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains FROM dc WHERE raw = canonical AND raw IN (SELECT term FROM t) AND raw NOT IN ('agreement') GROUP BY 1),
+u AS (SELECT term, count(*) AS n FROM (SELECT {c.norm_('category')} AS term FROM a UNION ALL SELECT {c.norm_('doctype')} FROM a) GROUP BY ALL) SELECT term, domains, coalesce(n, 0) AS n FROM s LEFT JOIN u USING (term)""")
 def q51_shared_terms(spark, sf_dir):
-    """Of the vocabulary alone, so of no table."""
-    return coverage.shared_terms(get(), spark, ("agreement",))
+    """Terms that are categories and doctypes, and how many answers about the documents use them as either."""
+    used = c.docs_(spark, sf_dir).select(F.explode(F.array(text.normalise(F.col("category")), text.normalise(F.col("doctype")))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return coverage.shared_terms(get(), spark, ("agreement",)).join(used, "term", "left").select("term", "domains", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("""SELECT count_if(event_type <> 'error') AS written, count_if(event_type = 'error') AS rejected, count_if(event_type <> 'error' AND user_id % 1000 > 512) AS long_documents, count_if(event_type = 'error') > count(*) * 0.1 AS warn FROM events""")
@@ -170,10 +172,8 @@ def q55_first_mistakes(spark, sf_dir):
     return spark.createDataFrame([(x, more) for x in lines], "line string, more long")
 
 
-@query("SELECT event_type AS model, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY ALL ORDER BY 1")
+@query("""SELECT 'model' AS kind, coalesce(source || '/', '') || lang AS name, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY ALL UNION ALL SELECT 'document', doc_id::VARCHAR, count(*) FROM documents WHERE lang IS NOT NULL GROUP BY ALL""")
 def q56_distinct_models(spark, sf_dir):
-    """Models and documents of a report, each sorted: here events by type."""
-    rows = table(spark, sf_dir, "events").select(F.lit(None).cast("string").alias("provider"), F.col("event_type").alias("model"), F.lit("d").alias("document"))
-    models, _ = experiments.distinct(rows)
-    counts = rows.groupBy("model").agg(F.count("*").alias("n"))
-    return spark.createDataFrame([(m,) for m in models], "model string").join(counts, "model")
+    """Models and documents of a report: here sources and languages, and the documents."""
+    rows = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.col("source").alias("provider"), F.col("lang").alias("model"), F.col("doc_id").cast("string").alias("document"))
+    return experiments.names(rows)

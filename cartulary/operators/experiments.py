@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 FIELDS = ("domain", "category", "doctype", "vendor", "date", "subject")
 BROADCAST_ROWS = 10_000
+#: Rows of any one list in a report.
+REPORTED = 100_000
 
 
 def matrix(documents: DataFrame, models: list[tuple[str, str]]) -> DataFrame:
@@ -121,16 +123,26 @@ def mismatches(records: DataFrame) -> DataFrame:
     return wrong.select("document", "provider", "model", F.explode("matches").alias("field", "right"), "expected", "result").where("NOT right").select("document", "provider", "model", "field", F.try_element_at("expected", "field").alias("expected"), F.try_element_at("result", "field").alias("got"))
 
 
-def distinct(records: DataFrame) -> tuple[list[str], list[str]]:
-    """The models (provider/model) and the documents of some records, each sorted; an experiment's arguments, so few."""
-    names = lambda c: [r[0] for r in records.select(c).where("x IS NOT NULL").distinct().orderBy("x").collect()]
-    return names(F.concat_ws("/", "provider", "model").alias("x")), names(F.col("document").alias("x"))
+def names(records: DataFrame) -> DataFrame:
+    """(kind, name, n): the models (provider/model) and the documents of some records, and how many records each has."""
+    model, document = F.struct(F.lit("model").alias("kind"), F.concat_ws("/", "provider", "model").alias("name")), F.struct(F.lit("document").alias("kind"), F.col("document").alias("name"))
+    each = records.select(F.explode(F.array(model, document)).alias("x")).select("x.*")
+    return each.where("name IS NOT NULL").groupBy("kind", "name").agg(F.count("*").alias("n"))
+
+
+def listed(df: DataFrame, most: int = REPORTED) -> list:
+    """Rows for a report that a person reads; more than ``most`` are an error, and belong in a table."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a report: write them as a table instead (names, mismatches, csv_rows)")
+    return rows
 
 
 def json_report(records: DataFrame) -> dict:
     """The report as one object: counts, models, documents, accuracy by model and by field, latency, mistakes."""
-    models, documents = distinct(records)
-    rows = lambda df: [r.asDict() for r in df.collect()]
+    known = names(records)
+    models, documents = ([r["name"] for r in listed(known.where(F.col("kind") == k).orderBy("name"))] for k in ("model", "document"))
+    rows = lambda df: [r.asDict() for r in listed(df)]
     first = records.select("experiment", "timestamp").first()
     head = {"experiment": first and first["experiment"], "timestamp": first and first["timestamp"], "models": models, "documents": documents}
     return head | {
