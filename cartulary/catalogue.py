@@ -6,7 +6,6 @@ length; both sides read the same list.
 
 from __future__ import annotations
 
-import json as plain_json
 import uuid
 from functools import reduce
 
@@ -443,43 +442,45 @@ def q28_running_cost_cutoff(spark, sf_dir):
     return metrics.running_cost(rows, "event_id", "cents", 2_000_000_000, "model")
 
 
-RUNS = (
-    # run_id, folder, file, model, domain, category, vendor, order, held
-    ("r1", "20260429-baseline", "gemma4_docling.json", "gemma4:latest", 0.875, 0.4, 0.788, 1, 1),
-    ("r2", "2026-04-30-real-world", "gemma4_unstructured.json", "gemma4:latest", 0.545, 0.455, None, 2, 1),
-    ("r3", "post-audit-20260501", "gemma4.json", "a-model-with-a-very-long-name:latest", None, None, None, 3, 1),
-    ("r4", "undated-structured-real-world", "x_docling.json", "gemma4:latest", 0.7, 0.3, 0.2, 4, 1),
-    ("r1", "20260429-baseline", "gemma4_docling.json", "gemma4:latest", 0.1, 0.1, 0.1, 5, 0),
-    ("r5", "20260503-picture-ocr-real-world", "a_docling.json", "a-model-with-a-very-long-name:latest", 0.5455, 0.364, 0.273, 6, 0),
-    ("r6", "20260503-more", "gemma4_docling.json", "gemma4:latest", 0.7625, 0.5625, 0.825, 7, 0),
-    ("r7", "20260503-again", "gemma4_docling.json", "gemma4:latest", 0.77, None, None, 8, 0),
-)
-_RUNS = f"""runs AS (SELECT run_id, folder, file, model, d::DOUBLE AS domain_accuracy, c::DOUBLE AS category_accuracy, v::DOUBLE AS vendor_accuracy, run_order, held,
+#: Folder of a run, by the language of its documents; others are in the last one.
+FOLDERS = {"en": "20260429-baseline", "fr": "2026-04-30-real-world", "de": "post-audit-20260501", "es": "20260503-picture-ocr-real-world", None: "undated-structured-real-world"}
+_FOLDER = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in FOLDERS.items() if k) + f" ELSE '{FOLDERS[None]}' END"
+#: A run is a source's documents of one language: its accuracies stand for shares of texts by their length.
+_RUNS = f"""g AS (SELECT coalesce(source, 'a source without any name') AS model, lang, {_FOLDER} AS folder, CASE WHEN count(*) % 2 = 0 THEN 'gemma4_docling.json' ELSE 'x.json' END AS file, count_if(length(text) % 3 = 0) / count(*)::DOUBLE AS d, count_if(length(text) % 2 = 0) / count(*)::DOUBLE AS c FROM documents GROUP BY ALL),
+z AS (SELECT model || '-' || coalesce(lang, '') AS run_id, folder, file, model, d, c, CASE WHEN lang <> 'fr' THEN d END AS v, 1 AS run_order, 1 AS held FROM g UNION ALL SELECT model || '-' || coalesce(lang, ''), folder, file, model, c, d, c, 2, 0 FROM g WHERE lang IN ('en', 'de') UNION ALL SELECT 'new-' || model || '-' || coalesce(lang, ''), folder, file, model, c, c, NULL, 3, 0 FROM g),
+runs AS (SELECT run_id, folder, file, model, d AS domain_accuracy, c AS category_accuracy, v AS vendor_accuracy, run_order, held,
 CASE WHEN regexp_extract(file, '_([a-z]+)\\.json$', 1) IN ('docling', 'unstructured') THEN regexp_extract(file, '_([a-z]+)\\.json$', 1) ELSE 'unknown' END AS loader,
 CASE WHEN contains(folder, 'real-world') OR contains(folder, 'post-audit') OR contains(folder, 'realworld') THEN 'real-world' ELSE 'synthetic' END AS corpus,
 CASE WHEN regexp_matches(folder, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN regexp_extract(folder, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') WHEN regexp_matches(folder, '[0-9]{{8}}') THEN regexp_replace(regexp_extract(folder, '[0-9]{{8}}'), '(....)(..)(..)', '\\1-\\2-\\3') ELSE 'unknown' END AS date,
 CASE WHEN contains(folder, 'picture-ocr') THEN 'picture-region-ocr' WHEN contains(folder, 'structured') AND contains(folder, 'real-world') THEN 'structured-regions' WHEN contains(folder, 'post-audit') THEN 'full-page-ocr' END AS loader_variant
-FROM (VALUES {values(RUNS)}) z(run_id, folder, file, model, d, c, v, run_order, held)), ok AS (SELECT * FROM runs WHERE coalesce(domain_accuracy, category_accuracy, vendor_accuracy) IS NOT NULL AND date <> 'unknown'),
+FROM z), ok AS (SELECT * FROM runs WHERE coalesce(domain_accuracy, category_accuracy, vendor_accuracy) IS NOT NULL AND date <> 'unknown'),
 merged AS (SELECT * FROM ok WHERE held = 1 UNION ALL SELECT * FROM ok WHERE held = 0 AND run_id NOT IN (SELECT run_id FROM runs WHERE held = 1))"""
 
 
-def runs_(spark) -> DataFrame:
+def runs_(spark, sf_dir) -> DataFrame:
     """Held runs, as a dashboard keeps them, and found ones, written as the files of run folders and read from these."""
-    schema = "run_id string, folder string, file string, model string, domain_accuracy double, category_accuracy double, vendor_accuracy double, run_order int"
-    rows = {k: [r[:-1] for r in RUNS if r[-1] == k] for k in (0, 1)}
+    docs, lang = table(spark, sf_dir, "documents"), F.col("lang")
+    folder = reduce(lambda c, kv: c.when(lang == kv[0], kv[1]), [kv for kv in FOLDERS.items() if kv[0]][1:], F.when(lang == "en", FOLDERS["en"])).otherwise(FOLDERS[None])
+    share = lambda k: (F.count_if(F.length("text") % k == 0) / F.count("*")).alias(f"of{k}")
+    groups = docs.groupBy(F.coalesce("source", F.lit("a source without any name")).alias("model"), "lang").agg(F.count("*").alias("n"), share(3), share(2))
+    groups = groups.withColumns({"folder": folder, "file": F.when(F.col("n") % 2 == 0, "gemma4_docling.json").otherwise("x.json"), "own": F.concat("model", F.lit("-"), F.coalesce("lang", F.lit("")))})
+    none = F.lit(None).cast("double")
+    run = lambda name, d, c, v, order: groups.select(name.alias("run_id"), "folder", "file", "model", "lang", d.alias("domain_accuracy"), c.alias("category_accuracy"), v.alias("vendor_accuracy"), F.lit(order).alias("run_order"))
+    of2, of3 = F.col("of2"), F.col("of3")
+    held = run(F.col("own"), of3, of2, F.when(lang != "fr", of3), 1).drop("lang").withColumns({c: none for c in ("doctype_accuracy", "date_accuracy", "runtime_seconds", "wallclock_s")})
+    again = run(F.col("own"), of2, of3, of2, 2).where(lang.isin("en", "de")).unionByName(run(F.concat(F.lit("new-"), "own"), of2, of2, none, 3)).drop("lang")
+    # a file for each run, of which there are as many as sources have languages
     root = f"{storage.shared_folder(spark)}/runs-{uuid.uuid4().hex}"
-    for run_id, folder, file, model, domain, category, vendor, order in rows[0]:
-        body = {"run_id": run_id, "model": model, "domain_accuracy": domain, "category_accuracy": category, "vendor_accuracy": vendor, "run_order": order, "documents": [{"file": "private"}]}
-        storage.put(spark, f"{root}/{folder}/{file}", plain_json.dumps(body))
+    body = F.to_json(F.struct(*[c for c in again.columns if c not in ("folder", "file")], F.array(F.struct(F.lit("private").alias("file"))).alias("documents")))
+    for r in again.select("folder", "file", "run_id", body.alias("body")).toLocalIterator():
+        storage.put(spark, f"{root}/{r['folder']}/{uuid.uuid5(uuid.NAMESPACE_URL, r['run_id']).hex}_{r['file']}", r["body"])
     found = dashboard.described(lines.run_folders(spark, root, f"run_id string, run_order int, {dashboard.RUN}"))
-    none = F.lit(None).cast("double")
-    held = spark.createDataFrame(rows[1], schema).withColumns({c: none for c in ("doctype_accuracy", "date_accuracy", "runtime_seconds", "wallclock_s")})
     return dashboard.merged(dashboard.described(held), found)
 
 
 @query(f"WITH {_RUNS} SELECT run_id, date, corpus, model, loader, loader_variant, domain_accuracy FROM merged")
 def q29_dashboard_merge(spark, sf_dir):
-    return runs_(spark).select("run_id", "date", "corpus", "model", "loader", "loader_variant", "domain_accuracy")
+    return runs_(spark, sf_dir).select("run_id", "date", "corpus", "model", "loader", "loader_variant", "domain_accuracy")
 
 
 DATES = ("2026-04-29", "2026-04-30", "2026-05-03")
@@ -488,7 +489,7 @@ DATES = ("2026-04-29", "2026-04-30", "2026-05-03")
 @query(f"""WITH {_RUNS}, s AS (SELECT CASE WHEN length(model) > 22 THEN substr(model, 1, 20) || '…' ELSE model END || ' + ' || loader || CASE WHEN loader_variant IS NOT NULL THEN ' (' || loader_variant || ')' ELSE '' END AS series, date, domain_accuracy AS v, run_order FROM merged)
 SELECT series, {', '.join(f"floor(max_by(v, run_order) FILTER (date = '{d}') * 1000 + 0.5) / 10 AS {quoted(d).replace(chr(39), chr(34))}" for d in DATES)} FROM s GROUP BY series""")
 def q30_dashboard_series_pivot(spark, sf_dir):
-    return dashboard.pivot(runs_(spark), "domain_accuracy", list(DATES))
+    return dashboard.pivot(runs_(spark, sf_dir), "domain_accuracy", list(DATES))
 
 
 @query("""WITH r AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '{"domain": "financial", "category": "banking", "doctype": "bill", "vendor": "V' || user_id || '", "date": "20240101", "subject": "s"}' WHEN 2 THEN '{"domain": "financial", "category": 5, "doctype": "bill", "vendor": "v", "date": "20240101", "subject": "s"}' ELSE 'not json' END AS response FROM events)
