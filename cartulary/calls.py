@@ -228,7 +228,7 @@ class LogWriter(DataSourceWriter):
                     out, lines, files = system.open_output_stream(f"{name}-{files:04d}.jsonl", buffer_size=None), 0, files + 1
                 told = {t: getattr(got.answer, t, None) for t in TOKENS}
                 record = {k: row[k] for k in KEYS} | {"response": got.answer and got.answer.text, "error_code": got.code, "error_message": got.message, "latency_ms": got.latency_ms, **told, "ended": f"{time.time():.6f}"}
-                out.write(json.dumps(record).encode() + b"\n")
+                out.write(json.dumps({k: v for k, v in record.items() if v is not None}).encode() + b"\n")
                 out.flush()
                 lines += 1
                 if lines >= self.roll:
@@ -258,15 +258,25 @@ def _sink(writer: LogWriter) -> type[DataSource]:
     return CallLog
 
 
+def _logged(path: str) -> bool:
+    """Whether a log has any record files."""
+    system, folder = opened(path)
+    return any(i.base_name.startswith("calls-") for i in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)))
+
+
+def _raw(spark: SparkSession, path: str) -> DataFrame:
+    """All lines of a log that are whole."""
+    return spark.read.schema(RECORD).option("pathGlobFilter", "calls-*.jsonl").json(path).where("document IS NOT NULL AND ended IS NOT NULL")
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records of a log, one for each (document, provider, model): the first to end, should there be two.
 
     A line that a kill cut off isn't a record.
     """
-    system, folder = opened(path)
-    if system.get_file_info(folder).type == fs.FileType.NotFound:
+    if not _logged(path):
         return spark.createDataFrame([], RECORD)
-    raw = spark.read.schema(RECORD).option("pathGlobFilter", "calls-*.jsonl").json(path).where("document IS NOT NULL AND ended IS NOT NULL")
+    raw = _raw(spark, path)
     rest = [c for c in raw.columns if c not in KEYS]
     return raw.groupBy(*KEYS).agg(F.min_by(F.struct(*rest), F.col("ended").cast("double")).alias("r")).select(*KEYS, "r.*")
 
@@ -279,12 +289,17 @@ def log(documents: DataFrame, models: DataFrame, path: str, ask: Asker, width: i
     for what has failed before; the old records are rewritten without failures first.
     """
     spark = documents.sparkSession
-    done = read(spark, path)
     if again:
-        _drop_failures(spark, done, path)
-        done = read(spark, path)
-    pairs = documents.select("document", "content", "error_code", "error_message").crossJoin(F.broadcast(models.select("provider", "model")))
-    todo = pairs.join(done.select(*KEYS), list(KEYS), "left_anti").select("document", "content", "provider", "model", "error_code", "error_message")
+        _drop_failures(spark, read(spark, path), path)
+    asked = [F.struct(F.lit(p).alias("provider"), F.lit(m).alias("model")) for p, m in models.select("provider", "model").distinct().collect()]
+    every = F.array(*asked) if asked else F.array().cast("array<struct<provider:string,model:string>>")
+    todo = documents.select("document", "content", "error_code", "error_message")
+    if _logged(path):
+        # a document meets what it has been asked once, and its text is dealt once, however many models there are
+        had = _raw(spark, path).groupBy(F.col("document").alias("_document")).agg(F.collect_set(F.struct("provider", "model")).alias("_had"))
+        todo = todo.join(had, F.col("document") == F.col("_document"), "left")
+        every = F.array_except(every, F.coalesce("_had", F.array().cast("array<struct<provider:string,model:string>>")))
+    todo = todo.select("document", "content", "error_code", "error_message", F.explode(every).alias("_to")).select("document", "content", "_to.provider", "_to.model", "error_code", "error_message")
     todo = todo.repartition(partitions) if partitions else todo
     run = uuid.uuid4().hex[:12]
     writer = LogWriter(path, run, ask, width, Stop(f"{path}/_stopped-{run}") if stop else None, roll)
@@ -300,7 +315,7 @@ def _drop_failures(spark: SparkSession, done: DataFrame, path: str) -> None:
     if not old:
         return
     kept, name = f"{path}/_kept-{uuid.uuid4().hex[:8]}", f"calls-kept-{uuid.uuid4().hex[:8]}"
-    done.where("error_code IS NULL").write.option("ignoreNullFields", "false").json(kept)
+    done.where("error_code IS NULL").write.json(kept)
     _, inside = opened(kept)
     for n, info in enumerate(i for i in system.get_file_info(fs.FileSelector(inside)) if i.base_name.startswith("part-")):
         system.move(info.path, f"{folder}/{name}-{n:06d}.jsonl")
