@@ -108,8 +108,9 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     """Every row with ``block`` (of its source), ``slot``, ``release`` and ``due`` (slots of its phase) and ``place``, the order to read in."""
     spark, new = df.sparkSession, ("block", "slot", "release", "due", "place")
     rest = [c for c in df.columns if c not in new]
-    # the columns of ``df`` travel in one, so that none meets a name of these plans
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(source).alias("_s"), F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit(""))).alias("_h"))
+    # the columns of ``df`` travel under numbers, so that none meets a name of these plans and unread ones are pruned
+    held_as = {c: f"_c{i}" for i, c in enumerate(rest)}
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in held_as.items()], F.col(source).alias("_s"), F.xxhash64(F.col(doc_id).cast("string"), F.coalesce(F.col(text), F.lit(""))).alias("_h"))
     keyed = df
     counted = keyed.groupBy("_s").count().collect()  # a row for each source
     counts = {r["_s"]: r["count"] for r in counted}
@@ -135,12 +136,12 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", doc_
     ranked = parted.withColumn("_rank", F.expr("row_number() OVER (PARTITION BY _k, _part ORDER BY shiftrightunsigned(_h, 1), _h)")).join(before.join(met, ["_k", "_part"]), ["_k", "_part"])
     ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).withColumn("block", F.floor(F.col("_rank") / BLOCK))
     own = F.expr("CASE WHEN size(_spans) = 1 THEN _spans[0] ELSE filter(_spans, s -> s._from <= block AND block < s._to)[0] END")
-    placed = ranked.withColumn("_span", own).select("row", "_k", "_rank", "block", "_span.*").withColumn("_i", F.col("block") - F.col("_from")).withColumn("_j", F.col("_i") % F.col("_w"))
+    placed = ranked.withColumn("_span", own).withColumns({c: F.col("_span").getField(c) for c in ("_phase", "_from", "_start", "_period", "_w")}).withColumn("_i", F.col("block") - F.col("_from")).withColumn("_j", F.col("_i") % F.col("_w"))
     slot_rows = spark.createDataFrame(slots, "_phase int, _k int, _j long, _p long")
     placed = placed.join(F.broadcast(slot_rows) if len(slots) <= SLOTS else slot_rows, ["_phase", "_k", "_j"])
     slot = F.expr("_start + _i div _w * _period + _p")
     return placed.select(
-        *[F.col("row").getField(c).alias(c) for c in rest],
+        *[F.col(n).alias(c) for c, n in held_as.items()],
         "block",
         slot.alias("slot"),
         F.expr("_start + _i * _period div _w").alias("release"),
