@@ -13,7 +13,7 @@ from cartulary.backends import Answer, ApiError
 from cartulary.catalogue import query, table, values
 from cartulary.classify import asker
 from cartulary.operators import canonicalise, metrics, prefix
-from cartulary.sources import lines, structure
+from cartulary.sources import lines, paged, structure
 from cartulary.streaming import landing
 
 #: A template that hands a document on as it is.
@@ -159,3 +159,13 @@ def q65_page_structure(spark, sf_dir):
     """Nodes of the pages' trees by kind, and the characters that they hold."""
     found = structure.nodes(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html", "html")
     return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+@query("SELECT coalesce(lang, 'none') AS part, count(*) + 1 AS pages, sum(length(coalesce(text, '')) + 1)::BIGINT AS chars, max(length(coalesce(text, ''))) AS longest FROM documents GROUP BY ALL")
+def q66_paged_files(spark, sf_dir):
+    """Documents as pages of large files, one for each language, read page by page: pages begin with the end of the line before."""
+    rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("part"), F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "\\f", " "), F.lit("\f")).alias("value"))
+    path = f"{storage.shared_folder(spark)}/paged-{uuid.uuid4().hex}"
+    rows.repartition("part").write.partitionBy("part").text(path)
+    read = paged.pages(spark, path, task=1_000_000).select(F.regexp_extract("path", "part=([^/]+)/", 1).alias("part"), F.length("content").cast("long").alias("n"), F.length(F.regexp_replace("content", "^\n", "")).cast("long").alias("own"))
+    return read.groupBy("part").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"), F.max("own").alias("longest"))
