@@ -48,3 +48,31 @@ often AS (SELECT key, max(doc_id) AS keeper FROM each WHERE length(key) >= 20 GR
 told AS (SELECT doc_id, i, line, coalesce(doc_id <> keeper, false) AS gone FROM each LEFT JOIN often USING (key))
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM told GROUP BY doc_id"""
+
+#: Whole audit strings by layers of turns; the check sum by its table, as the strings are short.
+TURNS_SQL = r"""
+WITH RECURSIVE tbl AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_concat([i::BIGINT], range(8)), lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+keyed AS (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_concat([4294967295], list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS f FROM keyed, tbl),
+dam AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS time FROM src WHERE f <> 0)),
+seq AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), md5(text)) AS k FROM dam),
+told AS (SELECT *, substr(role, 1, 1) AS ini, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS again,
+  lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY k) AS prev FROM seq),
+kind AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN substr(bare, length(bare), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM told),
+facts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (prev IS NOT NULL AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal, max(k) AS n FROM kind GROUP BY conv_id),
+runs(p, q, i, added) AS (VALUES ('', '', 0, []::VARCHAR[]), ('', 'u', 1, ['user:']), ('', 'a', 2, ['user:', 'assistant:']), ('s', 's', 0, []), ('s', 'u', 1, ['user:']), ('s', 'a', 2, ['user:', 'assistant:']), ('u', 'u', 0, []), ('u', 'a', 1, ['assistant:']), ('a', 'a', 0, []), ('a', 'u', 1, ['user:'])),
+ops(op) AS (VALUES ('D'), ('K'), ('R')),
+dp AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, '' AS st, {'cost': 0::BIGINT, 'audit': '', 'items': []::VARCHAR[]} AS b FROM kind
+UNION ALL SELECT conv_id, k, st, b FROM (SELECT d.conv_id, r.k, CASE op WHEN 'D' THEN q WHEN 'K' THEN ini WHEN 'R' THEN CASE WHEN q = 'u' THEN 'a' ELSE 'u' END END AS st,
+  min({'cost': (d.b.cost + 2 * i + CASE op WHEN 'D' THEN 3 WHEN 'R' THEN 2 ELSE 0 END + CASE WHEN op <> 'D' AND fault = 'truncated' THEN 1 ELSE 0 END)::BIGINT, 'audit': d.b.audit || repeat('I', i) || op,
+  'items': list_concat(list_concat(d.b.items, added), CASE op WHEN 'D' THEN [] WHEN 'K' THEN [role || ':' || text] ELSE [CASE WHEN q = 'u' THEN 'assistant:' ELSE 'user:' END || text] END)}) AS b
+  FROM dp d JOIN kind r ON r.conv_id IS NOT DISTINCT FROM d.conv_id AND r.k = d.k + 1 JOIN runs ON p = d.st CROSS JOIN ops
+  WHERE op = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (op = 'R' OR (ini = 's' AND q = '') OR (ini = 'u' AND q <> 'u') OR (ini = 'a' AND q = 'u'))) GROUP BY ALL)),
+ends AS (SELECT dp.conv_id, min({'cost': (b.cost + 2 * CASE st WHEN 's' THEN 2 WHEN 'u' THEN 1 ELSE 0 END)::BIGINT, 'audit': b.audit || CASE st WHEN 's' THEN 'II' WHEN 'u' THEN 'I' ELSE '' END,
+  'items': list_concat(b.items, CASE st WHEN 's' THEN ['user:', 'assistant:'] WHEN 'u' THEN ['assistant:'] ELSE [] END)}) AS b FROM dp JOIN facts ON facts.conv_id IS NOT DISTINCT FROM dp.conv_id AND facts.n = dp.k GROUP BY ALL)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+coalesce(e.b.cost, 0)::BIGINT AS cost, coalesce(e.b.audit, '') AS audit, sha256(coalesce(array_to_string(e.b.items, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM c.conv_id"""

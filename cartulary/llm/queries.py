@@ -139,4 +139,4 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     from cartulary.llm import oracles
 
-    return {"op4_quality_rules": oracles.quality_rules_sql(), "op12_line_dedup": oracles.LINE_DEDUP_SQL}
+    return {"op4_quality_rules": oracles.quality_rules_sql(), "op11_turns": oracles.TURNS_SQL, "op12_line_dedup": oracles.LINE_DEDUP_SQL}

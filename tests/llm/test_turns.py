@@ -7,9 +7,11 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
+
 from pyspark.sql import functions as F
 
-from cartulary.llm import queries, turns
+from cartulary.llm import oracles, queries, turns
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 BLANK = " \t\n\x0b\x0c\r"
@@ -191,3 +193,12 @@ def test_damage_of_nulls(spark):
         text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
         want += [(conv, turn, "user" if fault == 4 else " " if role is None else role, text)] * {0: 0, 3: 2}.get(fault, 1)
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_sql_on_random_conversations(spark, tmp_path):
+    rows = random_rows(random.Random(12), 40, 12)
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in duck.execute(oracles.TURNS_SQL).fetchall()}
+    assert {r[0]: tuple(r)[1:] for r in queries.op11_turns(spark, str(tmp_path)).collect()} == want
