@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 NODES = "node int, parent int, kind string, level int, text string, section array<string>"
 KINDS = ("heading", "paragraph", "list", "item", "table", "row", "cell", "text")
 SPACE = re.compile(r"\s+")
+#: Nodes that a worker hands on together, about.
+AT_ONCE = 10_000
 
 
 class Tree:
@@ -156,12 +158,16 @@ def nodes(df: DataFrame, key: str, text: str = "content", form: str = "markdown"
     parse = FORMS[form]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["key", "node", "parent", "kind", "level", "text", "section"]
         for batch in batches:
+            rows: list[tuple] = []
             for k, body in zip(batch["key"], batch["text"], strict=True):
-                found = parse(body or "")
-                if found:
-                    out = pd.DataFrame(found)
-                    yield out.assign(key=k, parent=pd.array([n["parent"] for n in found], dtype="Int64"))[["key", "node", "parent", "kind", "level", "text", "section"]]
+                rows += [(k, n["node"], n["parent"], n["kind"], n["level"], n["text"], n["section"]) for n in parse(body or "")]
+                if len(rows) >= AT_ONCE:
+                    yield pd.DataFrame(rows, columns=names).astype({"parent": "Int64"})
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names).astype({"parent": "Int64"})
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text IS NOT NULL").mapInPandas(run, f"key {kind}, {NODES}").withColumnRenamed("key", key)
