@@ -73,18 +73,18 @@ _JSONL = """j AS (SELECT doc_id, coalesce(lang, 'none') AS part, row_number() OV
 
 
 def truth_files_(spark, sf_dir) -> str:
-    """Ground truth of all documents as JSON lines, a file for each language, with bad lines among them."""
+    """Ground truth of all documents as JSON lines, a folder for each language, with bad lines among them; its files are ranges in order."""
     k, entry = F.col("doc_id") % 7, F.struct(F.col("doc_id").cast("string").alias("filename"), F.lit("d").alias("domain"), F.when(F.col("doc_id") % 7 != 1, "c").alias("category"), F.when(F.col("doc_id") % 7 != 1, "t").alias("doctype"), F.substring("text", 1, 300).alias("notes"))
     rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("lang", F.lit("none")).alias("part"), F.when(k == 0, F.concat(F.lit("{not json "), F.col("doc_id").cast("string"))).otherwise(F.to_json(entry)).alias("value"))
     path = f"{storage.shared_folder(spark)}/truth-{uuid.uuid4().hex}"
-    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("value", "part").write.partitionBy("part").text(path)
+    rows.repartitionByRange("part", "doc_id").sortWithinPartitions("part", "doc_id").select("value", "part").write.partitionBy("part").text(path)
     return path
 
 
 @query(f"WITH {_JSONL} SELECT part, number, reason FROM j WHERE reason IS NOT NULL")
 def q60_bad_lines_by_number(spark, sf_dir):
     """Numbers of bad lines in large files of ground truth, which many tasks read in blocks."""
-    bad = lines.bad_lines(spark, f"{truth_files_(spark, sf_dir)}/*")
+    bad = lines.bad_lines(spark, f"{truth_files_(spark, sf_dir)}/*", pieces=True)
     return bad.select(F.regexp_extract("file", "part=([^/]+)/", 1).alias("part"), "number", "reason")
 
 
@@ -163,9 +163,11 @@ def q65_page_structure(spark, sf_dir):
 
 @query("SELECT coalesce(lang, 'none') AS part, count(*) + 1 AS pages, sum(length(coalesce(text, '')) + 1)::BIGINT AS chars, max(length(coalesce(text, ''))) AS longest FROM documents GROUP BY ALL")
 def q66_paged_files(spark, sf_dir):
-    """Documents as pages of large files, one for each language, read page by page: pages begin with the end of the line before."""
+    """Documents as pages of large texts, one for each language in many pieces, read page by page: pages begin with the end of the line before."""
     rows = table(spark, sf_dir, "documents").select(F.coalesce("lang", F.lit("none")).alias("part"), F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "\\f", " "), F.lit("\f")).alias("value"))
     path = f"{storage.shared_folder(spark)}/paged-{uuid.uuid4().hex}"
-    rows.repartition("part").write.partitionBy("part").text(path)
-    read = paged.pages(spark, path, task=1_000_000).select(F.regexp_extract("path", "part=([^/]+)/", 1).alias("part"), F.length("content").cast("long").alias("n"), F.length(F.regexp_replace("content", "^\n", "")).cast("long").alias("own"))
+    # a task writes a piece of each language's text as it reads documents: no language's rows meet in one
+    rows.write.partitionBy("part").text(path)
+    n = F.length("content").cast("long")
+    read = paged.pages(spark, path, task=8_000_000, pieces=True).select(F.regexp_extract("path", "part=([^/]+)$", 1).alias("part"), n.alias("n"), (n - (F.col("page_no") > 1).cast("int")).alias("own"))
     return read.groupBy("part").agg(F.count("*").alias("pages"), F.sum("n").alias("chars"), F.max("own").alias("longest"))

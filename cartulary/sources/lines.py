@@ -31,25 +31,27 @@ def _entries(raw: DataFrame) -> DataFrame:
 FEW_BLOCKS = 200_000
 
 
-def numbered(spark: SparkSession, path: str) -> DataFrame:
+def numbered(spark: SparkSession, path: str, pieces: bool = False) -> DataFrame:
     """(file, line, raw): the lines of text files with their numbers from 0, however large a file is.
 
     Files are read in blocks by many tasks.  One pass counts each block's lines; a line's number is the lines of its file's
-    earlier blocks and its place in its own, as rows of a block come in order.
+    earlier blocks and its place in its own, as rows of a block come in order.  pieces: lines are numbered through the files of
+    a folder in the order of their names.
     """
     # rows of one read are numbered alike in both passes: blocks are dealt to tasks by sizes of files and settings alone
     read = spark.read.option("lineSep", "\n").text(path)
     raw = read.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("raw"))
     blocks = held(raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first")))
-    before = F.expr("coalesce(sum(n) OVER (PARTITION BY file ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
+    text = "substring_index(file, '/', size(split(file, '/')) - 1)" if pieces else "file"
+    before = F.expr(f"coalesce(sum(n) OVER (PARTITION BY {text} ORDER BY file, block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     starts = blocks.select("file", "block", (before - F.col("first")).alias("shift"))
     few = F.broadcast(starts) if blocks.count() <= FEW_BLOCKS else starts
     return raw.join(few, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line"), "raw")
 
 
-def bad_lines(spark: SparkSession, path: str, shown: int = 80) -> DataFrame:
+def bad_lines(spark: SparkSession, path: str, shown: int = 80, pieces: bool = False) -> DataFrame:
     """(file, number, reason, start): what readers of ground truth pass over, with its number from 1: no object, or a field that is missing."""
-    some = numbered(spark, path).withColumn("raw", F.trim(F.regexp_replace("raw", r"\r$", ""))).where("raw <> '' AND NOT startswith(raw, '#')")
+    some = numbered(spark, path, pieces).withColumn("raw", F.trim(F.regexp_replace("raw", r"\r$", ""))).where("raw <> '' AND NOT startswith(raw, '#')")
     read = some.withColumn("r", F.from_json("raw", TRUTH + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}))
     gaps = F.filter(F.array(*[F.when(F.col(f"r.{c}").isNull(), F.lit(c)) for c in REQUIRED]), lambda x: x.isNotNull())
     reason = F.when(F.col("r._bad").isNotNull(), "no object").when(F.size(gaps) > 0, F.concat(F.lit("missing: "), F.array_join(gaps, ", ")))

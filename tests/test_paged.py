@@ -1,12 +1,14 @@
 """The paged source: the same pages as of whole files, tasks by size, bounded memory."""
 
+import glob
 import io
 import random
 import tracemalloc
 
 from pyarrow import fs
 
-from cartulary.sources import files, paged
+from cartulary import catalogue_runs, storage
+from cartulary.sources import files, lines, paged
 
 
 def test_pages_of_blocks_of_any_size():
@@ -62,3 +64,61 @@ def test_a_large_file_in_bounded_memory(tmp_path):
 
 def test_an_empty_folder(spark, tmp_path):
     assert paged.pages(spark, str(tmp_path)).count() == 0
+
+
+def test_ranges_have_each_page_once(tmp_path):
+    rng, system = random.Random(5), fs.LocalFileSystem()
+    for k in range(40):
+        pieces = ["".join(rng.choice(["a", "é", "😀", "\f", "\n", "word "]) for _ in range(rng.randrange(30))).encode() for _ in range(3)]
+        named = [(str(tmp_path / f"{k}-{i}.txt"), len(p)) for i, p in enumerate(pieces)]
+        for (name, _), p in zip(named, pieces, strict=True):
+            with open(name, "wb") as f:
+                f.write(p)
+        data, task = b"".join(pieces), rng.randrange(1, 20)
+        cuts = [*range(0, max(len(data), 1), task)]
+        for block in (1, 7, 1000):
+            read = lambda at, b=block: paged.blocks(system, named, at, b)
+            assert [p for a in cuts for p in paged.range_pages(read, a, a + task if a != cuts[-1] else None)] == data.split(b"\f")
+
+
+def test_no_task_reads_a_large_text_alone(spark, tmp_path):
+    words = [f"word {i} é" * (i % 9) for i in range(300)]
+    (tmp_path / "large.txt").write_text("\f".join(words))
+    parts = paged.PageReader(str(tmp_path), 500, 64).partitions()
+    assert len(parts) > 10 and all(end is None or end - start <= 500 for p in parts for _, start, end in p.ranges) and not any(p.paths for p in parts)
+    rows = sorted(tuple(r) for r in paged.pages(spark, str(tmp_path), 500, 64).select("page_no", "page_count", "content", "error_message").collect())
+    assert rows == [(i, 300, w, None) for i, w in enumerate(words, 1)]
+
+
+def test_pieces_are_one_text(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    for name, text in (("1.txt", "one\ftwo,"), ("2.txt", " still two"), ("3.txt", "\fthree\f")):
+        (tmp_path / "a" / name).write_text(text)
+    (tmp_path / "a" / "_SUCCESS.txt").write_text("no")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "1.txt").write_bytes(b"good\f" + b"x" * 40 + b"\fbad \xff\f")
+    (tmp_path / "b" / "2.txt").write_text("good")
+    for task in (3, 10, 1000):
+        rows = sorted((r["path"][-2:], r["page_no"], r["page_count"], r["content"], r["error_message"] and r["error_message"].split(":")[0]) for r in paged.pages(spark, str(tmp_path), task, 4, pieces=True).collect())
+        assert rows == [("/a", i, 4, p, None) for i, p in enumerate(["one", "two, still two", "three", ""], 1)] + [("/b", 1, 1, None, "UnicodeDecodeError")]
+
+
+def test_a_languages_text_is_written_by_many_tasks(spark, tmp_path):
+    rows = [(i, "\n" * (i % 3) + "text\f" * (i % 50), ["en", None][i % 5 == 0], "s", 0) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    folders = lambda kind: set(glob.glob(f"{storage.shared_folder(spark).removeprefix('file://')}/{kind}-*"))
+    had = folders("paged")
+    got = {r["part"]: tuple(r)[1:] for r in catalogue_runs.q66_paged_files(spark, str(tmp_path)).collect()}
+    of = lambda part: [x[1] for x in rows if (x[2] or "none") == part]
+    assert got == {p: (len(of(p)) + 1, sum(len(t) + 1 for t in of(p)), max(map(len, of(p)))) for p in ("en", "none")}
+    (new,) = folders("paged") - had
+    assert len(glob.glob(f"{new}/part=en/*.txt")) > 1
+
+
+def test_lines_are_numbered_through_pieces(spark, tmp_path):
+    for part in ("a", "b"):
+        (tmp_path / part).mkdir()
+        for k in range(3):
+            (tmp_path / part / f"{k}.txt").write_text("".join(f"{part}{5 * k + i}\n" for i in range(5)))
+    rows = sorted((r["file"].split("/")[-2], r["line"], r["raw"]) for r in lines.numbered(spark, f"{tmp_path}/*", pieces=True).collect())
+    assert rows == sorted((p, i, f"{p}{i}") for p in "ab" for i in range(15))
