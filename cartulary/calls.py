@@ -14,8 +14,9 @@ import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
-from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from queue import Empty, SimpleQueue
 
 from pyarrow import fs
 from pyspark import TaskContext
@@ -29,6 +30,8 @@ TOKENS = ("input_tokens", "output_tokens", "total_tokens", "cache_creation_input
 KEYS = ("document", "provider", "model")
 RECORD = ", ".join(f"{k} string" for k in KEYS) + ", response string, error_code string, error_message string, latency_ms double, " + ", ".join(f"{t} long" for t in TOKENS) + ", ended string"
 NOT_TRIED = ("UNEXPECTED_ERROR", "not tried: another document failed")
+#: Seconds of a call that costs less than handing it to a thread and back, or about as much.
+SHORT = 0.002
 
 
 @dataclass
@@ -134,7 +137,8 @@ class Asker:
 def pooled(rows: Iterator, ask: Callable[..., Outcome], width: int = 1, stop: Stop | None = None) -> Iterator[tuple[object, Outcome]]:
     """(row, outcome) as calls end, with up to ``width`` of them open; after a stop what is left is not asked.
 
-    ask(row) may return an outcome without a call.  Rows are taken from ``rows`` only as there is room for them.
+    ask(row) may return an outcome without a call.  Rows are taken from ``rows`` only as there is room for them.  After ``width``
+    short calls in a row, and while no other is open, calls are made in this thread, until one is not short.
     """
 
     def one(row) -> Outcome:
@@ -148,21 +152,45 @@ def pooled(rows: Iterator, ask: Callable[..., Outcome], width: int = 1, stop: St
         for row in rows:
             yield row, Outcome(None, *NOT_TRIED, asked=False) if skipped() else one(row)
         return
-    pool, waiting = ThreadPoolExecutor(width), {}
+    pool, ended, under_way, short = ThreadPoolExecutor(width), SimpleQueue(), 0, 0
+
+    def told(row) -> None:
+        began = time.monotonic()
+        try:
+            ended.put((row, one(row), None, time.monotonic() - began))
+        except BaseException as e:  # for the caller's thread
+            ended.put((row, None, e, 0))
+
+    def taken(most: float | None = None) -> tuple[object, Outcome] | None:
+        """What ends next, or None after ``most`` seconds."""
+        nonlocal short
+        try:
+            row, got, e, took = ended.get(timeout=most)
+        except Empty:
+            short = 0
+            return None
+        if e is not None:
+            raise e
+        short = short + 1 if took < SHORT else 0
+        return row, got
+
     try:
         for row in rows:
             if skipped():
                 yield row, Outcome(None, *NOT_TRIED, asked=False)
                 continue
-            waiting[pool.submit(one, row)] = row
-            if len(waiting) >= width:
-                ended, _ = wait(waiting, return_when=FIRST_COMPLETED)
-                for f in ended:
-                    yield waiting.pop(f), f.result()
-        while waiting:
-            ended, _ = wait(waiting, return_when=FIRST_COMPLETED)
-            for f in ended:
-                yield waiting.pop(f), f.result()
+            if short >= width and not under_way:
+                told(row)
+            else:
+                pool.submit(told, row)
+            under_way += 1
+            while under_way >= width or under_way and (short >= width or not ended.empty()):
+                if (got := taken(None if under_way >= width else SHORT)) is None:
+                    break
+                under_way -= 1
+                yield got
+        for _ in range(under_way):
+            yield taken()
     finally:
         pool.shutdown(wait=False, cancel_futures=True)
 
@@ -211,7 +239,7 @@ class LogWriter(DataSourceWriter):
         name = f"{folder}/{prefix}{task.attemptNumber():03d}-{uuid.uuid4().hex[:8]}"
         calls = failures = not_tried = lines = files = 0
         out = None
-        left = (r for r in iterator if tuple(r[k] for k in KEYS) not in logged)
+        left = (r for r in iterator if tuple(r[k] for k in KEYS) not in logged) if logged else iterator
 
         def ask(row) -> Outcome:
             if row["error_code"] is not None:

@@ -43,6 +43,12 @@ def stands(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def spooled(spark: SparkSession, rows: Iterable[dict], schema: str, size: int = 1_000_000) -> DataFrame:
     """Rows that only the driver can make, one after the other, as a DataFrame: they go to the shared folder in pieces and are never all in memory."""
     path = f"{shared_folder(spark)}/spooled-{uuid.uuid4().hex}.jsonl"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cartulary import calls
 from cartulary.classify import Keywords, asker, classify, finished, prepared
-from cartulary.storage import held, put, shared_folder, stands
+from cartulary.storage import discard, put, shared_folder, stands
 from cartulary.vocabulary import get
 
 SCHEMA = "doc_id long, text string"
@@ -47,12 +47,20 @@ def classified(stream: DataFrame, base: str, make, model: tuple[str, str] = ("lo
     ask = asker(make, menu=v.menu(), **options)
 
     def sink(batch: DataFrame, number: int) -> None:
-        spark, place = batch.sparkSession, f"{base}/out/batch={number}"
+        # a batch's own session plans without adaptive execution: every small step would be as many tasks as the stream's state has parts
+        spark, place, texts = stream.sparkSession, f"{base}/out/batch={number}", f"{base}/texts/{number}"
         if stands(spark, f"{base}/done/{number}"):
             return
-        # within a batch the first of equal paths counts, as in the stream
-        ready = held(prepared(batch).dropDuplicates(["path"]))
-        if ready.isEmpty():  # a batch that only moves the watermark
+        ready = prepared(batch)
+        ready.write.mode("overwrite").parquet(f"{texts}/all")
+        ready = spark.read.schema(ready.schema).parquet(f"{texts}/all")
+        # within a batch the first of equal paths counts, as in the stream; texts are dealt anew only where there are such
+        n, twice = ready.groupBy("path").count().agg(F.count("*"), F.coalesce(F.max("count"), F.lit(0))).first()
+        if twice > 1:
+            ready.dropDuplicates(["path"]).write.mode("overwrite").parquet(f"{texts}/first")
+            ready = spark.read.schema(ready.schema).parquet(f"{texts}/first")
+        if not n:  # a batch that only moves the watermark
+            discard(spark, texts)
             return
         models = spark.createDataFrame([model], "provider string, model string")
         logged = calls.log(ready.withColumnRenamed("path", "document"), models, f"{base}/calls", ask, width=width)
@@ -61,6 +69,7 @@ def classified(stream: DataFrame, base: str, make, model: tuple[str, str] = ("lo
         if on_batch is not None:
             on_batch(spark.read.parquet(place), number)
         put(spark, f"{base}/done/{number}", "")
+        discard(spark, texts)
 
     return stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{base}/state")
 

@@ -85,6 +85,16 @@ def test_columns_and_nulls_pass_through_a_pool(spark, tmp_path):
     assert [r["n"] for r in rows] == [7, 7, None, 7, 7] and rows[0]["extra"] == ["a"] and "text 4" in rows[4]["prompt"]
 
 
+def test_short_calls_stay_in_their_thread_and_long_ones_do_not():
+    def ask(i):
+        time.sleep(0.05 * (i >= 200))
+        return calls.Outcome(Answer(str(threading.get_ident() == here)))
+
+    here = threading.get_ident()
+    got = {i: out.answer.text == "True" for i, out in calls.pooled(iter(range(240)), ask, 4)}
+    assert len(got) == 240 and sum(got[i] for i in range(200)) > 100 and sum(got[i] for i in range(200, 240)) <= 2
+
+
 def test_answers_come_as_calls_end_and_rows_wait():
     taken, gate = [], threading.Event()
 

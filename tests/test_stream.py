@@ -4,6 +4,8 @@ import glob
 import http.server
 import json
 import os
+import random
+import string
 import sys
 import threading
 import time
@@ -12,7 +14,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from cartulary import backends, calls, config
+from cartulary import backends, calls, config, storage
 from cartulary.classify import asker, invoke
 from cartulary.streaming import landing
 
@@ -83,6 +85,33 @@ def test_a_batch_that_failed_in_the_callers_function(spark, tmp_path):
     assert told(tmp_path) == 2 and numbers == [0, 0] and landing.results(spark, f"{tmp_path}/base").count() == 2
 
 
+def shuffled(spark):
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm = spark.sparkContext._jvm
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_of_a_batch_are_dealt_once_and_not_kept(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(f"{i}", "".join(rng.choice(string.printable[:94]) for _ in range(15_000)), None, None) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA.rsplit(",", 1)[0]).withColumn("time", F.to_timestamp(F.lit("2024-01-01 10:00:00")))
+    docs.write.parquet(f"{tmp_path}/in")
+    copies = lambda: set(glob.glob(f"{storage.shared_folder(spark).removeprefix('file://')}/held-*"))
+    before, had = shuffled(spark), copies()
+    drain(spark, tmp_path)
+    assert landing.results(spark, f"{tmp_path}/base").count() == 60 and told(tmp_path) == 60
+    assert shuffled(spark) - before < 1.5 * sum(len(r[1]) for r in rows)
+    assert copies() == had and not [p for p in glob.glob(f"{tmp_path}/base/**/*.parquet", recursive=True) if os.path.getsize(p) > 100_000]
+
+
+def test_equal_paths_of_a_stream_that_was_not_made_unique(spark, tmp_path):
+    arrive(spark, tmp_path, ["a", "b", "a", "c", "b"], 0)
+    stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    landing.classified(stream, f"{tmp_path}/base", lambda p, m: lambda: Counted(str(tmp_path)), width=2).trigger(availableNow=True).start().awaitTermination()
+    assert told(tmp_path) == 3 and sorted(r["original"] for r in landing.results(spark, f"{tmp_path}/base").collect()) == ["a", "b", "c"]
+
+
 # ---- tokens ----------------------------------------------------------------------------------------------------------
 
 
